@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinweave.llm import simhash, wavelet
+from pinweave.llm import decontamination, pieces, repetition, simhash, toxicity, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +20,43 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts and verdict of every document."""
+    return repetition.repetition(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learnt from the labels that are not held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in occurrences of benchmark windows."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to wavelet-matrix shards and read back."""
     return wavelet.documents(wavelet.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether they decode to its text."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repetition": op1_repetition,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op7_wavelet_matrix": op7_wavelet_matrix,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_repetition": repetition.SQL, "op4_decontamination": decontamination.SQL}

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pinweave.ship import ship
+
 
 def folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``; a machine-local folder only where that is unset, as in tests."""
@@ -39,4 +41,5 @@ def stored(df: DataFrame) -> DataFrame:
 
 def kept_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Only the columns an operator reads, cast to their types; other columns, of whatever name, are left out."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in needed.items()])
