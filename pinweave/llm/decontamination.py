@@ -261,6 +261,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return found.select("doc_id", "n_words", covered_words("hits").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows, with all their columns, of documents without an occurrence of an item's window.
+
+    Rows with one doc_id go together; a row without doc_id stays.
+    """
+    hit = contamination(docs, items, window).where("contaminated").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS words FROM documents),

@@ -326,8 +326,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", slice_bytes: int = 1 << 21) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit) and whether decoding gives the text back."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", slice_bytes: int = 1 << 21, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit) and whether decoding gives the text back.
+
+    ``with_ids`` adds the ids. Null and empty texts have none; rows come out as they came in.
+    """
     docs = kept_columns(docs, {"doc_id": "bigint", text: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,6 +344,9 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", slice_bytes: int
                 back, own = memoryview(out.tobytes()), memoryview(s.buf.tobytes())
                 crc = [crc32(data[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 same = [back[a:b] == own[c:d] for a, b, c, d in zip(at[:-1].tolist(), at[1:].tolist(), s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.lo, s.hi - s.lo), pa.array(counts), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+                found = {"doc_id": batch.column("doc_id").slice(s.lo, s.hi - s.lo), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
+                if with_ids:
+                    found["ids"] = pa.ListArray.from_arrays(pa.array((edge // 4).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_pydict(found)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip boolean")
+    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip boolean" + ", ids array<int>" * with_ids)

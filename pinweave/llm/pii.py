@@ -78,7 +78,7 @@ SPAN = "struct<kind:string,start:bigint,stop:bigint>"
 
 def _spans(kind: Kind) -> Column:
     """All confirmed spans of a kind, by start; offsets are code points, the stop exclusive."""
-    found = F.expr(f"regexp_extract_all(body, r'{kind.pattern}', 0)")
+    matches = F.expr(f"regexp_extract_all(body, r'{kind.pattern}', 0)")
     between = F.expr(f"split(body, r'{kind.pattern}', -1)")
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
@@ -88,7 +88,7 @@ def _spans(kind: Kind) -> Column:
         one = F.struct(F.lit(kind.name).alias("kind"), start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
         return F.struct(stop.cast("bigint").alias("at"), F.when(pair["ok"], F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    pairs = F.zip_with(between, found, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match"), F.coalesce(match.isNotNull() & kind.valid(match) & _likely(kind, piece), F.lit(False)).alias("ok")))
+    pairs = F.zip_with(between, matches, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match"), F.coalesce(match.isNotNull() & kind.valid(match) & _likely(kind, piece), F.lit(False)).alias("ok")))
     walked = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), state, step)["spans"]
     return F.when(F.col("body").rlike(kind.hint), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -140,9 +140,12 @@ def _walk() -> Column:
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text) with all spans masked; a text without any is unchanged, null becomes empty."""
+    """The rows, with all their columns, with the spans of the text masked; null stays null."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    found = rows.select("row", "body", *[_spans(k).alias(k.name) for k in KINDS]).withColumn("walked", _walk())
     rest = F.expr("substring(body, cast(walked.at + 1 as int))")
-    return find(docs, text).withColumn("walked", _walk()).select("doc_id", F.concat(F.array_join(F.col("walked.parts"), ""), rest).alias("text"))
+    new = F.concat(F.array_join(F.col("walked.parts"), ""), rest)
+    return found.select(*[F.when(F.col(f"row.`{c}`").isNotNull(), new).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _sql_kind(name: str, pattern: str, valid: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinweave.llm import decontamination, pieces, pii, repetition, simhash, toxicity, urls, wavelet
+from pinweave.llm import decontamination, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's user turns as calls, linked to the replies."""
+    return tools.link(*tools.exchanges(table(spark, sf_dir, "conversations")), tools.schema_table(spark))
+
+
 def op7_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to wavelet-matrix shards and read back."""
     return wavelet.documents(wavelet.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
@@ -65,10 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_tool_calls": op5_tool_calls,
     "op7_wavelet_matrix": op7_wavelet_matrix,
     "op8_url_rules": op8_url_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_repetition": repetition.SQL, "op2_pii": pii.SQL, "op4_decontamination": decontamination.SQL, "op8_url_rules": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_repetition": repetition.SQL, "op2_pii": pii.SQL, "op4_decontamination": decontamination.SQL, "op5_tool_calls": tools.SQL, "op8_url_rules": urls.SQL}

@@ -252,3 +252,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     least = label.groupBy("root").agg(F.min("least").alias("component_id"))
     named = label.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, distance: int = DISTANCE, text: str = "text") -> DataFrame:
+    """One row, with all its columns, of each near-duplicate component: that of the smallest doc_id.
+
+    Of rows that repeat this doc_id one stays. A row without doc_id cannot be told from its copies and stays.
+    """
+    found = near_duplicates(docs, distance, text)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

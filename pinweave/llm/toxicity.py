@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pinweave.llm.shared import kept_columns
 from pinweave.llm.words import LOWER, NOT_ALNUM, hashes, mix, per_document, slices, spans
+from pinweave.ship import ship
 
 #: Labelled rows that training uses at most; those with the smallest hash of doc_id are taken.
 SAMPLE = 12_000
@@ -136,6 +137,23 @@ def score_slice(buf: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
+def reject(docs: DataFrame, weights: tuple[list[int], list[float]], text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below a half; a null or empty text by the intercept alone."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(weights[0], np.int64), np.array(weights[1])))
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.zeros((1 << BUCKET_BITS) + 1)
+        w[sent.value[0]] = sent.value[1]
+        for batch in batches:
+            got = [score_slice(s.buf, s.offsets, w) < 0.5 for s in slices(batch.column(place))]
+            if got:
+                yield batch.filter(pa.array(np.concatenate(got)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Trains on the labels that are not held out and scores every document."""
     return score(docs, train(docs, labels, sample))
