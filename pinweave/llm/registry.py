@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinweave.llm import decontamination, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet
+from pinweave.llm import decontamination, passages, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.link(*tools.exchanges(table(spark, sf_dir, "conversations")), tools.schema_table(spark))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that another document repeats, exactly or nearly."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to wavelet-matrix shards and read back."""
     return wavelet.documents(wavelet.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_tool_calls": op5_tool_calls,
+    "op6_passages": op6_passages,
     "op7_wavelet_matrix": op7_wavelet_matrix,
     "op8_url_rules": op8_url_rules,
     "op9_sentencepiece": op9_sentencepiece,
