@@ -148,8 +148,15 @@ def tm_moves(at: Frozen) -> DataFrame:
     """The move to a part with room that saves most messages, the lowest part on ties."""
     gains = settle(message_gains(at).groupBy("v", "p").agg(F.sum("gain").alias("saved")))
     to = _other_parts(gains, at.sizes.where(F.col("size") < at.limit))
-    losses = message_losses(at, to.select("v", "q")).groupBy("v", "q").agg(F.sum("loss").alias("lost"))
-    net = to.join(gains, ["v", "p"]).join(losses, ["v", "q"], "left").withColumn("gain", F.col("saved") - F.coalesce("lost", F.lit(0))).where("gain > 0")
+    # What is lost is what is not known: partners that are the target, or that it has messages with already.
+    receivers, senders = at.partners
+    msg = F.broadcast(at.messages)
+    partner = receivers.select("v", F.col("r").alias("q")).unionByName(senders.select("v", F.col("s").alias("q")))
+    known = partner.unionByName(receivers.join(msg, F.col("r") == F.col("tp")).select("v", F.col("sp").alias("q"))).unionByName(senders.join(msg, F.col("s") == F.col("sp")).select("v", F.col("tp").alias("q")))
+    known = known.groupBy("v", "q").agg(F.count(F.lit(1)).alias("known"))
+    partners = partner.groupBy("v").agg(F.count(F.lit(1)).alias("partners"))
+    lost = F.coalesce("partners", F.lit(0)) - F.coalesce("known", F.lit(0))
+    net = to.join(gains, ["v", "p"]).join(partners, "v", "left").join(known, ["v", "q"], "left").withColumn("gain", F.col("saved") - lost).where("gain > 0")
     return _best(net)
 
 

@@ -5,6 +5,194 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from pinweave.model import header, transpose, validate
+from pinweave.operators import graph, metrics, place, refine
+from pinweave.plans import derive
+from pinweave.plans import oracle as o
+from pinweave.sources.readers import clean_entries, default_weights
+from pinweave.sources.writers import hypergraph_lines
+from pinweave.store import folder, settle
+from pinweave.streaming import placement
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+op, po, hos = derive.orders_parts, derive.parts_orders, derive.orders_suppliers
+
+
+def register(name: str, sql: str | None, query: Query) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+# Model and degrees
+register("pins_build", f"{o.pins()} SELECT net, v FROM pins", lambda s, d: op(s, d).pins)
+register("transpose", f"{o.pins()} SELECT v AS net, net AS v FROM pins", lambda s, d: transpose(op(s, d)).pins)
+register("net_degree", f"{o.pins()} SELECT net, count(*) AS degree FROM pins GROUP BY 1", lambda s, d: graph.net_degree(op(s, d)))
+register("vertex_degree", f"{o.pins()} SELECT v, count(*) AS degree FROM pins GROUP BY 1", lambda s, d: graph.vertex_degree(op(s, d)))
+register("degree_stats", f"{o.pins()} SELECT count(*) AS n, min(d) AS least, max(d) AS most, sum(d)::BIGINT AS pins, avg(d) AS mean FROM (SELECT count(*) AS d FROM pins GROUP BY net)", lambda s, d: graph.degree_stats(graph.net_degree(op(s, d))))
+_joined = lambda df: df.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), " "))
+register("csr_net_major", f"{o.pins()} SELECT net, string_agg(v, ' ' ORDER BY v) AS members FROM pins GROUP BY 1", lambda s, d: _joined(graph.csr(op(s, d).pins)))
+register("csr_vertex_major", f"{o.pins()} SELECT v, string_agg(net, ' ' ORDER BY net) AS members FROM pins GROUP BY 1", lambda s, d: _joined(graph.csr(op(s, d).pins, "v")))
+register("csr_offsets", f"{o.pins()} SELECT net, d AS degree, (sum(d) OVER (ORDER BY net) - d)::BIGINT AS start FROM (SELECT net, count(*) AS d FROM pins GROUP BY 1)", lambda s, d: graph.csr_offsets(op(s, d).pins))
+register("header_stats", f"{o.pins()} SELECT count(DISTINCT v) AS nov, count(DISTINCT net) AS noe, count(*) AS pins FROM pins", lambda s, d: header(op(s, d)))
+register(
+    "validate_pins",
+    "SELECT count(*) AS rows, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS repeated, count(*) FILTER (l_orderkey IS NULL OR l_partkey IS NULL) AS nulls, count(*) FILTER (l_orderkey < 0 OR l_partkey < 0) AS negative, count(*) FILTER (l_partkey >= 1000) AS beyond FROM lineitem",
+    lambda s, d: validate(derive.table(s, d, "lineitem").select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("v")), 1000),
+)
+register("hypergraph_lines", f"{o.pins()} SELECT net, string_agg(v, ' ' ORDER BY v) AS value FROM pins GROUP BY 1 UNION ALL SELECT -1, '0 ' || count(DISTINCT v) || ' ' || count(DISTINCT net) || ' ' || count(*) FROM pins", lambda s, d: hypergraph_lines(op(s, d)))
+register("degenerate_complete", "WITH p AS (SELECT DISTINCT user_id, event_type FROM events) SELECT count(DISTINCT event_type) AS nov, count(DISTINCT user_id) AS noe, count(*) AS pins FROM p", lambda s, d: header(derive.users_events(s, d)))
+
+# Metrics
+_m4 = o.state(o.modulo(4), 4)
+_np = lambda s, d, k=4: metrics.net_part(op(s, d).pins, derive.modulo(op(s, d), k))
+
+
+def _msg(s: SparkSession, d: str, k: int) -> DataFrame:
+    hg = op(s, d)
+    parts = derive.modulo(hg, k)
+    return metrics.messages(metrics.net_part(hg.pins, parts), metrics.sourced(hg.nets, parts))
+
+
+for name, hg_, key in (("metrics_all", op, "op"), ("metrics_dual", po, "po"), ("metrics_suppliers", hos, "os")):
+    for k_ in (4, 256) if key == "op" else (8,):
+        register(f"{name}_k{k_}", f"{o.state(o.modulo(k_), k_, key)} SELECT {o.METRICS}", lambda s, d, h=hg_, k=k_: metrics.report(h(s, d), derive.modulo(h(s, d), k)))
+register("metrics_skewed_k8", f"{o.state(o.skewed(8), 8)} SELECT {o.METRICS}", lambda s, d: metrics.report(op(s, d), derive.skewed(op(s, d), 8)))
+register("net_part", f"{_m4} SELECT net, part, cnt FROM np", _np)
+register("lambda", f"{_m4} SELECT net, lam FROM lam", lambda s, d: metrics.connectivity(_np(s, d)))
+register("cut_net", f"{_m4} SELECT count(*) AS cn FROM lam WHERE lam > 1", lambda s, d: metrics.cut_net(_np(s, d)))
+register("total_volume", f"{_m4} SELECT sum(lam - 1)::BIGINT AS tv FROM lam", lambda s, d: metrics.total_volume(_np(s, d)))
+register("total_message", f"{o.state(o.modulo(256), 256)} SELECT count(*) AS tm FROM msg", lambda s, d: metrics.total_message(_msg(s, d, 256)))
+register("max_send_message", f"{o.state(o.modulo(256), 256)} SELECT max(sent_messages) AS msm FROM vol", lambda s, d: metrics.max_send_message(_msg(s, d, 256)))
+register("max_send_volume", f"{_m4} SELECT max(send) AS msv FROM vol", lambda s, d: metrics.per_part(op(s, d), derive.modulo(op(s, d), 4), 4).agg(F.max("send").alias("msv")))
+register("max_send_recv_volume", f"{_m4} SELECT max(send + recv) AS msrv FROM vol", lambda s, d: metrics.per_part(op(s, d), derive.modulo(op(s, d), 4), 4).agg(F.max(F.col("send") + F.col("recv")).alias("msrv")))
+register("message_pairs", f"{o.state(o.modulo(64), 64)} SELECT sp, tp, mult FROM msg", lambda s, d: _msg(s, d, 64))
+register("per_part_comm", f"{o.state(o.skewed(8), 8)} SELECT part, send, recv, sent_messages, received_messages FROM vol", lambda s, d: metrics.per_part(op(s, d), derive.skewed(op(s, d), 8), 8))
+register("part_sizes", f"{o.state(o.skewed(8), 8)} SELECT part, size FROM sizes", lambda s, d: metrics.part_sizes(derive.skewed(op(s, d), 8), 8))
+register("imbalance", f"{o.state(o.skewed(8), 8)} SELECT max(size) / avg(size) AS imbalance FROM sizes", lambda s, d: metrics.imbalance(derive.skewed(op(s, d), 8), 8))
+register("argmax_parts", f"{o.state(o.skewed(8), 8)} SELECT part, send FROM vol WHERE send = (SELECT max(send) FROM vol)", lambda s, d: _argmax(s, d))
+register(
+    "improvement_pct",
+    f"{o.state(o.skewed(8), 8)}, r AS (SELECT {o.METRICS}) SELECT cn AS cn_before, tv AS tv_before, c2 AS cn_after, t2 AS tv_after, 100 - c2 / cn * 100 AS cn_improvement, 100 - t2 / tv * 100 AS tv_improvement FROM r, "
+    f"(SELECT count(*) FILTER (l > 1) AS c2, sum(l - 1)::BIGINT AS t2 FROM (SELECT net, count(DISTINCT {o.modulo(8)}) AS l FROM pins GROUP BY net))",
+    lambda s, d: metrics.compare(op(s, d), derive.skewed(op(s, d), 8), derive.modulo(op(s, d), 8)).select(*[f"{m}_{x}" for m in ("cn", "tv") for x in ("before", "after", "improvement")]),
+)
+
+
+def _argmax(s: SparkSession, d: str) -> DataFrame:
+    send = metrics.per_part(op(s, d), derive.skewed(op(s, d), 8), 8).select("part", "send")
+    return send.join(F.broadcast(send.agg(F.max("send").alias("send"))), "send").select("part", "send")
+
+
+# Thinning, sources, weights
+_thin = lambda s, d: graph.thin(op(s, d), 1.5, 10)
+register("thin_nets", f"{o.pins()}, {o.THIN} SELECT net FROM kept", lambda s, d: _thin(s, d).nets.select("net"))
+register("thin_renumbered", f"{o.pins()}, {o.THIN} SELECT net, row_number() OVER (ORDER BY net) - 1 AS number FROM kept", lambda s, d: graph.thin_numbers(_thin(s, d)))
+register("thin_defaults", f"{o.pins()} SELECT net FROM pins WHERE false", lambda s, d: graph.thin(op(s, d)).nets.select("net"))
+
+
+def _thin_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Placed on the thinned hypergraph, measured on the whole one."""
+    hg = op(s, d)
+    return metrics.report(hg, settle(place.place(graph.thin(hg, 1.5, 10), graph.id_order(hg), 4, "tv")))
+
+
+register("thin_metrics_on_full", f"{o.pins()}, {o.THIN}, {o.placed('tv', 4, 'thin')}, parts AS (SELECT v, part FROM a), {o._tables(4)} SELECT {o.METRICS}", _thin_metrics)
+register("net_sources", f"{o.pins()} SELECT net, min(v) AS src FROM pins GROUP BY 1", lambda s, d: op(s, d).nets.select("net", "src"))
+register("src_target_split", f"{o.pins()} SELECT DISTINCT v, v IN (SELECT min(v) FROM pins GROUP BY net) AS is_source FROM pins", lambda s, d: graph.source_split(op(s, d)))
+register("net_weights", None, lambda s, d: default_weights(op(s, d)))
+register(
+    "mtx_symmetrize_dedup",
+    "WITH e AS (SELECT l_partkey AS i, l_suppkey AS j, l_discount - 0.05 AS w FROM lineitem), m AS (SELECT * FROM e UNION ALL SELECT j, i, w FROM e WHERE i <> j) SELECT i, j, round(sum(abs(w)), 6) AS w FROM m WHERE i <> j AND w <> 0 GROUP BY 1, 2",
+    lambda s, d: clean_entries(derive.table(s, d, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), (F.col("l_discount") - 0.05).alias("w")), True).withColumn("w", F.round("w", 6)),
+)
+
+# Breadth-first search
+_b = f"{o.pins('po')}, {o.bfs()}"
+register("bfs_levels", f"{_b} SELECT v, level FROM b", lambda s, d: graph.bfs(po(s, d)))
+register("bfs_farthest", f"{_b} SELECT v, level FROM b ORDER BY level DESC, v LIMIT 1", lambda s, d: graph.farthest(graph.bfs(po(s, d))))
+register("bfs_order", f"{_b} SELECT v, row_number() OVER (ORDER BY level, v) - 1 AS ord FROM b", lambda s, d: graph.bfs_order(graph.bfs(po(s, d))))
+register(
+    "bfs_order_src_target",
+    f"{_b}, s AS (SELECT v, level, v IN (SELECT min(v) FROM pins GROUP BY net) AS is_source FROM b) SELECT v, is_source, row_number() OVER (PARTITION BY is_source ORDER BY level, v) - 1 AS ord FROM s",
+    lambda s, d: graph.bfs_order_split(graph.bfs(po(s, d)), graph.source_split(po(s, d))),
+)
+register("bfs_one_level", f"{o.pins('po')} SELECT DISTINCT q.v FROM pins p JOIN pins q USING (net) WHERE p.v = (SELECT min(v) FROM pins) AND q.v <> p.v", lambda s, d: _one_level(po(s, d)))
+register(
+    "pseudo_peripheral",
+    f"{_b}, {o.bfs('SELECT v FROM b ORDER BY level DESC, v LIMIT 1', 'c')}, {o.bfs('SELECT v FROM c ORDER BY level DESC, v LIMIT 1', 'e')} SELECT v, level FROM e",
+    lambda s, d: graph.pseudo_peripheral(po(s, d))[1],
+)
+register("id_order", f"{o.pins()} SELECT v, row_number() OVER (ORDER BY v) - 1 AS ord FROM (SELECT DISTINCT v FROM pins)", lambda s, d: graph.id_order(op(s, d)))
+
+
+def _one_level(hg) -> DataFrame:
+    start = hg.vertices.agg(F.min("v").alias("v"))
+    return graph.top_down(hg.pins, start, start)
+
+
+# Placement
+_place = lambda policy, k: lambda s, d: place.place(op(s, d), graph.id_order(op(s, d)), k, policy)
+for policy_ in ("cn", "tv"):
+    register(f"place_{policy_}", f"{o.pins()}, {o.placed(policy_, 4)} SELECT v, part FROM a", _place(policy_, 4))
+    register(f"place_{policy_}_metrics", f"{o.pins()}, {o.placed(policy_, 4)}, parts AS (SELECT v, part FROM a), {o._tables(4)} SELECT {o.METRICS}", lambda s, d, p=policy_: metrics.report(op(s, d), settle(_place(p, 4)(s, d))))
+register("place_tm", None, _place("tm", 8))
+register("place_tm_metrics", None, lambda s, d: metrics.report(op(s, d), settle(_place("tm", 8)(s, d))))
+register("place_audit", "SELECT NULL::BIGINT AS v, NULL::BIGINT AS ord, NULL::INTEGER AS part, NULL::INTEGER AS expected WHERE false", lambda s, d: place.audit(op(s, d), graph.id_order(op(s, d)), settle(_place("tv", 4)(s, d)), 4))
+
+
+def _batches(s: SparkSession, d: str) -> DataFrame:
+    hg = op(s, d)
+    return metrics.report(hg, place.place_batches(hg, graph.id_order(hg), 4, "tv", batch=max(200, hg.vertices.count() // 4)))
+
+
+register("place_batches_metrics", None, _batches)
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """Vertices streamed in four files, in the order of their arrival."""
+    hg = op(s, d)
+    n = hg.vertices.count()
+    path = folder(s)
+    placement.write_arrivals(settle(place.stream_rows(hg, graph.id_order(hg))), path, -(-n // 4))
+    return placement.place_stream(path, n, 4, s)
+
+
+register("stream_place_tv", None, _stream)
+
+# Refinement
+_frozen = lambda s, d, part, k: refine.Frozen(op(s, d), settle(part(op(s, d), k)), k)
+_RULES = {
+    "cn": (derive.skewed, o.skewed, 8, o.CN_MOVES, refine.cn_moves),
+    "tv": (derive.skewed, o.skewed, 8, o.tv_moves(False), lambda at: refine.tv_moves(at, guard=False)),
+    "tm": (derive.skewed, o.skewed, 256, o.TM_MOVES, refine.tm_moves),
+    "msm": (derive.modulo, o.modulo, 256, o.MSM_MOVES, refine.msm_moves),
+    "msv": (derive.skewed, o.skewed, 8, o.volume_moves(False), refine.msv_moves),
+    "msrv": (derive.skewed, o.skewed, 8, o.volume_moves(True), refine.msrv_moves),
+}
+for name, (part_, sql_, k_, rule_, moves_) in _RULES.items():
+    register(f"refine_{name}_moves", o.moves(sql_(k_), k_, rule_), lambda s, d, p=part_, k=k_, m=moves_: m(_frozen(s, d, p, k)))
+
+    def _after(s: SparkSession, d: str, p=part_, k=k_, m=moves_) -> DataFrame:
+        at = _frozen(s, d, p, k)
+        chosen = settle(refine.one_each(m(at)))
+        return metrics.report(at.hg, settle(refine.applied(at.parts, refine.independent(at.hg, chosen))))
+
+    register(f"refine_{name}_metrics", o.swept(sql_(k_), k_, rule_), _after)
+register("refine_tv_gain", f"{o.state(o.skewed(8), 8)},\n{o.tv_gains(False)}\nSELECT v, p, q, leave, arrive FROM gains", lambda s, d: refine.tv_gains(_frozen(s, d, derive.skewed, 8), guard=False))
+register("refine_tv_guarded", o.moves(o.skewed(8), 8, o.tv_moves(True)), lambda s, d: refine.tv_moves(_frozen(s, d, derive.skewed, 8)))
+register("refine_tm_gain", f"{o.state(o.skewed(256), 256)},\n{o._MESSAGE}\nSELECT v, p, part, g AS gain FROM gain", lambda s, d: refine.message_gains(_frozen(s, d, derive.skewed, 256)))
+register("refine_two_sweeps", None, lambda s, d: metrics.report(op(s, d), refine.refine(op(s, d), derive.skewed(op(s, d), 8), 8, "cn", 2)))
+
+# Colours and components
+_colour = "colours AS (SELECT DISTINCT v, v % 7 AS colour FROM pins), cnt AS (SELECT net, colour, count(*) AS n FROM pins JOIN colours USING (v) GROUP BY 1, 2), maj AS (SELECT net, colour FROM (SELECT *, row_number() OVER (PARTITION BY net ORDER BY n DESC, colour) AS r FROM cnt) WHERE r = 1)"
+_colours = lambda hg: hg.vertices.select("v", F.pmod("v", F.lit(7)).alias("colour"))
+register("colour_majority", f"{o.pins()}, {_colour} SELECT net, colour FROM maj", lambda s, d: graph.majority_colour(op(s, d), _colours(op(s, d))))
+register("colour_coarse", f"{o.pins()}, {_colour} SELECT v, colour FROM (SELECT v, maj.colour, row_number() OVER (PARTITION BY v ORDER BY net DESC) AS r FROM pins JOIN maj USING (net)) WHERE r = 1", lambda s, d: graph.colour_step(op(s, d), _colours(op(s, d))))
+register("colour_histogram", f"{o.pins()}, {_colour} SELECT colour, count(*) AS n FROM colours GROUP BY 1", lambda s, d: _colours(op(s, d)).groupBy("colour").agg(F.count(F.lit(1)).alias("n")))
+register("connected_components", f"{_b} SELECT v, (SELECT min(v) FROM pins) AS component FROM b", lambda s, d: graph.connected_components(po(s, d)))
