@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,11 +15,21 @@ def folder(spark: SparkSession) -> str:
     if not base:
         base = f"file://{tempfile.gettempdir()}/pinweave-tables"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pinweave-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pinweave-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended: the cluster's own cleaning takes over
+        pass
 
 
 def settle(df: DataFrame) -> DataFrame:
     """The rows written as Parquet and read again, which cuts the lineage of a loop and survives lost executors."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
