@@ -55,37 +55,60 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(first, ["conv_id", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
 
 
-def levels(calls: DataFrame, rounds: int = 1000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): the longest chain of calls that a call depends on; null in or behind a cycle.
 
-    Calls that depend on nothing in their conversation have level 0. A round settles the calls all of whose
-    dependencies are settled; it joins only those that are left, and is written to the shared folder.
+    Calls that depend on nothing in their conversation have level 0. A call with one dependency points to it; pointers
+    are doubled until they end at a call with none or several, so a chain of n calls takes log n rounds. Calls with
+    several are then settled in order, one round for each on the longest path. Rounds are written to the shared folder.
     """
-    nodes = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("depends_on", F.array().cast("array<string>"))))).alias("needs"))
-    ids = nodes.select("conv_id", "call_id")
-    edges = nodes.select("conv_id", "call_id", F.explode("needs").alias("need"))
-    edges = edges.join(ids.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi")
-    edges = stored(edges.select("conv_id", "call_id", "need"))
-    blocked = edges.select("conv_id", "call_id").distinct()
-    settled = [ids.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))]
-    settled[0] = stored(settled[0])
-    last = settled[0]
-    for level in range(1, rounds):
-        if edges.isEmpty():
-            break
-        done = last.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("done"))
-        marked = edges.join(done, ["conv_id", "need"], "left")
-        rest = stored(marked.where("done is null").select("conv_id", "call_id", "need"))
-        ready = edges.select("conv_id", "call_id").distinct().join(rest.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        last = stored(ready.withColumn("level", F.lit(level)))
-        if last.isEmpty():
-            break
-        settled.append(last)
-        edges = rest
-    found = settled[0]
-    for x in settled[1:]:
-        found = found.unionByName(x)
-    return found
+    key = ["conv_id", "call_id"]
+    nodes = calls.where("call_id is not null").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("depends_on", F.array().cast("array<string>"))))).alias("needs"))
+    ids = nodes.select(*key)
+    edges = nodes.select(*key, F.explode("needs").alias("need")).join(ids.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi")
+    edges = stored(edges.select(*key, "need"))
+    degree = stored(ids.join(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n")))
+    to = _chains(edges, degree)
+    level = stored(degree.where("n = 0").select(*key, F.lit(0).cast("bigint").alias("level")))
+    level = _joints(edges.join(degree.where("n > 1").select(*key), key, "left_semi"), to, level)
+    ends = to.join(level.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    return level.unionByName(ends)
+
+
+def _chains(edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, far) of calls with one dependency: where their chain ends, and how many calls away."""
+    one = degree.where("n = 1").select("conv_id", "call_id")
+    single = edges.join(one, ["conv_id", "call_id"], "left_semi")
+    inner = one.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("inner"))
+    to = single.join(inner, ["conv_id", "need"], "left").select("conv_id", "call_id", F.col("need").alias("anchor"), F.lit(1).cast("bigint").alias("far"), F.col("inner").isNull().alias("ended"))
+    to = stored(to)
+    longest = one.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    rounds = 0
+    # What has not ended after as many doublings as the longest possible chain takes runs in a circle.
+    while rounds < longest.bit_length() and not to.where("not ended").isEmpty():
+        step = to.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("far").alias("more"), F.col("ended").alias("done"))
+        moved = to.where("not ended").join(step, ["conv_id", "anchor"]).select("conv_id", "call_id", F.col("next").alias("anchor"), (F.col("far") + F.col("more")).alias("far"), F.col("done").alias("ended"))
+        to = stored(to.where("ended").unionByName(moved))
+        rounds += 1
+    return to.where("ended").drop("ended")
+
+
+def _joints(edges: DataFrame, to: DataFrame, level: DataFrame) -> DataFrame:
+    """Adds to the levels known those of the calls with several dependencies, given as edges."""
+    if edges.isEmpty():
+        return level
+    key = ["conv_id", "call_id"]
+    ends = to.withColumnRenamed("call_id", "need")
+    left = edges.join(ends, ["conv_id", "need"], "left").select(*key, F.coalesce("anchor", "need").alias("anchor"), F.coalesce("far", F.lit(0)).alias("far"))
+    left = stored(left)
+    while True:
+        known = left.join(level.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"], "left")
+        ready = known.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("known"), (F.max(F.col("level") + F.col("far")) + 1).alias("level")).where("n = known").select(*key, "level")
+        ready = stored(ready)
+        if ready.isEmpty():
+            return level
+        level = stored(level.unionByName(ready))
+        left = stored(left.join(ready.select(*key), key, "left_anti"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -247,6 +247,19 @@ def test_tool_calls(spark):
     assert tools.link(frame.where("false"), answers, schemas).count() == 0
 
 
+def test_levels_of_long_chains_and_joints(spark):
+    deep = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(300)]
+    rng = random.Random(1)
+    mixed = [(2, f"m{i}", [f"m{rng.randrange(i)}" for _ in range(rng.randint(0, 3))] if i else []) for i in range(60)]
+    circle = [(3, "a", ["c"]), (3, "b", ["a"]), (3, "c", ["b"]), (3, "d", ["c"]), (3, "e", ["d", "f"]), (3, "f", [])]
+    frame = spark.createDataFrame(deep + mixed + circle, "conv_id long, call_id string, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in tools.levels(frame).collect()}
+    expected = {}
+    for c, x, needs in deep + mixed:
+        expected[c, x] = max((expected[c, n] + 1 for n in needs), default=0)
+    assert got == expected | {(3, "f"): 0}
+
+
 # 6
 def test_chain_is_optimal_on_small_inputs():
     rng = random.Random(9)
