@@ -1,42 +1,14 @@
-"""Tables written to the folder that driver and executors share, and small helpers for Arrow-backed stages."""
+"""Helpers for Arrow-backed stages, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinweave.ship import ship
+from pinweave.store import settle as stored
 
-
-def folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a machine-local folder only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/pinweave-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/pinweave-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended: the cluster's own cleaning takes over
-        pass
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["kept_columns", "stored"]
 
 
 def kept_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pinweave.llm.components import components
 from pinweave.llm.shared import kept_columns, stored
 from pinweave.llm.words import BLANK, LOWER, per_document, slices, spans
+from pinweave.ship import ship
 
 BITS, DISTANCE, SEED, SHINGLE = 64, 4, 42, 4
 
@@ -156,7 +157,7 @@ def links(fps: DataFrame, parts: int, distance: int = DISTANCE, hot: int = 20_00
 
     An anchor that is home to more than ``hot`` fingerprints is split by the home's hash; the copies go to each split.
     """
-    spark = fps.sparkSession
+    ship(fps.sparkSession)
 
     def home_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pinweave.llm.shared import kept_columns, stored
 from pinweave.llm.words import LOWER, Slice, Table, cuts, gather, hashes, slices
+from pinweave.ship import ship
 
 END_ID = 2
 
@@ -297,6 +298,7 @@ def load(row: dict) -> WaveletMatrix:
 
 def documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the shards' bit planes."""
+    ship(shards.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,6 +323,7 @@ def documents(shards: DataFrame) -> DataFrame:
 
 def count_token(shards: DataFrame, token: int) -> DataFrame:
     """Occurrences of a token id per shard, from rank alone."""
+    ship(shards.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

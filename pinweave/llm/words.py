@@ -90,7 +90,7 @@ def per_document(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << max(22, (n - 1).bit_length())
+        size = 1 << max(20, (n - 1).bit_length())
         for k, base in enumerate((_BASE, _UNBASE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
