@@ -309,6 +309,17 @@ def test_passages(spark):
     assert passages.repeated_passages(frame.where("doc_id = 0").unionByName(frame.where("doc_id = 0"))).count() == 0
 
 
+def test_a_passage_whose_seeds_meet_different_documents(spark):
+    """The first words' seeds pair with one document, the last words' with another; neither shows the whole."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    for trial in range(3):
+        unique = lambda n: [f"q{rng.getrandbits(60)}" for _ in range(n)]
+        rows = [passage[: 40 + trial] + unique(20), unique(30) + passage[-35:] + unique(9), unique(15) + passage + unique(25), unique(40) + passage + unique(5)]
+        found = passages.repeated_passages(docs(spark, [" ".join(r) for r in rows]).repartition(4)).collect()
+        assert {(r.doc_id, r.start, r.end) for r in found} == {(2, 15, 75), (3, 40, 100)}
+
+
 def test_a_passage_that_many_share_gives_pairs_in_proportion(spark):
     passage = " ".join(f"s{i}" for i in range(70))
     rows = [f"{' '.join(f'x{d}y{i}' for i in range(20))} {passage}" for d in range(300)]
