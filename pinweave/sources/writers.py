@@ -20,7 +20,7 @@ def write_parts(parts: DataFrame, path: str, single: bool = True) -> None:
 
 def part_path(source: str, k: int) -> str:
     """Where the part vector of an input goes by default."""
-    return f"{source}.fastpart.{k}"
+    return f"{source}.parts.{k}"
 
 
 def hypergraph_lines(hg: Hypergraph, base: int = 0) -> DataFrame:

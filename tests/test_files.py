@@ -109,7 +109,7 @@ def test_command_line(spark, tmp_path, capsys):
     path = put(tmp_path / "a.hg", TEXT)
     main(["partition", "-f", path, "-k", "2", "-m", "tv", "-r", "-i", "1"], spark)
     out = capsys.readouterr().out
-    assert "tv" in out and (tmp_path / "a.hg.fastpart.2").is_dir()
+    assert "tv" in out and (tmp_path / "a.hg.parts.2").is_dir()
     mtx = put(tmp_path / "a.mtx", "%%MatrixMarket matrix coordinate pattern symmetric\n3 3 2\n2 1\n3 2\n")
     main(["convert", "-f", mtx, "-o", str(tmp_path / "out.hg")], spark)
     (file,) = (tmp_path / "out.hg").glob("part-*")
