@@ -330,6 +330,31 @@ def test_a_passage_that_many_share_gives_pairs_in_proportion(spark):
     assert {r.doc_id for r in got} == set(range(300)) and {(r.start, r.end) for r in got} == {(20, 90)}
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_equal_passages_are_found_whoever_else_has_parts(spark, partitions):
+    """Each document's places in runs of 50 words that another document has, in one slice and in several."""
+    rng = random.Random(21)
+    unique = lambda n: [f"q{rng.getrandbits(60)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(60)]
+    rows = [passage[:40] + unique(20), unique(30) + passage[-35:] + unique(9), unique(15) + passage + unique(25), unique(40) + passage + unique(5)]
+    for t in range(40):
+        long = [f"t{t}w{i}" for i in range(rng.randint(50, 90))]
+        for _ in range(4):
+            a = rng.randint(0, len(long) - 30)
+            cut = long[a : a + rng.randint(30, 90)]
+            rows.append(unique(rng.randint(0, 9)) + cut + unique(rng.randint(0, 9)) + (cut if rng.random() < 0.2 else []))
+        rows += [unique(3) + long, long[:50] + unique(4)]
+    runs = defaultdict(set)
+    for d, r in enumerate(rows):
+        for i in range(len(r) - 49):
+            runs[tuple(r[i : i + 50])].add(d)
+    expected = {(d, i + j) for d, r in enumerate(rows) for i in range(len(r) - 49) if len(runs[tuple(r[i : i + 50])]) > 1 for j in range(50)}
+    frame = spark.createDataFrame([(d, " ".join(r)) for d, r in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    found = passages.repeated_passages(frame if partitions == 1 else frame.repartition(partitions)).collect()
+    assert {(2, 15, 75), (3, 40, 100)} <= {(r.doc_id, r.start, r.end) for r in found}
+    assert {(r.doc_id, i) for r in found for i in range(r.start, r.end)} == expected
+
+
 # 7
 @given(st.lists(st.integers(0, 40), max_size=600))
 @settings(max_examples=40, deadline=None)
