@@ -342,7 +342,7 @@ def test_equal_passages_are_found_whoever_else_has_parts(spark, partitions):
         for _ in range(4):
             a = rng.randint(0, len(long) - 30)
             cut = long[a : a + rng.randint(30, 90)]
-            rows.append(unique(rng.randint(0, 9)) + cut + unique(rng.randint(0, 9)) + (cut if rng.random() < 0.2 else []))
+            rows.append(unique(rng.randint(0, 9)) + cut + unique(30) + (cut if rng.random() < 0.2 else []))
         rows += [unique(3) + long, long[:50] + unique(4)]
     runs = defaultdict(set)
     for d, r in enumerate(rows):
@@ -355,6 +355,32 @@ def test_equal_passages_are_found_whoever_else_has_parts(spark, partitions):
     assert {(r.doc_id, i) for r in found for i in range(r.start, r.end)} == expected
 
 
+def test_extension_crosses_gaps_and_clusters():
+    a = list(range(60))
+    for b, taken in ((a[:10] + [-1] + a[10:], 61), (a[:10] + a[11:], 59), ([-1, -2, -3, -4] + a[4:], 60)):
+        assert passages.extend(a, [*b, *range(-90, -50)])[:2] == (60, taken)
+    assert passages.extend(a, [-1] * 60)[:2] == (0, 0) and passages.extend(a, [])[:2] == (0, 0)
+
+
+def test_passages_with_one_common_run(spark):
+    """An inserted word, replaced words next to the run, and a passage far longer than what is fetched at first."""
+    rng = random.Random(31)
+    unique = lambda n: [f"q{rng.getrandbits(60)}" for _ in range(n)]
+    # Every sixth word replaced: no six words in a row are equal, except in the run.
+    fuzzy = lambda p, a, z: [w if a <= i < z or i % 6 else unique(1)[0] for i, w in enumerate(p)]
+    short, near, long = unique(61), unique(61), unique(601)
+    inserted = fuzzy(short, 1, 19)
+    inserted[28:28] = unique(1)
+    cluster = near[:19] + unique(4) + fuzzy(near[23:], 0, 0)
+    pairs = [(short, inserted), (near, cluster), (long, fuzzy(long, 290, 310))]
+    rows = [" ".join(unique(100) + text + unique(100)) for pair in pairs for text in pair]
+    found = {r.doc_id: (r.start, r.end) for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    for i, pair in enumerate(pairs):
+        for j in range(2):
+            start, end = found[2 * i + j]
+            assert abs(start - 100) <= 6 and abs(end - 100 - len(pair[j])) <= 6
+
+
 # 7
 @given(st.lists(st.integers(0, 40), max_size=600))
 @settings(max_examples=40, deadline=None)
