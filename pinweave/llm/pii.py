@@ -86,19 +86,24 @@ def _spans(kind: Kind) -> Column:
         start = acc["at"] + F.length(pair["piece"])
         stop = start + F.length(pair["match"])
         one = F.struct(F.lit(kind.name).alias("kind"), start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
-        return F.struct(stop.cast("bigint").alias("at"), F.when(pair["ok"], F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(stop.cast("bigint").alias("at"), F.when(pair["ok"] & _likely(kind, start), F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    pairs = F.zip_with(between, matches, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match"), F.coalesce(match.isNotNull() & kind.valid(match) & _likely(kind, piece), F.lit(False)).alias("ok")))
+    pairs = F.zip_with(between, matches, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match"), F.coalesce(match.isNotNull() & kind.valid(match) & _apart(kind, piece), F.lit(False)).alias("ok")))
     walked = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), state, step)["spans"]
     return F.when(F.col("body").rlike(kind.hint), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _likely(kind: Kind, before: Column) -> Column:
-    if kind.base:
+def _apart(kind: Kind, before: Column) -> Column:
+    return F.lit(True) if kind.base else ~before.rlike("[A-Za-z0-9.]$")
+
+
+def _likely(kind: Kind, start: Column) -> Column:
+    """Whether the score reaches the least; context words count wherever they stand before the span, over other matches, too."""
+    if kind.base or kind.score >= LEAST:
         return F.lit(True)
-    near = F.lower(F.substring(before, -CONTEXT, CONTEXT))
-    score = F.lit(kind.score) + F.when(near.rlike(kind.words), BOOST).otherwise(0.0)
-    return (score >= LEAST) & ~before.rlike("[A-Za-z0-9.]$")
+    begin = F.greatest(start - CONTEXT, F.lit(0)).cast("int")
+    near = F.lower(F.col("body").substr(begin + 1, start.cast("int") - begin))
+    return F.lit(kind.score) + F.when(near.rlike(kind.words), BOOST).otherwise(0.0) >= LEAST
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:

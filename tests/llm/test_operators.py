@@ -151,6 +151,14 @@ def test_checksums_and_context(spark):
     assert masked[6].score == "en"
 
 
+def test_context_words_count_over_numbers_in_between(spark):
+    rows = ["Amex card exp 12/27: 378282246310005", "card 12 34/56" + " " * 30 + "378282246310005", "😀 card 12/27: 378282246310005 and 12/27: 378282246310005"]
+    frame = docs(spark, rows)
+    got, masked = by_id(pii.pii(frame)), by_id(pii.mask(frame))
+    assert [got[i].spans for i in range(3)] == ["short_card:21:36", "", "short_card:14:29,short_card:41:56"]
+    assert masked[0].text == "Amex card exp 12/27: <SHORT_CARD>"
+
+
 # 3
 def test_toxicity_learns_and_does_not_look_at_held_out_rows(spark):
     rng = random.Random(2)
