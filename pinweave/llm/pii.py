@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
 Only built-in functions. A text is split at a pattern's matches; the pieces' and matches' lengths, summed up in turn,
-give the spans. The patterns are the plain ones with two changes that keep their matches and make them linear: a run is
+give the spans. Sums run in blocks and texts are cut from blocks, as a list that grows by one in a fold is copied each
+time, and characters are counted from a text's start: the work grows with the text, not with its square. The patterns are the plain ones with two changes that keep their matches and make them linear: a run is
 only tried from its start (or where the last match ended), and never given back.
 """
 
@@ -76,33 +77,71 @@ CONTEXT, BOOST, LEAST = 40, 0.4, 0.5
 SPAN = "struct<kind:string,start:bigint,stop:bigint>"
 
 
+#: Numbers summed up, and characters of a text held, as one block.
+BLOCK, CHARACTERS = 128, 1024
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, whatever number of times it is looked at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array of bigint what ``plus`` makes of 0 and all values before it."""
+    zero = F.lit(0).cast("bigint")
+
+    def walked(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, state, lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def blocked(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda i: F.slice(values, i, F.lit(BLOCK)))
+        whole = F.transform(blocks, lambda b: F.aggregate(b, zero, plus))
+        return F.flatten(F.zip_with(blocks, walked(whole, zero), walked))
+
+    return _bound(values, lambda v: F.when(F.size(v) <= BLOCK, walked(v, zero)).otherwise(blocked(v)))
+
+
+def _add(x: Column, y: Column) -> Column:
+    return x + y
+
+
 def _spans(kind: Kind) -> Column:
     """All confirmed spans of a kind, by start; offsets are code points, the stop exclusive."""
     matches = F.expr(f"regexp_extract_all(body, r'{kind.pattern}', 0)")
     between = F.expr(f"split(body, r'{kind.pattern}', -1)")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    pairs = F.zip_with(between, matches, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match"), F.coalesce(match.isNotNull() & kind.valid(match) & _apart(kind, piece), F.lit(False)).alias("ok")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        stop = start + F.length(pair["match"])
-        one = F.struct(F.lit(kind.name).alias("kind"), start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
-        return F.struct(stop.cast("bigint").alias("at"), F.when(pair["ok"] & _likely(kind, start), F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda p: (F.length(p["piece"]) + F.coalesce(F.length(p["match"]), F.lit(0))).cast("bigint"))
 
-    pairs = F.zip_with(between, matches, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match"), F.coalesce(match.isNotNull() & kind.valid(match) & _apart(kind, piece), F.lit(False)).alias("ok")))
-    walked = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), state, step)["spans"]
-    return F.when(F.col("body").rlike(kind.hint), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
+        def spans(before: Column) -> Column:
+            def span(p: Column, i: Column) -> Column:
+                start = F.get(before, i) + F.length(p["piece"])
+                return F.when(p["ok"] & _likely(kind, pairs, p, i), F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(p["match"])).alias("stop")))
+
+            return F.filter(F.transform(pairs, span), lambda x: x.isNotNull())
+
+        return _bound(_before(lengths, _add), spans)
+
+    return F.when(F.col("body").rlike(kind.hint), _bound(pairs, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _apart(kind: Kind, before: Column) -> Column:
     return F.lit(True) if kind.base else ~before.rlike("[A-Za-z0-9.]$")
 
 
-def _likely(kind: Kind, start: Column) -> Column:
-    """Whether the score reaches the least; context words count wherever they stand before the span, over other matches, too."""
+def _likely(kind: Kind, pairs: Column, own: Column, i: Column) -> Column:
+    """Whether the score reaches the least; context words count wherever they stand before the span, over other matches, too.
+
+    A piece and a match have three characters at least, so a few of those before hold the whole context.
+    """
     if kind.base or kind.score >= LEAST:
         return F.lit(True)
-    begin = F.greatest(start - CONTEXT, F.lit(0)).cast("int")
-    near = F.lower(F.col("body").substr(begin + 1, start.cast("int") - begin))
+    n = F.least(i, F.lit(CONTEXT // 3 + 1))
+    parts = F.flatten(F.transform(F.slice(pairs, i - n + 1, n), lambda p: F.array(p["piece"], p["match"])))
+    near = F.lower(F.right(F.concat(F.array_join(parts, ""), own["piece"]), F.lit(CONTEXT)))
     return F.lit(kind.score) + F.when(near.rlike(kind.words), BOOST).otherwise(0.0) >= LEAST
 
 
@@ -127,30 +166,36 @@ def pii(docs: DataFrame, text: str = "text") -> DataFrame:
     return find(docs, text).select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base], F.sha2(listed(F.concat(*map(F.col, base))), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
-def _walk() -> Column:
-    """Where the last span of the body stops, and the parts up to there with each span replaced by its kind.
-
-    Where spans overlap, the first one's kind stands for both.
-    """
+def _masked() -> Column:
+    """The body with each span replaced by its kind; where spans overlap, the first one's kind stands for both."""
     every = F.array_sort(F.flatten(F.array(*[F.transform(k.name, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))) for k in KINDS])))
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    blocks = F.expr(f"regexp_extract_all(body, '(?s).{{1,{CHARACTERS}}}', 0)")
+
+    def cut(blocks: Column, start: Column, stop: Column) -> Column:
+        first = F.floor(start / CHARACTERS).cast("int")
+        parts = F.slice(blocks, first + 1, F.floor(stop / CHARACTERS).cast("int") - first + 1)
+        return F.substring(F.array_join(parts, ""), (start - first * CHARACTERS + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+
+    def built(blocks: Column) -> Column:
+        def masked(spans: Column) -> Column:
+            def replaced(reach: Column) -> Column:
+                one = lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(cut(blocks, F.get(reach, i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+                last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+                return F.concat(F.array_join(F.transform(spans, one), ""), cut(blocks, last, F.length("body").cast("bigint")))
+
+            # Where all spans before a span stop.
+            return _bound(_before(F.transform(spans, lambda s: s["stop"]), lambda x, y: F.greatest(x, y)), replaced)
 
-    def step(acc: Column, s: Column) -> Column:
-        at = acc["at"].cast("int")
-        before = F.col("body").substr(at + 1, (s["start"] - at).cast("int"))
-        more = F.concat(acc["parts"], F.array(before, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), more.alias("parts"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["parts"].alias("parts")))
+        return _bound(every, masked)
 
-    return F.aggregate(every, state, step)
+    return F.when(F.size(every) == 0, F.col("body")).otherwise(_bound(blocks, built))
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows, with all their columns, with the spans of the text masked; null stays null."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    found = rows.select("row", "body", *[_spans(k).alias(k.name) for k in KINDS]).withColumn("walked", _walk())
-    rest = F.expr("substring(body, cast(walked.at + 1 as int))")
-    new = F.concat(F.array_join(F.col("walked.parts"), ""), rest)
-    return found.select(*[F.when(F.col(f"row.`{c}`").isNotNull(), new).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+    found = rows.select("row", "body", *[_spans(k).alias(k.name) for k in KINDS])
+    return found.select(*[F.when(F.col(f"row.`{c}`").isNotNull(), _masked()).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _sql_kind(name: str, pattern: str, valid: str) -> str:
