@@ -1,4 +1,4 @@
-"""Connected components by alternating star contractions, each round one shuffle of the links."""
+"""Connected components by alternating star contractions, each round two shuffles of the links."""
 
 from __future__ import annotations
 
@@ -8,31 +8,45 @@ from pyspark.sql import functions as F
 from pinweave.llm.shared import stored
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """(a, b, m): each row with the least m of its a, given as (a, m, n) with the number n of a's rows.
+
+    Nodes with over ``hot`` rows are broadcast in place of shuffling all their rows to one task; there are at most as many
+    of them as ``hot`` goes into the rows.
+    """
+    heavy = F.broadcast(least.where(F.col("n") > hot).select("a", "m"))
+    light = least.where(F.col("n") <= hot).select("a", "m")
+    return rows.join(heavy, "a").unionByName(rows.join(heavy.select("a"), "a", "left_anti").join(light, "a"))
+
+
+def _large(edges: DataFrame, hot: int) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+    return _with_least(both.where("b > a"), least, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, hot: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _with_least(down, least, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return joined.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, hubs: int = 1000) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the least node of its component.
 
     Each round is written to the shared folder, which cuts the lineage; the rounds grow with the logarithm of the
-    longest chain. No links give no rows.
+    longest chain. A node with over one in ``hubs`` of all links, as the middle of a large component, is no key of a
+    shuffle: at most ``hubs`` such nodes are broadcast. No links give no rows; a link of a node with itself or with
+    null is none, and repeated links count once.
     """
     edges = stored(edges.select("a", "b").where("a <> b").distinct())
-    before = None
+    before, n = None, edges.count()
     for _ in range(rounds):
-        edges = stored(_small(_large(edges)))
+        hot = max(n // hubs, hubs)
+        edges = stored(_small(stored(_large(edges, hot)), hot))
         n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, total) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("b", "b").distinct().toDF("node", "root"))

@@ -126,36 +126,37 @@ def copies(fp: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.nda
 
 def _links(home: np.ndarray, near: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within one anchor: a search in which what is reached is not compared again."""
-    nodes = np.unique(np.concatenate([home, near]))
-    unseen = nodes
+    unseen = np.unique(np.concatenate([home, near]))
+    reached: set[int] = set()
     a, b = [], []
-    start = np.unique(home)
-    for x in start:
-        i = np.searchsorted(unseen, x)
-        if i >= len(unseen) or unseen[i] != x:
+    for x in np.unique(home):
+        if int(x) in reached:
             continue
-        unseen = np.delete(unseen, i)
         stack = [x]
         while stack and len(unseen):
             y = stack.pop()
             close = np.bitwise_count(unseen ^ y) <= distance
             if close.any():
-                got = unseen[close]
-                unseen = unseen[~close]
+                got, unseen = unseen[close], unseen[~close]
+                got = got[got != x]
                 a.append(np.full(len(got), y))
                 b.append(got)
                 stack.extend(got)
+                reached.update(got.tolist())
     none = np.zeros(0, np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+#: Pairs of a group up to which all are compared at once.
 DENSE = 4096
 
 
-def links(fps: DataFrame, parts: int, distance: int = DISTANCE, hot: int = 20_000) -> DataFrame:
+def links(fps: DataFrame, parts: int, distance: int = DISTANCE, hot: int = 20_000, gathered: int = 100_000) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all that are within the distance, not every such pair.
 
-    An anchor that is home to more than ``hot`` fingerprints is split by the home's hash; the copies go to each split.
+    An anchor that is home to more than ``hot`` fingerprints is cut into a grid by the hashes of homes and copies, so that
+    no task has more than about ``hot`` of its homes, nor the copies of more than ``hot`` homes from each anchor nearby.
+    In a task the homes of an anchor come first and are held, its copies pass by in batches.
     """
     ship(fps.sparkSession)
 
@@ -178,42 +179,57 @@ def links(fps: DataFrame, parts: int, distance: int = DISTANCE, hot: int = 20_00
     copy = fps.mapInArrow(copy_rows, schema)
     # Few anchors are this full, at most one for each `hot` fingerprints of a part.
     full = home.groupBy("part", "anchor").count().where(F.col("count") > hot).select("part", "anchor", F.ceil(F.col("count") / hot).cast("int").alias("splits"))
-    home = home.join(full, ["part", "anchor"], "left").select("part", "anchor", F.pmod(F.xxhash64("fp"), F.coalesce("splits", F.lit(1))).cast("int").alias("split"), "fp", F.lit(True).alias("home"))
-    copy = copy.join(full, ["part", "anchor"], "left").select("part", "anchor", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("split"), "fp", F.lit(False).alias("home"))
-    met = home.unionByName(copy).repartition(F.col("part"), F.col("anchor"), F.col("split")).sortWithinPartitions("part", "anchor", "split")
+    home, copy = (x.join(full, ["part", "anchor"], "left").withColumn("splits", F.coalesce("splits", F.lit(1))) for x in (home, copy))
+    share = lambda seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col("splits")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
+    home = home.select("part", "anchor", "splits", share(0).alias("row"), each.alias("column"), "fp", F.lit(True).alias("home"))
+    copy = copy.select("part", "anchor", "splits", each.alias("row"), share(1).alias("column"), "fp", F.lit(False).alias("home"))
+    group = ["part", "anchor", "row", "column"]
+    met = home.unionByName(copy).withColumn("row", F.when(F.col("splits") > 1, F.col("row")).otherwise(-1)).drop("splits").repartition(*group).sortWithinPartitions(*group, F.desc("home"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pa.concat_batches([held, batch])
-            if held.num_rows < 100_000:
-                continue
-            key = _keys(held)
-            last = int(np.flatnonzero(np.any(key[:-1] != key[-1], axis=1))[-1]) + 1 if np.any(key[0] != key[-1]) else 0
-            if last:
-                yield _compare(held.slice(0, last), distance)
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield _compare(held, distance)
+        last, homes_ = None, np.zeros(0, np.uint64)
+        for batch in _gathered(batches, gathered):
+            key, fp, home = _columns(batch)
+            if last is not None and np.array_equal(key[0], last):
+                key = np.concatenate([np.broadcast_to(last, (len(homes_), key.shape[1])), key])
+                fp, home = np.concatenate([homes_, fp]), np.concatenate([np.ones(len(homes_), dtype=bool), home])
+            yield _compare(key, fp, home, distance)
+            last = key[-1]
+            homes_ = fp[home & (key == last).all(axis=1)]
 
     return met.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "anchor", "split")], axis=1)
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones put together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if any(x.num_rows for x in held):
+        yield pa.concat_batches(held)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, fingerprint and whether it is a home of each row."""
+    key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "anchor", "row", "column")], axis=1)
+    return key, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("home").to_numpy(zero_copy_only=False)
 
 
-def _compare(batch: pa.RecordBatch, distance: int) -> pa.RecordBatch:
-    """Links found in whole groups of rows that share part, anchor and split."""
-    key = _keys(batch)
+def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int) -> pa.RecordBatch:
+    """Links between the homes and the copies of each group; rows of a group stand together.
+
+    Of crowded groups and of cells of a grid (row 0 and up) a spanning forest of them.
+    """
     new = np.concatenate([[True], np.any(key[1:] != key[:-1], axis=1)])
     group = np.cumsum(new) - 1
-    fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-    home = batch.column("home").to_numpy(zero_copy_only=False)
     h, c = np.flatnonzero(home), np.flatnonzero(~home)
     nc = np.bincount(group[c], minlength=group[-1] + 1)
     nh = np.bincount(group[h], minlength=group[-1] + 1)
-    dense = nc * nh > DENSE
+    dense = (nc * nh > DENSE) | (key[new, 2] >= 0)
     a, b = [], []
     for g in np.flatnonzero(dense):
         x, y = _links(fp[h[group[h] == g]], fp[c[group[c] == g]], distance)
@@ -235,18 +251,21 @@ def _compare(batch: pa.RecordBatch, distance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64)), pa.array(pair[:, 1].view(np.int64))], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text", parts: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents linked over chains of fingerprints at most ``distance`` bits apart.
 
     component_id is the smallest doc_id reachable; equal fingerprints are linked. A null or empty text has fingerprint
     zero and is linked like any other; repeated rows come out as often as they came in; a null doc_id is no id.
+
+    ``parts`` is 3 or 2: halves of the bits have more anchors, with fewer fingerprints each but 340 copies of every
+    fingerprint in place of 45. The links are the same.
     """
+    if parts not in (2, 3):
+        raise ValueError(f"the covering is for 2 or 3 parts, not {parts}")
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"the covering is for distances up to {DISTANCE}")
     own = stored(fingerprints(docs, text=text))
     classes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    n = classes.count()
-    parts = 3 if n < 1 << 21 else 2  # halves have many more anchors, for corpora where thirds would fill theirs
     found = links(classes.select("fp"), parts, distance)
     root = components(found.select("a", "b"))
     label = classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
