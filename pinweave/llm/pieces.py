@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pinweave.llm.shared import kept_columns
-from pinweave.llm.words import Slice, Table, cuts, gather, hashes, mix, slices
+from pinweave.llm.words import Known, Runs, Slice, Table, cuts, gather, hashes, mix, slices
 
 SPACE = "▁".encode()
 #: Follows each chunk in the concatenated text; no UTF-8 text has it.
 _END = 0xFF
+#: Pairs of tokens of which a worker keeps whether they may stand side by side, and bytes of new chunks indexed at a time.
+PAIRS, INDEX_BYTES = 500_000, 1 << 18
 
 
 class Index:
@@ -132,13 +134,9 @@ class Pieces:
             raise ValueError("this model joins characters that it has no piece for, or words")
         self.out_start = np.concatenate([[0], np.cumsum([len(x) for x in self.output])])
         self.out_bytes = np.frombuffer(b"".join(self.output), np.uint8)
-        self.pairs, self.pair_ok = Table(16), np.zeros(0, dtype=bool)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.table = Table(16)
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.tokens, self.used = np.zeros(1 << 20, np.int32), 0
+        self.raw = {k: x for x, k in self.of.items()}
+        self.path, self.known = path, Known(np.int32)
+        self.pairs, self.pair_ok = Table(), Runs(bool)
 
     def merge(self, text: str) -> list[bytes]:
         """Byte-pair merging of a short text: the best-ranked pair first, the leftmost on ties."""
@@ -154,16 +152,13 @@ class Pieces:
         """Whether each pair of token ids may stand side by side; answers are kept."""
         key = mix(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
         key[key == 0] = 1
+        if self.pairs.size > PAIRS:
+            self.pairs, self.pair_ok = Table(), Runs(bool)
         at, new = self.pairs.ids(key)
         if len(new):
-            raw = {k: x for x, k in self.of.items()} if not hasattr(self, "_raw") else self._raw
-            self._raw = raw
-            ok = []
-            for a, b in zip(left[new].tolist(), right[new].tolist(), strict=True):
-                x, y = raw[a], raw[b]
-                ok.append(self.merge((x + y).decode()) == [x, y])
-            self.pair_ok = np.concatenate([self.pair_ok, ok])
-        return self.pair_ok[at]
+            ok = [self.merge((self.raw[a] + self.raw[b]).decode()) == [self.raw[a], self.raw[b]] for a, b in zip(left[new].tolist(), right[new].tolist(), strict=True)]
+            self.pair_ok.put(np.array(ok, bool), np.ones(len(ok), np.int64))
+        return self.pair_ok.values[at]
 
     def chunks(self, s: Slice) -> np.ndarray:
         """Offsets in a slice where a chunk starts."""
@@ -181,34 +176,39 @@ class Pieces:
         sizes = np.diff(s.offsets)
         if not len(s.buf):
             return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
-        if self.table.size > 4_000_000:
-            self._clear()
         starts = self.chunks(s)
         ends = np.append(starts[1:], len(s.buf))
         h = hashes(s.buf, starts, ends)
+        # A chunk that opens a document has other ids than the same bytes elsewhere.
         opening = np.isin(starts, s.offsets[:-1][sizes > 0])
-        h = np.where(opening, mix(h), h)
-        which, new = self.table.ids(h)
-        if len(new):
-            self._learn(s.buf, starts[new], ends[new], opening[new])
-        lengths = self.sizes[which]
+        which, new = self.known.find(s.buf, starts, ends, np.where(opening, mix(h), h))
+        for lo, hi in self._groups(ends[new] - starts[new]):
+            self._learn(s.buf, starts[new[lo:hi]], ends[new[lo:hi]], opening[new[lo:hi]])
+        if not self.known.right(which, s.buf, starts, ends):
+            return self._whole(s)
+        ids, lengths = self.known.ids.take(which)
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return gather(self.tokens, self.starts[which], lengths), np.diff(total[np.searchsorted(starts, s.offsets)])
+        return ids, np.diff(total[np.searchsorted(starts, s.offsets)])
+
+    def _whole(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, each document by the library at once."""
+        from sentencepiece import SentencePieceProcessor
+
+        raw, library = s.buf.tobytes(), SentencePieceProcessor(model_file=self.path)
+        each = [library.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
+        return np.fromiter((i for x in each for i in x), np.int32), np.array([len(x) for x in each], np.int64)
+
+    @staticmethod
+    def _groups(sizes: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of new chunks of some ``INDEX_BYTES`` each: the index and its edges take 200 times the room of their text."""
+        group = (np.cumsum(sizes) - sizes) // INDEX_BYTES
+        edge = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(sizes)]]) if len(sizes) else np.zeros(1, np.int64)
+        return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
     def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, opening: np.ndarray) -> None:
-        raw = buf.tobytes()
-        parts = [(SPACE if o else b"") + raw[a:b].replace(b" ", SPACE) for a, b, o in zip(starts.tolist(), ends.tolist(), opening.tolist(), strict=True)]
-        text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
-        tokens, counts = self.relax(text)
-        size = self.table.size
-        if size > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(size, np.int64)]) for x in (self.starts, self.sizes))
-        while self.used + len(tokens) > len(self.tokens):
-            self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
-        self.tokens[self.used : self.used + len(tokens)] = tokens
-        self.sizes[size - len(counts) : size] = counts
-        self.starts[size - len(counts) : size] = self.used + np.cumsum(counts) - counts
-        self.used += len(tokens)
+        parts = [(SPACE if o else b"") + buf[a:b].tobytes().replace(b" ", SPACE) for a, b, o in zip(starts.tolist(), ends.tolist(), opening.tolist(), strict=True)]
+        tokens, counts = self.relax(np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8))
+        self.known.ids.put(tokens, counts)
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, token) of every occurrence of a piece, and of every character that is no piece (token -1)."""

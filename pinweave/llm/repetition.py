@@ -18,11 +18,29 @@ MIN_WORDS = 10
 MAX_COVERED, MAX_LONGEST = 20, 50
 
 
-def suffix_array(keys: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+class Level:
+    """Ranks of suffixes by their first ``size`` words; only of those that some other suffix shares the words with."""
+
+    def __init__(self, size: int, rank: np.ndarray, open_: np.ndarray):
+        self.size, kind = size, np.int32 if len(rank) < 1 << 31 else np.int64
+        self.at = None if 2 * len(open_) > len(rank) else np.sort(open_).astype(kind)
+        self.rank = (rank if self.at is None else rank[self.at]).astype(kind)
+
+    def same(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether two different suffixes agree in so many words."""
+        if self.at is None:
+            return self.rank[x] == self.rank[y]
+        if not len(self.at):
+            return np.zeros(len(x), dtype=bool)
+        i, j = (np.minimum(np.searchsorted(self.at, z), len(self.at) - 1) for z in (x, y))
+        return (self.at[i] == x) & (self.at[j] == y) & (self.rank[i] == self.rank[j])
+
+
+def suffix_array(keys: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[Level]]:
     """Suffix array of words by prefix doubling, and the ranks by the first 1, 2, 4, ... words.
 
     ``keys`` are equal where words of one document are equal and never for words of two; ``end`` is where each word's
-    document ends. Only suffixes that are not told apart yet are sorted again.
+    document ends. Only suffixes that are not told apart yet are sorted again, and only their ranks are kept.
     """
     n = len(keys)
     order = np.argsort(keys, kind="stable")
@@ -30,9 +48,9 @@ def suffix_array(keys: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tu
     group = keys[order]
     new = np.concatenate([[True], group[1:] != group[:-1]])
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels = [(1, rank.copy())]
     alone = new & np.concatenate([new[1:], [True]])
     open_ = order[~alone]
+    levels = [Level(1, rank, open_)]
     k = 1
     while len(open_):
         after = open_ + k
@@ -49,7 +67,7 @@ def suffix_array(keys: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[tu
         rank[open_] = first + np.maximum.accumulate(np.where(new, at, 0)) - base
         open_ = open_[~(new & np.concatenate([new[1:], [True]]))]
         k *= 2
-        levels.append((k, rank.copy()))
+        levels.append(Level(k, rank, open_))
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
     return suffixes, levels
@@ -68,11 +86,11 @@ def longest_repeats(keys: np.ndarray, end: np.ndarray) -> np.ndarray:
     t = np.flatnonzero(same)
     a, b = suffixes[t], suffixes[t + 1]
     lcp = np.zeros(len(t), np.int64)
-    for k, rank in reversed(levels):
+    for level in reversed(levels):
         x, y = a + lcp, b + lcp
         ok = (x < end[a]) & (y < end[b])
         x, y = np.where(ok, x, 0), np.where(ok, y, 0)
-        lcp += np.where(ok & (rank[x] == rank[y]), k, 0)
+        lcp += np.where(ok & level.same(x, y), level.size, 0)
     out = np.zeros(n, np.int64)
     np.maximum.at(out, a, lcp)
     np.maximum.at(out, b, lcp)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinweave.llm.shared import kept_columns, stored
-from pinweave.llm.words import LOWER, Slice, Table, cuts, gather, hashes, slices
+from pinweave.llm.words import LOWER, Known, Slice, cuts, hashes, slices
 from pinweave.ship import ship
 
 END_ID = 2
@@ -159,12 +159,7 @@ class ByteBpe:
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
-        self.table = Table(16)
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.used = np.zeros(1 << 20, self.kind), 0
+        self.known = Known(self.kind)
 
     def chunks(self, s: Slice) -> np.ndarray:
         """Offsets in the slice where a chunk starts."""
@@ -190,19 +185,23 @@ class ByteBpe:
         """The ids of a slice's documents, one after the other, and the number of each document."""
         raw = s.buf.tobytes()
         if self.SPECIAL in raw:
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
-            each = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.fromiter((i for x in each for i in x), self.kind), np.array([len(x) for x in each], np.int64)
-        if self.table.size > 4_000_000:
-            self._clear()
+            return self._whole(raw, s.offsets)
         starts = self.chunks(s)
         ends = np.append(starts[1:], len(raw))
-        which, new = self.table.ids(hashes(s.buf, starts, ends))
+        which, new = self.known.find(s.buf, starts, ends, hashes(s.buf, starts, ends))
         if len(new):
             self._learn(raw, starts[new], ends[new])
-        lengths = self.lengths[which]
+        if not self.known.right(which, s.buf, starts, ends):
+            return self._whole(raw, s.offsets)
+        ids, lengths = self.known.ids.take(which)
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return gather(self.ids, self.starts[which], lengths), np.diff(total[np.searchsorted(starts, s.offsets)])
+        return ids, np.diff(total[np.searchsorted(starts, s.offsets)])
+
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, each document by the library at once."""
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        each = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in each for i in x), self.kind), np.array([len(x) for x in each], np.int64)
 
     def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
         """Puts in the ids of new chunks, whose values are the last of the table in this order."""
@@ -220,17 +219,7 @@ class ByteBpe:
         rest = [k for k, x in enumerate(each) if x is None]
         for k, x in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
             each[k] = np.array(x.ids, self.kind)
-        size = self.table.size
-        lengths = np.array([len(x) for x in each], np.int64)
-        if size > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(size, np.int64)]) for x in (self.starts, self.lengths))
-        more = np.concatenate(each) if each else np.zeros(0, self.kind)
-        while self.used + len(more) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(more)] = more
-        self.lengths[size - len(each) : size] = lengths
-        self.starts[size - len(each) : size] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(more)
+        self.known.ids.put(np.concatenate(each), np.array([len(x) for x in each], np.int64))
 
 
 SHARD = "part int, shard int, bits int, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, planes array<binary>"

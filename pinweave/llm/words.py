@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,9 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-#: Reused between calls, as fresh pages cost more than the arithmetic.
-_scratch = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans longer than this are hashed one by one.
+LONG = 128
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -88,40 +86,58 @@ def per_document(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets, side="left")
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _UNBASE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of a buffer on as one number, zeros beyond its end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands; never 0."""
-    n = len(buf)
-    power, inverse = _power(n + 1)
-    if len(_scratch[0]) <= n:
-        _scratch[:] = [np.zeros(n + 1 + n // 4, np.uint64) for _ in range(2)]
-    each, total = _scratch[0][:n], _scratch[1][: n + 1]
-    np.take(_BYTE, buf, out=each, mode="clip")
-    each *= power[:n]
-    np.cumsum(each, out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span's bytes, the same wherever the span stands; never 0.
+
+    Eight bytes at a time go through a bijection, so two spans of one size that differ in one such block differ in it;
+    spans over ``LONG`` bytes take a cryptographic hash.
+    """
+    sizes = ends - starts
+    number = eights(buf)
+    h = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    done = 0
+    while len(at):
+        h[at] = mix(h[at] ^ number[starts[at] + done] & _MASK[np.minimum(sizes[at] - done, 8)])
+        done += 8
+        at = at[sizes[at] > done]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        h[k] = int.from_bytes(blake2b(buf[starts[k] : ends[k]], digest_size=8).digest(), "little")
     h[h == 0] = 1
     return h
 
 
+def same_bytes(buf: np.ndarray, starts: np.ndarray, other: np.ndarray, other_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each span of one buffer has the bytes of a span of this size in another buffer."""
+    one, two = eights(buf), eights(other)
+    same = np.ones(len(sizes), dtype=bool)
+    at = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    done = 0
+    while len(at):
+        same[at] &= (one[starts[at] + done] ^ two[other_starts[at] + done]) & _MASK[np.minimum(sizes[at] - done, 8)] == 0
+        done += 8
+        at = at[sizes[at] > done]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        same[k] = np.array_equal(buf[starts[k] : starts[k] + sizes[k]], other[other_starts[k] : other_starts[k] + sizes[k]])
+    return same
+
+
 class Table:
     """Open-addressing map from non-zero 64-bit hashes to 0, 1, 2, ... in the order of insertion."""
 
@@ -195,3 +211,63 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     total = int(lengths.sum())
     shift = starts - (np.cumsum(lengths) - lengths)
     return values[np.repeat(shift, lengths) + np.arange(total)]
+
+
+class Runs:
+    """Runs of values, one after the other, numbered in the order in which they are put in."""
+
+    def __init__(self, kind: type):
+        self.values, self.used = np.zeros(1 << 12, kind), 0
+        self.starts, self.sizes, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
+
+    @property
+    def nbytes(self) -> int:
+        return self.values.nbytes + self.starts.nbytes + self.sizes.nbytes
+
+    def put(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values = _room(self.values, self.used, len(values))
+        self.starts, self.sizes = _room(self.starts, self.count, len(sizes)), _room(self.sizes, self.count, len(sizes))
+        self.values[self.used : self.used + len(values)] = values
+        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : self.count + len(sizes)] = sizes
+        self.used, self.count = self.used + len(values), self.count + len(sizes)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of these numbers, one after the other, and their sizes."""
+        sizes = self.sizes[which]
+        return gather(self.values, self.starts[which], sizes), sizes
+
+
+def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(values):
+        return values
+    return np.concatenate([values[:used], np.zeros(max(used, more) + more, values.dtype)])
+
+
+class Known:
+    """Distinct spans seen so far with their bytes and the ids that they were given.
+
+    A span is found by its hash, and its bytes are compared. Beyond ``limit`` bytes everything is forgotten.
+    """
+
+    def __init__(self, kind: type, limit: int = 48 << 20):
+        self.kind, self.limit = kind, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table, self.ids, self.text = Table(), Runs(self.kind), Runs(np.uint8)
+
+    def find(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each span, and the indices of spans of new numbers, to be put in with ``put``."""
+        if self.ids.nbytes + self.text.nbytes + self.table.keys.nbytes + self.table.values.nbytes > self.limit:
+            self._clear()
+        which, new = self.table.ids(h)
+        if len(new):
+            sizes = ends[new] - starts[new]
+            self.text.put(gather(buf, starts[new], sizes), sizes)
+        return which, new
+
+    def right(self, which: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether all spans have the bytes of what they were found as; not so where different spans have one hash."""
+        sizes = ends - starts
+        return np.array_equal(sizes, self.text.sizes[which]) and bool(same_bytes(buf, starts, self.text.values, self.text.starts[which], sizes).all())
