@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pinweave.store import settle
+
 BALANCE = 1.05
 
 
@@ -32,16 +34,20 @@ def improvement(before: Column, after: Column) -> Column:
     return F.when(before != 0, 100 - after / before * 100)
 
 
-def running_total(df: DataFrame, key: str, value: str, name: str, bits: int = 12) -> DataFrame:
+def running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Adds the sum of value over all rows with smaller keys; keys are distinct.
 
-    Keys are grouped in ranges of 2 ** bits. Only the ranges' sums are summed up in one task; the rest is per range.
+    The rows are dealt out in ranges of the keys that hold about as many rows each, whatever numbers the keys are; only
+    the ranges' sums are summed up in one task.
     """
-    df = df.withColumn("_range", F.shiftright(key, bits))
-    sums = df.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Settled, as the bounds of ranges come from a sample and must be the same ones for the sums and for the rows.
+    dealt = settle(df.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
     inner = F.sum(value).over(Window.partitionBy("_range").orderBy(key)) - F.col(value)
-    return df.withColumn("_inner", inner).join(before, "_range").withColumn(name, (F.col("_before") + F.col("_inner")).cast("bigint")).drop("_range", "_before", "_inner")
+    return dealt.withColumn("_inner", inner).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_inner")).cast("bigint")).drop("_range", "_before", "_inner")
 
 
 def renumbered(df: DataFrame, key: str, name: str) -> DataFrame:

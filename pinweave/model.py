@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pinweave.store import settle
+
 
 @dataclass(frozen=True)
 class Hypergraph:
@@ -36,6 +38,11 @@ class Hypergraph:
         return cls(pins, vertices, nets)
 
 
+def settled(hg: Hypergraph) -> Hypergraph:
+    """The same with its tables written once, for what reads them more than once; sources and vertices follow the pins."""
+    return Hypergraph(settle(hg.pins), settle(hg.vertices), settle(hg.nets))
+
+
 def transpose(hg: Hypergraph) -> Hypergraph:
     """The dual: vertices become nets and nets vertices."""
     pins = hg.pins.select(F.col("v").alias("net"), F.col("net").alias("v"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinweave.functions.expressions import renumbered, running_total
-from pinweave.model import Hypergraph
+from pinweave.model import Hypergraph, settled
 from pinweave.store import settle
 
 
@@ -74,19 +76,15 @@ def bfs(hg: Hypergraph, start: int | None = None) -> DataFrame:
         start = hg.vertices.agg(F.min("v")).first()[0]
     if start is None:
         return hg.vertices.select("v", F.lit(None).cast("int").alias("level"))
-    seen = settle(spark.createDataFrame([(start, 0)], "v bigint, level int"))
-    levels, level, frontier = [seen], 0, seen
-    while True:
-        level += 1
-        found = top_down(hg.pins, frontier, seen)
-        frontier = settle(found.withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            break
+    pins = settle(hg.pins)
+    frontier = settle(spark.createDataFrame([(start, 0)], "v bigint, level int"))
+    levels = [frontier]
+    while not frontier.isEmpty():
+        # What was seen and stands on a net of the frontier is in this level or the one before.
+        seen = reduce(DataFrame.unionByName, levels[-2:])
+        frontier = settle(top_down(pins, frontier, seen).withColumn("level", F.lit(len(levels))))
         levels.append(frontier)
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.unionByName(x)
-    return hg.vertices.join(seen, "v", "left").select("v", "level")
+    return hg.vertices.join(reduce(DataFrame.unionByName, levels), "v", "left").select("v", "level")
 
 
 def farthest(levels: DataFrame) -> DataFrame:
@@ -96,27 +94,24 @@ def farthest(levels: DataFrame) -> DataFrame:
 
 
 def bfs_order(levels: DataFrame) -> DataFrame:
-    """(v, ord): by level, then id, unreachable vertices last by id.
-
-    Ranks are counted per level; only the levels' sizes are summed up across.
-    """
-    own = levels.withColumn("key", F.coalesce("level", F.lit(2**31 - 1)))
-    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("key", (F.sum("n").over(Window.orderBy("key")) - F.col("n")).alias("base"))
-    spread = own.withColumn("_range", F.shiftright("v", 12))
-    ranges = spread.groupBy("key", "_range").agg(F.count(F.lit(1)).alias("n"))
-    within = ranges.select("key", "_range", (F.sum("n").over(Window.partitionBy("key").orderBy("_range")) - F.col("n")).alias("inner"))
-    place = F.row_number().over(Window.partitionBy("key", "_range").orderBy("v")) - 1
-    return spread.withColumn("place", place).join(within, ["key", "_range"]).join(before, "key").select("v", (F.col("base") + F.col("inner") + F.col("place")).alias("ord"))
+    """(v, ord): by level, then id, unreachable vertices last by id."""
+    own = levels.select("v", F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("level"), "v").alias("place"))
+    return renumbered(own, "place", "ord").select("v", "ord")
 
 
 def bfs_order_split(levels: DataFrame, split: DataFrame) -> DataFrame:
-    """(v, is_source, ord): the order within sources and within the other vertices, each from 0."""
-    return levels.join(split, "v").withColumn("ord", F.row_number().over(Window.partitionBy("is_source").orderBy(F.col("level").isNull(), "level", "v")).cast("bigint") - 1).select("v", "is_source", "ord")
+    """(v, is_source, ord): the order within sources and within the other vertices, each from 0.
+
+    Both orders run over the whole one: a vertex's place is the number of its own kind before it.
+    """
+    own = bfs_order(levels).join(split, "v").withColumn("one", F.col("is_source").cast("bigint"))
+    placed = running_total(own, "ord", "one", "sources")
+    return placed.select("v", "is_source", F.when(F.col("is_source"), F.col("sources")).otherwise(F.col("ord") - F.col("sources")).alias("ord"))
 
 
 def pseudo_peripheral(hg: Hypergraph) -> tuple[int, DataFrame]:
     """The farthest vertex from the farthest of the lowest vertex, and the levels from it."""
+    hg = settled(hg)
     first = farthest(bfs(hg)).first()[0]
     second = farthest(bfs(hg, first)).first()[0]
     return second, bfs(hg, second)
@@ -150,15 +145,20 @@ def colour_step(hg: Hypergraph, colours: DataFrame) -> DataFrame:
 
 
 def connected_components(hg: Hypergraph, rounds: int = 200) -> DataFrame:
-    """(v, component): the lowest vertex reachable over common nets; labels fall along nets until none changes."""
+    """(v, component): the lowest vertex reachable over common nets; labels fall along nets until none changes.
+
+    The label's own label, which halves long chains, is asked for once for each distinct label, so that the label of a
+    giant component is no key with all its vertices; the join back is one that Spark splits if it is skewed.
+    """
+    pins = settle(hg.pins)
     labels = settle(hg.vertices.select("v", F.col("v").alias("component")))
     for _ in range(rounds):
-        low = hg.pins.join(labels, "v").groupBy("net").agg(F.min("component").alias("low"))
-        new = hg.pins.join(low, "net").groupBy("v").agg(F.min("low").alias("low"))
-        # Besides the neighbours' labels, a vertex takes the label of its label, which halves long chains.
-        joined = labels.join(new, "v", "left").select("v", F.least("component", F.coalesce("low", "component")).alias("component"))
-        jumped = joined.join(joined.select(F.col("v").alias("component"), F.col("component").alias("up")), "component", "left")
-        after = settle(jumped.select("v", F.least("component", F.coalesce("up", "component")).alias("component")))
+        low = pins.join(labels, "v").groupBy("net").agg(F.min("component").alias("low"))
+        new = pins.join(low, "net").groupBy("v").agg(F.min("low").alias("low"))
+        joined = settle(labels.join(new, "v", "left").select("v", F.least("component", F.coalesce("low", "component")).alias("component")))
+        distinct = joined.select("component").distinct()
+        up = distinct.join(joined.select(F.col("v").alias("component"), F.col("component").alias("up")), "component").where("up < component")
+        after = settle(joined.join(up, "component", "left").select("v", F.least("component", F.coalesce("up", "component")).alias("component")))
         changed = after.agg(F.sum("component")).first()[0] != labels.agg(F.sum("component")).first()[0]
         labels = after
         if not changed:

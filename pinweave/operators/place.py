@@ -16,14 +16,15 @@ what to use beyond one machine's memory.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pinweave.functions.expressions import capacity, penalised
+from pinweave.functions.expressions import capacity, penalised, renumbered
 from pinweave.model import Hypergraph, check_parts
-from pinweave.operators.metrics import part_sizes
 from pinweave.ship import ship
 from pinweave.store import settle
 
@@ -35,13 +36,13 @@ class State:
 
     def __init__(self, k: int, limit: float, policy: str):
         self.k, self.limit, self.policy = k, limit, policy
-        self.sizes = [0] * k
+        self.sizes = np.zeros(k, np.int64)
         self.touched: dict[int, set[int]] = {}
         self.source_part: dict[int, int] = {}
-        self.connected = [[0] * k for _ in range(k)] if policy == "tm" else []
+        self.connected = np.zeros((k, k), dtype=bool)
 
     def least_loaded(self) -> int:
-        return min(range(self.k), key=lambda p: (self.sizes[p], p))
+        return int(np.argmin(self.sizes))
 
     def by_nets(self, nets: list[int]) -> int:
         score: dict[int, int] = {}
@@ -52,19 +53,18 @@ class State:
                     score[p] = score.get(p, 0) + 1
         if self.limit <= 0:
             return self.least_loaded()
-        best = max(((s * (1 - self.sizes[p] / self.limit), -self.sizes[p], -p) for p, s in score.items()), default=(0.0, 0, 0))
+        best = max(((s * (1 - int(self.sizes[p]) / self.limit), -int(self.sizes[p]), -p) for p, s in score.items()), default=(0.0, 0, 0))
         return -best[2] if best[0] > 0 else self.least_loaded()
 
     def by_messages(self, v: int, nets: list[tuple[int, int | None]]) -> int:
+        able = self.sizes < self.limit
+        if not able.any():
+            return self.least_loaded()
         senders = {self.source_part[n] for n, src in nets if src != v and n in self.source_part}
-        owned = [self.touched.get(n, ()) for n, src in nets if src == v]
-        best = None
-        for p in range(self.k):
-            if self.sizes[p] < self.limit:
-                saved = sum(self.connected[s][p] > 0 for s in senders) + sum(self.connected[p][q] > 0 for parts in owned for q in parts)
-                key = (saved, -self.sizes[p], -p)
-                best = key if best is None or key > best else best
-        return self.least_loaded() if best is None else -best[2]
+        receivers = [q for n, src in nets if src == v for q in self.touched.get(n, ())]
+        saved = self.connected[list(senders)].sum(axis=0) + self.connected[:, receivers].sum(axis=1)
+        most = able & (saved == saved[able].max())
+        return int(np.flatnonzero(most & (self.sizes == self.sizes[most].min()))[0])
 
     def put(self, v: int, nets: list[tuple[int, int | None]]) -> int:
         """The part of the next vertex, given (net, source) of each of its nets."""
@@ -72,17 +72,14 @@ class State:
         self.sizes[part] += 1
         for net, src in nets:
             parts = self.touched.setdefault(net, set())
-            new = part not in parts
             parts.add(part)
             if self.policy != "tm":
                 continue
             if src == v:
                 self.source_part[net] = part
-                for q in parts:
-                    if q != part:
-                        self.connected[part][q] += 1
-            elif new and net in self.source_part and self.source_part[net] != part:
-                self.connected[self.source_part[net]][part] += 1
+                self.connected[part, [q for q in parts if q != part]] = True
+            elif self.source_part.get(net, part) != part:
+                self.connected[self.source_part[net], part] = True
         return part
 
 
@@ -119,53 +116,117 @@ def place(hg: Hypergraph, order: DataFrame, k: int, policy: str = "tv") -> DataF
     return stream_rows(hg, order).repartition(1).sortWithinPartitions("ord").mapInArrow(run, "v bigint, part int")
 
 
-def place_batch(batch: DataFrame, touched: DataFrame, sizes: DataFrame, k: int, limit: float, policy: str = "tv") -> DataFrame:
-    """(v, part) for a batch of (ord, v, nets) on a frozen state: the best-scored part while it has room.
+def place_batch(batch: DataFrame, touched: DataFrame, sizes: list[int], limit: float, policy: str = "tv") -> tuple[DataFrame, list[int]]:
+    """(v, part) for a batch of (ord, v, nets) on a frozen state, and the sizes of the parts after it.
 
-    ``touched`` is (net, part, cnt). Within a part the best scores come first; who finds no room, and who has no
-    score, fills the remaining room of the parts in turn. Ranks are over one batch, whose size is bounded.
+    ``touched`` is (net, part, cnt); ``sizes`` has a number for each part. Who has a best-scored part with room goes
+    there, the best scores of a part first; all others, in their order, fill the least loaded parts one place at a time.
     """
-    pins = batch.select("ord", "v", F.explode("nets.net").alias("net"))
-    own = touched if policy == "tv" else touched.join(touched.groupBy("net").agg(F.count(F.lit(1)).alias("lam")).where("lam = 1").select("net"), "net", "left_semi")
-    votes = pins.join(own.select("net", "part"), "net").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
-    scored = votes.join(F.broadcast(sizes), "part").withColumn("score", penalised(F.col("n"), F.col("size"), limit)).where("score > 0")
+    spark, k = batch.sparkSession, len(sizes)
+    pins = batch.select("v", F.explode("nets.net").alias("net"))
+    near = touched.join(pins.select("net").distinct(), "net", "left_semi").groupBy("net", "part").agg(F.sum("cnt").alias("cnt"))
+    if policy == "cn":
+        near = near.join(near.groupBy("net").agg(F.count(F.lit(1)).alias("lam")).where("lam = 1").select("net"), "net", "left_semi")
+    votes = pins.join(near.select("net", "part"), "net").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
+    loads = F.broadcast(spark.createDataFrame(list(enumerate(sizes)), "part int, size bigint"))
+    scored = votes.join(loads, "part").withColumn("score", penalised(F.col("n"), F.col("size"), limit)).where("score > 0")
     best = scored.groupBy("v").agg(F.max(F.struct("score", (-F.col("size")).alias("size"), (-F.col("part")).alias("part"))).alias("best")).select("v", "best.score", (-F.col("best.part")).alias("part"))
-    asked = batch.select("ord", "v").join(best, "v", "left").join(F.broadcast(sizes), "part", "left")
+    asked = batch.select("ord", "v").join(best, "v", "left").join(loads, "part", "left")
     room = F.greatest(F.ceil(F.lit(limit)) - F.col("size"), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "ord"))
-    settled = asked.withColumn("fits", F.col("part").isNotNull() & (rank <= room)).select("ord", "v", F.when(F.col("fits"), F.col("part")).alias("part"))
-    settled = settle(settled)
-    taken = settled.where("part is not null").groupBy("part").agg(F.count(F.lit(1)).alias("taken"))
-    # The room that is left, K rows: the places of the least loaded part come first, as many from each as levels it.
-    left = sizes.join(taken, "part", "left").select("part", (F.col("size") + F.coalesce("taken", F.lit(0))).alias("load"))
-    need = settled.where("part is null").count()
-    places = left.select("part", F.explode(F.sequence(F.col("load"), F.col("load") + F.lit(max(need, 1) - 1))).alias("level")) if need * k <= 1_000_000 else left.select("part", F.explode(F.sequence(F.col("load"), F.lit(-(-need // k)) + F.col("load"))).alias("level"))
-    places = places.withColumn("place", F.row_number().over(Window.orderBy("level", "part"))).where(F.col("place") <= need)
-    waiting = settled.where("part is null").select("v", F.row_number().over(Window.orderBy("ord")).alias("place"))
-    return settled.where("part is not null").select("v", "part").unionByName(waiting.join(places, "place").select("v", "part"))
+    chosen = settle(asked.withColumn("fits", F.col("part").isNotNull() & (rank <= room)).select("ord", "v", F.when(F.col("fits"), F.col("part")).alias("part")))
+    counts = {r["part"]: r["n"] for r in chosen.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    after = [n + counts.get(part, 0) for part, n in enumerate(sizes)]
+    need = counts.get(None, 0)
+    if not need:
+        return chosen.select("v", "part"), after
+    waiting = renumbered(chosen.where("part is null").select("ord", "v"), "ord", "place").select("v", "place")
+    return chosen.where("part is not null").select("v", "part").unionByName(levelled(waiting, after)), filled(after, need)
+
+
+def filled(loads: list[int], n: int) -> list[int]:
+    """Loads after n more, each given to the least loaded part, the lowest number on ties."""
+    first, m, level = max(s for s in _segments(loads) if s[0] <= n)
+    rows, rest = divmod(n - first, m)
+    out, parts = np.array(loads), np.sort(np.argsort(loads, kind="stable")[:m])
+    out[parts] = level + rows
+    out[parts[:rest]] += 1
+    return out.tolist()
+
+
+def _segments(loads: list[int]) -> list[tuple[int, int, int]]:
+    """(first place, number of parts, level) from which on so many of the least loaded parts take turns."""
+    order, out, first = np.sort(loads), [], 0
+    for m in range(1, len(loads) + 1):
+        if m == len(loads) or order[m] > order[m - 1]:
+            out.append((first, m, int(order[m - 1])))
+            if m < len(loads):
+                first += m * int(order[m] - order[m - 1])
+    return out
+
+
+def levelled(waiting: DataFrame, loads: list[int]) -> DataFrame:
+    """(v, part) for (v, place), places counted from 0: each goes to the part least loaded after those before it."""
+    segments, order = _segments(loads), np.argsort(loads, kind="stable")
+    firsts = np.array([s[0] for s in segments])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            which = np.searchsorted(firsts, place, side="right") - 1
+            part = np.zeros(len(place), np.int32)
+            for k in np.unique(which):
+                first, m, _ = segments[k]
+                own = which == k
+                part[own] = np.sort(order[:m])[(place[own] - first) % m]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(part)], ["v", "part"])
+
+    ship(waiting.sparkSession)
+    return waiting.select("v", "place").mapInArrow(run, "v bigint, part int")
+
+
+def arrivals(batch: DataFrame, placed: DataFrame) -> DataFrame:
+    """(net, part, cnt) of the pins of a placed batch."""
+    return batch.select("v", F.explode("nets.net").alias("net")).join(placed, "v").groupBy("net", "part").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def advance(touched: DataFrame, batch: DataFrame, placed: DataFrame) -> DataFrame:
-    """The connectivity with a placed batch put in."""
-    new = batch.select("v", F.explode("nets.net").alias("net")).join(placed, "v").groupBy("net", "part").agg(F.count(F.lit(1)).alias("cnt"))
-    return touched.unionByName(new).groupBy("net", "part").agg(F.sum("cnt").alias("cnt"))
+class Touched:
+    """Connectivity as tables of (net, part, cnt): one more for each batch, two of one rank merged into one of the next.
+
+    So every row is written as often as the logarithm of the batches, and there are as many tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def table(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], "net bigint, part int, cnt bigint")
+        return reduce(DataFrame.unionByName, [t for _, t in self.tables], empty)
+
+    def add(self, new: DataFrame) -> None:
+        self.tables.append((0, settle(new)))
+        while len(self.tables) > 1 and self.tables[-1][0] == self.tables[-2][0]:
+            (rank, a), (_, b) = self.tables.pop(), self.tables.pop()
+            self.tables.append((rank + 1, settle(a.unionByName(b).groupBy("net", "part").agg(F.sum("cnt").alias("cnt")))))
 
 
 def place_batches(hg: Hypergraph, order: DataFrame, k: int, policy: str = "tv", batch: int = 100_000) -> DataFrame:
-    """(v, part): placement in batches of the order, each scored on the state that the ones before left."""
+    """(v, part): placement in batches of the order, each scored on the state that the ones before left.
+
+    What a batch places is written once; the sizes of the parts are K numbers on the driver.
+    """
     check_parts(k)
     spark = hg.pins.sparkSession
     n = hg.vertices.count()
     limit = capacity(n, k)
     rows = settle(stream_rows(hg, order).withColumn("nets", F.coalesce("nets", F.array().cast("array<struct<net:bigint,src:bigint>>"))))
-    touched = spark.createDataFrame([], "net bigint, part int, cnt bigint")
-    parts = spark.createDataFrame([], "v bigint, part int")
+    touched, sizes, parts = Touched(spark), [0] * k, []
     for lo in range(0, n, batch):
         own = rows.where(F.col("ord").between(lo, lo + batch - 1))
-        placed = settle(place_batch(own, touched, part_sizes(parts, k), k, limit, policy))
-        touched = settle(advance(touched, own, placed))
-        parts = settle(parts.unionByName(placed))
-    return parts
+        placed, sizes = place_batch(own, touched.table(), sizes, limit, policy)
+        parts.append(settle(placed))
+        touched.add(arrivals(own, parts[-1]))
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "v bigint, part int"))
 
 
 def audit(hg: Hypergraph, order: DataFrame, parts: DataFrame, k: int) -> DataFrame:
@@ -175,12 +236,19 @@ def audit(hg: Hypergraph, order: DataFrame, parts: DataFrame, k: int) -> DataFra
     is a running count. The scores of a vertex are joined on the parts its nets had touched before.
     """
     limit = capacity(hg.vertices.count(), k)
-    trace = order.join(parts, "v")
+    trace = settle(order.join(parts, "v"))
     first = hg.pins.join(trace, "v").groupBy("net", "part").agg(F.min("ord").alias("since"))
     votes = hg.pins.join(trace.select("v", "ord"), "v").join(first.select("net", F.col("part").alias("p"), "since"), "net").where("since < ord").groupBy("v", "ord", "p").agg(F.count(F.lit(1)).alias("n"))
-    every = trace.crossJoin(F.broadcast(hg.pins.sparkSession.range(k).select(F.col("id").cast("int").alias("p"))))
-    before = Window.partitionBy("p").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    loads = every.select("v", "ord", "part", "p", F.coalesce(F.sum((F.col("part") == F.col("p")).cast("bigint")).over(before), F.lit(0)).alias("size"))
+    # Sizes run within ranges of the order; across ranges only their totals for each part are summed up.
+    ranged = trace.withColumn("range", F.shiftright("ord", 12))
+    totals = ranged.groupBy("range", "part").agg(F.count(F.lit(1)).alias("n"))
+    ranges = totals.select("range").distinct().select("range", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("p"))
+    earlier = Window.partitionBy("p").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.join(totals.withColumnRenamed("part", "p"), ["range", "p"], "left").select("range", "p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    every = ranged.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("p"))
+    before = Window.partitionBy("range", "p").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    inner = every.withColumn("inner", F.coalesce(F.sum((F.col("part") == F.col("p")).cast("bigint")).over(before), F.lit(0)))
+    loads = inner.join(base, ["range", "p"]).select("v", "ord", "part", "p", (F.col("base") + F.col("inner")).alias("size"))
     scored = loads.join(votes, ["v", "ord", "p"], "left").withColumn("score", F.greatest(F.lit(0.0), penalised(F.coalesce("n", F.lit(0)), F.col("size"), limit)))
     best = scored.groupBy("v", "ord", "part").agg(F.max(F.struct("score", (-F.col("size")).alias("s"), (-F.col("p")).alias("p"))).alias("b"))
     return best.select("v", "ord", "part", (-F.col("b.p")).alias("expected")).where("part <> expected")

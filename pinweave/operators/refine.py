@@ -2,18 +2,26 @@
 
 ``moves`` are proposals, (v, from_part, to_part, gain), one for each vertex at most. They are joins and aggregates of
 ``net_part``; no step joins pins with pins. Tables by part or pair of parts have at most K or K * K rows.
+
+``refine`` applies them in one of two modes. A ``sweep`` applies the moves of all vertices, by default only such as share
+no net. In ``batch`` mode the vertices are taken in runs of their ids, each with proposals of its own on the partition
+that the runs before left, and ``admitted`` looks at sizes and loads again while a run's moves are applied.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pinweave.functions.expressions import capacity, penalised
+from pinweave.functions.expressions import capacity, penalised, renumbered
 from pinweave.model import Hypergraph, check_parts
 from pinweave.operators.metrics import NAMES, connectivity, messages, net_part, part_sizes, per_part, sourced
+from pinweave.ship import ship
 from pinweave.store import settle
 
 OBJECTIVES = NAMES
@@ -22,10 +30,12 @@ OBJECTIVES = NAMES
 class Frozen:
     """What the rules read of a partition; tables that several steps need are written once."""
 
-    def __init__(self, hg: Hypergraph, parts: DataFrame, k: int):
+    def __init__(self, hg: Hypergraph, parts: DataFrame, k: int, own: DataFrame | None = None):
+        """With ``own`` only these vertices get proposals."""
         check_parts(k)
         self.hg, self.parts, self.k = hg, parts, k
         self.pins = hg.pins
+        self.own_pins = hg.pins if own is None else hg.pins.join(own.select("v"), "v", "left_semi")
 
     @cached_property
     def np(self) -> DataFrame:
@@ -42,7 +52,7 @@ class Frozen:
     @cached_property
     def incidence(self) -> DataFrame:
         """(net, v, p, src, sp): each pin with its own part, and its net's source with that one's."""
-        return settle(self.pins.join(self.parts.select("v", F.col("part").alias("p")), "v").join(self.sources, "net", "left"))
+        return settle(self.own_pins.join(self.parts.select("v", F.col("part").alias("p")), "v").join(self.sources, "net", "left"))
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -89,7 +99,7 @@ def candidates(at: Frozen, guard: bool) -> DataFrame:
     With ``guard`` a vertex stays if q holds over 1.1 times, or under 0.9 times, nov / K (whole numbers).
     """
     sizes = at.sizes
-    touch = at.pins.join(at.np.select("net", "part"), "net").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
+    touch = at.own_pins.join(at.np.select("net", "part"), "net").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
     own = touch.join(at.parts.select("v", F.col("part").alias("p")), "v").join(F.broadcast(sizes), "part")
     scored = own.withColumn("score", penalised(F.col("n") - (F.col("part") == F.col("p")).cast("bigint"), F.col("size"), at.limit))
     best = scored.groupBy("v", "p").agg(F.max(F.struct("score", (-F.col("size")).alias("size"), (-F.col("part")).alias("part"))).alias("b"))
@@ -105,7 +115,7 @@ def candidates(at: Frozen, guard: bool) -> DataFrame:
 def tv_gains(at: Frozen, guard: bool = True) -> DataFrame:
     """(v, p, q, leave, arrive): nets that v alone holds in p, and nets of v that do not touch q."""
     np = at.np
-    pins = at.pins.join(settle(candidates(at, guard)), "v")
+    pins = at.own_pins.join(settle(candidates(at, guard)), "v")
     there = np.select("net", F.col("part").alias("p"), F.col("cnt").alias("cp"))
     then = np.select("net", F.col("part").alias("q"), F.col("cnt").alias("cq"))
     return pins.join(there, ["net", "p"], "left").join(then, ["net", "q"], "left").groupBy("v", "p", "q").agg(F.sum((F.col("cp") == 1).cast("bigint")).alias("leave"), F.sum(F.col("cq").isNull().cast("bigint")).alias("arrive"))
@@ -139,25 +149,60 @@ def message_losses(at: Frozen, targets: DataFrame) -> DataFrame:
     return to.unionByName(by).groupBy("v", "q", F.col("sp").alias("part")).agg(F.count(F.lit(1)).alias("loss"))
 
 
-def _other_parts(found: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(v, p, q) for each vertex and every allowed part but its own; the parts are K at most."""
-    return found.select("v", "p").distinct().crossJoin(F.broadcast(allowed.select(F.col("part").alias("q")))).where("p <> q")
+#: Parts up to which the messages between all of them are broadcast, as a table of K * K bytes (16 MB).
+MOST_PARTS = 4096
 
 
 def tm_moves(at: Frozen) -> DataFrame:
-    """The move to a part with room that saves most messages, the lowest part on ties."""
-    gains = settle(message_gains(at).groupBy("v", "p").agg(F.sum("gain").alias("saved")))
-    to = _other_parts(gains, at.sizes.where(F.col("size") < at.limit))
-    # What is lost is what is not known: partners that are the target, or that it has messages with already.
+    """The move to a part with room that saves most messages, the lowest part on ties.
+
+    A vertex is one row with its receivers and senders, K values at most each. What it would send or get anew in each
+    part is a product of these with the table of the pairs of parts that exchange nothing yet.
+    """
+    if at.k > MOST_PARTS:
+        raise ValueError(f"message moves are for up to {MOST_PARTS} parts, not {at.k}")
+    gains = message_gains(at).groupBy("v", "p").agg(F.sum("gain").alias("saved"))
     receivers, senders = at.partners
-    msg = F.broadcast(at.messages)
-    partner = receivers.select("v", F.col("r").alias("q")).unionByName(senders.select("v", F.col("s").alias("q")))
-    known = partner.unionByName(receivers.join(msg, F.col("r") == F.col("tp")).select("v", F.col("sp").alias("q"))).unionByName(senders.join(msg, F.col("s") == F.col("sp")).select("v", F.col("tp").alias("q")))
-    known = known.groupBy("v", "q").agg(F.count(F.lit(1)).alias("known"))
-    partners = partner.groupBy("v").agg(F.count(F.lit(1)).alias("partners"))
-    lost = F.coalesce("partners", F.lit(0)) - F.coalesce("known", F.lit(0))
-    net = to.join(gains, ["v", "p"]).join(partners, "v", "left").join(known, ["v", "q"], "left").withColumn("gain", F.col("saved") - lost).where("gain > 0")
-    return _best(net)
+    receivers = receivers.groupBy("v").agg(F.collect_list("r").alias("receivers"))
+    senders = senders.groupBy("v").agg(F.collect_list("s").alias("senders"))
+    rows = gains.join(receivers, "v", "left").join(senders, "v", "left")
+    silent = np.ones((at.k, at.k), dtype=bool)
+    np.fill_diagonal(silent, False)
+    for sp, tp in at.messages.select("sp", "tp").collect():
+        silent[sp, tp] = False
+    sizes = np.zeros(at.k, np.int64)
+    for part, size in at.sizes.collect():
+        sizes[part] = size
+    sent = at.hg.pins.sparkSession.sparkContext.broadcast((silent, sizes < at.limit))
+    ship(at.hg.pins.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet, able = sent.value[0].astype(np.float32), sent.value[1]
+
+        def partners(column: pa.Array) -> np.ndarray:
+            """A row of zeros and ones for each vertex."""
+            out = np.zeros((len(column), len(quiet)), np.float32)
+            row = np.repeat(np.arange(len(column)), np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+            out[row, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = 1
+            return out
+
+        for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
+            own = batch.column("p").to_numpy().astype(np.int64)
+            lost = partners(batch.column("receivers")) @ quiet.T + partners(batch.column("senders")) @ quiet
+            gain = batch.column("saved").to_numpy()[:, None] - lost.astype(np.int64)
+            gain[:, ~able] = 0
+            gain[np.arange(len(own)), own] = 0
+            to = gain.argmax(axis=1)
+            best = gain[np.arange(len(own)), to]
+            kept = best > 0
+            yield pa.RecordBatch.from_arrays([batch.column("v").filter(pa.array(kept)), pa.array(own[kept].astype(np.int32)), pa.array(to[kept].astype(np.int32)), pa.array(best[kept])], ["v", "from_part", "to_part", "gain"])
+
+    return rows.select("v", "p", "saved", "receivers", "senders").mapInArrow(run, "v bigint, from_part int, to_part int, gain bigint")
+
+
+def _other_parts(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """(v, p, q) for each vertex and every part but its own; the parts are K at most."""
+    return found.select("v", "p").distinct().crossJoin(F.broadcast(parts.select(F.col("part").alias("q")))).where("p <> q")
 
 
 def _best(net: DataFrame) -> DataFrame:
@@ -165,25 +210,33 @@ def _best(net: DataFrame) -> DataFrame:
     return best.select("v", F.col("p").alias("from_part"), (-F.col("b.low")).cast("int").alias("to_part"), F.col("b.gain").alias("gain"))
 
 
+def message_changes(at: Frozen, to: DataFrame) -> DataFrame:
+    """(v, p, q, part, change): messages that a part sends more once v has gone from p to q, for the rows (v, p, q)."""
+    fewer = to.join(message_gains(at).select("v", "part", "gain"), "v").select("v", "p", "q", "part", (-F.col("gain")).alias("change"))
+    more = to.join(message_losses(at, to.select("v", "q")), ["v", "q"]).select("v", "p", "q", "part", F.col("loss").alias("change"))
+    return fewer.unionByName(more).groupBy("v", "p", "q", "part").agg(F.sum("change").alias("change"))
+
+
+def loads(at: Frozen, objective: str) -> DataFrame:
+    """(part, load): what each part has of that of which the objective is the maximum."""
+    load = {"msm": F.col("sent_messages"), "msv": F.col("send"), "msrv": F.col("send") + F.col("recv")}[objective]
+    return per_part(at.hg, at.parts, at.k).select("part", load.alias("load"))
+
+
 def msm_moves(at: Frozen) -> DataFrame:
     """The move by which every part with most messages sends fewer and no other comes up to them; sizes do not count."""
-    load = settle(per_part(at.hg, at.parts, at.k).select("part", F.col("sent_messages").alias("load")))
-    top = F.broadcast(load.agg(F.max("load").alias("top")))
-    loads = load.crossJoin(top)
-    gains = settle(message_gains(at))
+    load = settle(loads(at, "msm"))
+    own = load.crossJoin(F.broadcast(load.agg(F.max("load").alias("top"))))
     # A vertex must take a message off every part at the top, so the others need no targets.
-    at_top = loads.where("load = top").select("part")
+    at_top = own.where("load = top").select("part")
     n_top = F.broadcast(at_top.agg(F.count(F.lit(1)).alias("n_top")))
+    gains = settle(message_gains(at))
     able = gains.join(F.broadcast(at_top), "part", "left_semi").groupBy("v", "p").agg(F.count(F.lit(1)).alias("n")).crossJoin(n_top).where("n = n_top").select("v", "p")
-    to = _other_parts(able, load)
-    losses = message_losses(at, to.select("v", "q"))
-    change = to.join(gains.select("v", "part", "gain"), "v").select("v", "p", "q", "part", "gain", F.lit(0).cast("bigint").alias("loss"))
-    change = change.unionByName(to.join(losses, ["v", "q"]).select("v", "p", "q", "part", F.lit(0).cast("bigint").alias("gain"), "loss"))
-    change = change.groupBy("v", "p", "q", "part").agg((F.sum("gain") - F.sum("loss")).alias("net")).join(F.broadcast(loads), "part")
+    change = message_changes(at, settle(_other_parts(able, load))).join(F.broadcast(own), "part")
     judged = change.groupBy("v", "p", "q").agg(
-        F.sum((F.col("load") == F.col("top")).cast("bigint") * (F.col("net") > 0).cast("bigint")).alias("better"),
-        F.sum(F.when(F.col("load") == F.col("top"), F.col("net")).otherwise(0)).alias("gain"),
-        F.max((F.col("load") < F.col("top")) & (F.col("load") - F.col("net") >= F.col("top"))).alias("spoilt"),
+        F.sum(((F.col("load") == F.col("top")) & (F.col("change") < 0)).cast("bigint")).alias("better"),
+        F.sum(F.when(F.col("load") == F.col("top"), -F.col("change")).otherwise(0)).alias("gain"),
+        F.max((F.col("load") < F.col("top")) & (F.col("load") + F.col("change") >= F.col("top"))).alias("spoilt"),
     )
     return _best(judged.crossJoin(n_top).where("better = n_top and not spoilt"))
 
@@ -211,10 +264,10 @@ def volume_changes(at: Frozen, found: DataFrame, received: bool) -> DataFrame:
 
 def _volume_moves(at: Frozen, received: bool) -> DataFrame:
     found = settle(candidates(at, guard=False))
-    load = settle(per_part(at.hg, at.parts, at.k).select("part", (F.col("send") + F.col("recv") if received else F.col("send")).alias("load")))
-    loads = load.crossJoin(F.broadcast(load.agg(F.max("load").alias("top"))))
-    n_top = F.broadcast(loads.where("load = top").agg(F.count(F.lit(1)).alias("n_top")))
-    change = volume_changes(at, found, received).join(F.broadcast(loads), "part")
+    load = settle(loads(at, "msrv" if received else "msv"))
+    own = load.crossJoin(F.broadcast(load.agg(F.max("load").alias("top"))))
+    n_top = F.broadcast(own.where("load = top").agg(F.count(F.lit(1)).alias("n_top")))
+    change = volume_changes(at, found, received).join(F.broadcast(own), "part")
     at_top = F.col("load") == F.col("top")
     judged = change.groupBy("v", "p", "q").agg(
         F.sum((at_top & (F.col("change") < 0)).cast("bigint")).alias("better"),
@@ -257,17 +310,78 @@ def applied(parts: DataFrame, moves: DataFrame) -> DataFrame:
     return parts.join(moves.select("v", "to_part"), "v", "left").select("v", F.coalesce("to_part", "part").cast("int").alias("part"))
 
 
+def admitted(at: Frozen, moves: DataFrame, objective: str) -> DataFrame:
+    """Those of a batch's moves, one a vertex, that are applied; moves take effect in the order of the vertices.
+
+    * ``cn``, ``tv``, ``tm`` look at sizes. All ``cn`` moves apply. A part takes ``tm`` moves while it has under 1.02
+      times the capacity; the places that moves free count from the next batch on. The first ``tv`` move to a part that
+      then has over 1.1 times nov / K ends the batch.
+    * ``msm``, ``msv``, ``msrv`` look at the loads of all parts, which each move changes by what it was proposed for. The
+      move after which a part has the maximum that did not have it before the batch is the batch's last.
+    """
+    if objective == "cn":
+        return moves
+    if objective == "tm":
+        arrived = F.row_number().over(Window.partitionBy("to_part").orderBy("v")) - 1
+        taken = moves.join(F.broadcast(at.sizes), F.col("part") == F.col("to_part")).withColumn("arrived", arrived)
+        return taken.where(F.col("size") + F.col("arrived") < 1.02 * at.limit).select(moves.columns)
+    if objective == "tv":
+        # Each move is a row at its target, where it asks, and one at its origin; both count from the next row on.
+        to = moves.select("v", F.col("to_part").alias("part"), F.lit(1).alias("step"), F.lit(True).alias("asks"))
+        out = moves.select("v", F.col("from_part").alias("part"), F.lit(-1).alias("step"), F.lit(False).alias("asks"))
+        before = F.coalesce(F.sum("step").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        full = to.unionByName(out).withColumn("before", before).join(F.broadcast(at.sizes), "part").where(F.col("asks") & (F.col("size") + F.col("before") > 1.1 * at.nov / at.k))
+        return _until(moves, full, inclusive=False)
+    chosen = moves.select("v", F.col("from_part").alias("p"), F.col("to_part").alias("q"))
+    changes = message_changes(at, chosen) if objective == "msm" else volume_changes(at, chosen, objective == "msrv")
+    load = settle(loads(at, objective))
+    top = F.broadcast(load.agg(F.max("load").alias("start")))
+    each = moves.select("v").crossJoin(F.broadcast(load.crossJoin(top))).join(changes.select("v", "part", "change"), ["v", "part"], "left")
+    now = F.col("load") + F.sum(F.coalesce("change", F.lit(0))).over(Window.partitionBy("part").orderBy("v"))
+    after = each.withColumn("now", now).groupBy("v").agg(F.max("now").alias("top"), F.max(F.when(F.col("load") < F.col("start"), F.col("now"))).alias("other"))
+    return _until(moves, after.where("other = top"), inclusive=True)
+
+
+def _until(moves: DataFrame, ends: DataFrame, inclusive: bool) -> DataFrame:
+    """The moves before the first vertex of ``ends``, all if there is none."""
+    last = F.broadcast(ends.agg(F.min("v").alias("last")))
+    before = F.col("v") <= F.col("last") if inclusive else F.col("v") < F.col("last")
+    return moves.crossJoin(last).where(F.col("last").isNull() | before).select(moves.columns)
+
+
 def sweep(hg: Hypergraph, parts: DataFrame, k: int, objective: str, monotone: bool = True) -> DataFrame:
     """The parts after one sweep. With ``monotone`` only moves apply that do not meet on a net."""
     moves = settle(one_each(RULES[objective](Frozen(hg, parts, k))))
     return applied(parts, independent(hg, moves) if monotone else moves)
 
 
-def refine(hg: Hypergraph, parts: DataFrame, k: int, objective: str, sweeps: int = 1, monotone: bool = True) -> DataFrame:
-    """The parts after a fixed number of sweeps, each written to the shared folder."""
+def sweep_batches(hg: Hypergraph, parts: DataFrame, k: int, objective: str, batch: int) -> DataFrame:
+    """The parts after one sweep in batches of so many vertices by id; each batch is written to the shared folder.
+
+    Nets of the ``cn`` rule move as a whole, so its batch is the sweep, whatever ``batch`` says.
+    """
+    if batch < 1:
+        raise ValueError(f"a batch has a vertex at least, not {batch}")
+    order = settle(renumbered(hg.vertices, "v", "ord"))
+    nov = order.count()
+    for lo in range(0, nov, nov if objective == "cn" else batch):
+        own = None if objective == "cn" else order.where(F.col("ord").between(lo, lo + batch - 1))
+        at = Frozen(hg, parts, k, own)
+        moves = settle(one_each(RULES[objective](at)))
+        parts = settle(applied(parts, admitted(at, moves, objective)))
+    return parts
+
+
+def refine(hg: Hypergraph, parts: DataFrame, k: int, objective: str, sweeps: int = 1, monotone: bool = True, mode: str = "sweep", batch: int = 100_000) -> DataFrame:
+    """The parts after a fixed number of sweeps, each written to the shared folder.
+
+    In ``batch`` mode a batch of one vertex lets every move see all the moves before it.
+    """
     check_parts(k)
     if objective not in RULES:
         raise ValueError(f"no objective {objective!r}")
+    if mode not in ("sweep", "batch"):
+        raise ValueError(f"no mode {mode!r}")
     for _ in range(sweeps):
-        parts = settle(sweep(hg, parts, k, objective, monotone))
+        parts = sweep_batches(hg, parts, k, objective, batch) if mode == "batch" else settle(sweep(hg, parts, k, objective, monotone))
     return parts

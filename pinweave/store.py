@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a machine-local folder only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/pinweave-tables"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path below ``spark.checkpoint.dir``, or where that is unset below the warehouse, which is shared, too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/pinweave-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
     return path
@@ -28,6 +24,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows written as Parquet and read again, which cuts the lineage of a loop and survives lost executors."""
     path = folder(df.sparkSession)

@@ -1,7 +1,7 @@
 """Placement of vertices as they arrive, on Structured Streaming.
 
 Each micro-batch of (ord, v, nets) is placed by ``place_batch`` on the connectivity that the ones before left, which is
-kept as tables in the shared folder: a restart goes on from the last whole batch.
+kept as tables in the shared folder, a folder for each batch: a restart goes on from the last whole batch.
 """
 
 from __future__ import annotations
@@ -11,25 +11,38 @@ from pyspark.sql import functions as F
 
 from pinweave.functions.expressions import capacity
 from pinweave.model import check_parts
-from pinweave.operators.metrics import part_sizes
-from pinweave.operators.place import advance, place_batch
-from pinweave.store import folder
+from pinweave.operators.place import arrivals, place_batch
+from pinweave.store import exists, folder
 
+SIZES = "sizes array<bigint>, epoch bigint"
 ARRIVALS = "ord bigint, v bigint, nets array<struct<net:bigint,src:bigint>>"
 
 
 class StreamPlacer:
-    """Call as ``foreachBatch`` function; ``parts()`` is everything placed so far."""
+    """Call as ``foreachBatch`` function; ``parts()`` is everything placed so far.
+
+    Each batch appends its own files: the placed vertices, the connectivity they add and, last, the sizes of the parts.
+    A batch counts once the sizes are there, so a placer made anew on the same folder goes on after the last whole
+    batch, and a batch that is run again is skipped or writes the same files again.
+    """
 
     def __init__(self, spark: SparkSession, nov: int, k: int, policy: str = "tv", path: str | None = None):
         check_parts(k)
         self.spark, self.k, self.policy = spark, k, policy
-        self.limit, self.path, self.last = capacity(nov, k), path or folder(spark), -1
+        self.limit, self.path = capacity(nov, k), path or folder(spark)
+        self.sizes, self.last = [0] * k, -1
+        if exists(spark, f"{self.path}/sizes"):
+            row = spark.read.schema(SIZES).parquet(f"{self.path}/sizes").agg(F.max(F.struct("epoch", "sizes")).alias("last")).first()["last"]
+            if row is not None:
+                self.last, self.sizes = row["epoch"], list(row["sizes"])
 
     def _read(self, name: str, schema: str) -> DataFrame:
         if self.last < 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{self.last}")
+        return self.spark.read.schema(f"{schema}, epoch bigint").parquet(f"{self.path}/{name}").where(F.col("epoch") <= self.last).drop("epoch")
+
+    def _write(self, rows: DataFrame, name: str, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/epoch={epoch}")
 
     def parts(self) -> DataFrame:
         return self._read("parts", "v bigint, part int")
@@ -38,21 +51,23 @@ class StreamPlacer:
         return self._read("touched", "net bigint, part int, cnt bigint")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        """A batch that is run again writes the same files again."""
-        parts, touched = self.parts(), self.touched()
-        placed = place_batch(batch, touched, part_sizes(parts, self.k), self.k, self.limit, self.policy)
-        new = f"{self.path}/new/{epoch}"
-        placed.write.mode("overwrite").parquet(new)
-        placed = self.spark.read.schema("v bigint, part int").parquet(new)
-        parts.unionByName(placed).write.mode("overwrite").parquet(f"{self.path}/parts/{epoch}")
-        advance(touched, batch, placed).write.mode("overwrite").parquet(f"{self.path}/touched/{epoch}")
-        self.last = epoch
-
-
-def place_stream(arrivals: str, nov: int, k: int, spark: SparkSession, policy: str = "tv", files_per_batch: int = 1) -> DataFrame:
-    """(v, part) of all vertices in a folder of Parquet files of ARRIVALS, in the order of the files' times."""
-    placer = StreamPlacer(spark, nov, k, policy)
-    stream = spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
+        if epoch <= self.last:
+            return
+        placed, sizes = place_batch(batch, self.touched(), self.sizes, self.limit, self.policy)
+        self._write(placed, "parts", epoch)
+        placed = self.spark.read.schema("v bigint, part int").parquet(f"{self.path}/parts/epoch={epoch}")
+        self._write(arrivals(batch, placed), "touched", epoch)
+        self._write(self.spark.createDataFrame([(sizes,)], "sizes array<bigint>").coalesce(1), "sizes", epoch)
+        self.sizes, self.last = sizes, epoch
+
+
+def place_stream(source: str, nov: int, k: int, spark: SparkSession, policy: str = "tv", files_per_batch: int = 1, path: str | None = None) -> DataFrame:
+    """(v, part) of all vertices in a folder of Parquet files of ARRIVALS, in the order of the files' times.
+
+    With ``path`` state and progress are kept there, and a later call goes on with the files that came since.
+    """
+    placer = StreamPlacer(spark, nov, k, policy, path)
+    stream = spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(placer).option("checkpointLocation", f"{placer.path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return placer.parts()
