@@ -250,7 +250,7 @@ class Known:
     A span is found by its hash, and its bytes are compared. Beyond ``limit`` bytes everything is forgotten.
     """
 
-    def __init__(self, kind: type, limit: int = 48 << 20):
+    def __init__(self, kind: type, limit: int = 96 << 20):
         self.kind, self.limit = kind, limit
         self._clear()
 
