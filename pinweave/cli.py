@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pinweave.model import check_parts
 from pinweave.operators import graph, metrics, place, refine
 from pinweave.sources import readers, writers
-from pinweave.store import settle
+from pinweave.store import exists, settle
 
 #: The placement policy of each objective.
 POLICY = {"cn": "cn", "tv": "tv", "tm": "tm", "msm": "tm", "msv": "tv", "msrv": "tv"}
@@ -25,6 +25,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--order", type=int, default=0, help="0 by id, 1 breadth-first")
     p.add_argument("-r", "--refine", action="store_true")
     p.add_argument("-i", "--sweeps", type=int, default=1)
+    p.add_argument("--mode", choices=("sweep", "batch"), default="sweep", help="refine all vertices at once, or in runs of their ids")
+    p.add_argument("--refine-batch", type=int, default=100_000, help="vertices of a run")
+    p.add_argument("--cache", action="store_true", help="keep the hypergraph as Parquet beside its file; a cache there is always read first")
+    p.add_argument("--single", action="store_true", help="write the parts as one file")
     p.add_argument("-b", "--batch", type=int, default=0, help="vertices placed at a time; 0 one by one")
     p.add_argument("--orientation", choices=("net", "vertex"), default="net")
     p.add_argument("--weights", help="file with a line of weight and source for each net")
@@ -42,6 +46,9 @@ def parser() -> argparse.ArgumentParser:
 def partition(spark: SparkSession, a: argparse.Namespace) -> None:
     check_parts(a.parts)
     hg = readers.load(spark, a.file, a.orientation)
+    if a.cache and a.file.endswith(".hg") and not exists(spark, readers.cache_path(a.file)):
+        writers.write_cache(hg, readers.cache_path(a.file))
+        hg = readers.read_cache(spark, readers.cache_path(a.file))
     if a.weights:
         hg = type(hg).of(hg.pins, hg.vertices, readers.read_weights(spark, a.weights))
     order = settle(graph.order(hg, a.order))
@@ -49,13 +56,13 @@ def partition(spark: SparkSession, a: argparse.Namespace) -> None:
     policy = POLICY[a.metric]
     parts = place.place_batches(own, order, a.parts, policy, a.batch) if a.batch and policy != "tm" else settle(place.place(own, order, a.parts, policy))
     if a.refine:
-        refined = refine.refine(hg, parts, a.parts, a.metric, a.sweeps)
+        refined = refine.refine(hg, parts, a.parts, a.metric, a.sweeps, mode=a.mode, batch=a.refine_batch)
         metrics.compare(hg, parts, refined).show(vertical=True)
         parts = refined
     else:
         metrics.report(hg, parts).show(vertical=True)
     metrics.imbalance(parts, a.parts).show()
-    writers.write_parts(parts, a.out or writers.part_path(a.file, a.parts))
+    writers.write_parts(parts, a.out or writers.part_path(a.file, a.parts), a.single)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -64,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "partition":
         partition(spark, a)
     else:
-        writers.write_hypergraph(readers.load(spark, a.file), a.out, a.base)
+        writers.write_hypergraph(readers.load(spark, a.file), a.out, a.base, single=True)
 
 
 if __name__ == "__main__":

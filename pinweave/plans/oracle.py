@@ -164,3 +164,92 @@ def bfs(start: str = "SELECT min(v) FROM pins", name: str = "b") -> str:
 
 
 THIN = "kept AS (SELECT net FROM (SELECT net, count(*) AS d FROM pins GROUP BY 1) WHERE d < 1.5 * (SELECT count(*) / count(DISTINCT net) FROM pins) AND d < 10), thin AS (SELECT * FROM pins WHERE net IN (SELECT net FROM kept))"
+
+
+def placed_by_messages(k: int) -> str:
+    """Table a(ord, v, part) of the sequential placement by messages; connections are rebuilt of the whole prefix."""
+    return f"""ordv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS ord FROM (SELECT DISTINCT v FROM pins)),
+lim AS (SELECT CAST(count(*) // {k} AS DOUBLE) * 1.05 AS cap FROM ordv),
+home AS (SELECT net, min(v) AS src FROM pins GROUP BY 1),
+inc AS (SELECT pins.net, v, src FROM pins JOIN home USING (net)),
+a(ord, v, part) USING KEY (ord) AS (
+  SELECT ord, v, 0::INTEGER FROM ordv WHERE ord = 0
+  UNION (
+  WITH cur AS (SELECT ord, v FROM ordv WHERE ord = (SELECT max(ord) + 1 FROM recurring.a)),
+  sz AS (SELECT k.part, count(r.v) AS n FROM (SELECT unnest(range({k}))::INTEGER AS part) k LEFT JOIN recurring.a r ON r.part = k.part GROUP BY 1),
+  pt AS (SELECT i.net, r.part, i.v = i.src AS own FROM inc i JOIN recurring.a r ON r.v = i.v),
+  linked AS (SELECT DISTINCT s.part AS sp, t.part AS tp FROM pt s JOIN pt t USING (net) WHERE s.own AND s.part <> t.part),
+  mine AS (SELECT net, src = v AS own FROM inc WHERE v = (SELECT v FROM cur)),
+  senders AS (SELECT DISTINCT part FROM mine m JOIN pt USING (net) WHERE pt.own AND NOT m.own),
+  receivers AS (SELECT DISTINCT net, part FROM mine m JOIN pt USING (net) WHERE m.own),
+  sc AS (SELECT part, count(*) AS s FROM (SELECT tp AS part FROM senders JOIN linked ON sp = part UNION ALL SELECT sp FROM receivers JOIN linked ON tp = part) GROUP BY 1),
+  ch AS (SELECT sz.part, n, n < cap AS able, CASE WHEN n < cap THEN coalesce(s, 0) ELSE 0 END AS s FROM sz LEFT JOIN sc USING (part), lim)
+  SELECT cur.ord, cur.v, ch.part FROM ch, cur ORDER BY able DESC, s DESC, n, ch.part LIMIT 1))"""
+
+
+def placed_in_batches(batches: int, k: int) -> str:
+    """Table parts(v, part) of the placement by touching nets in so many batches of the order by id."""
+    steps = f"""ordv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS ord FROM (SELECT DISTINCT v FROM pins)),
+size_ AS (SELECT count(*) AS nov, (count(*) + {batches} - 1) // {batches} AS each, CAST(count(*) // {k} AS DOUBLE) * 1.05 AS cap FROM ordv),
+ks AS (SELECT unnest(range({k}))::INTEGER AS part),
+done0 AS (SELECT NULL::BIGINT AS v, NULL::INTEGER AS part WHERE false)"""
+    for b in range(batches):
+        steps += f""",
+own{b} AS (SELECT v, ord FROM ordv, size_ WHERE ord // each = {b}),
+sz{b} AS (SELECT ks.part, count(v) AS n FROM ks LEFT JOIN done{b} USING (part) GROUP BY 1),
+tp{b} AS (SELECT DISTINCT net, part FROM pins JOIN done{b} USING (v)),
+vote{b} AS (SELECT p.v, t.part, count(*) AS s FROM own{b} JOIN pins p USING (v) JOIN tp{b} t ON t.net = p.net GROUP BY 1, 2),
+best{b} AS (SELECT * FROM (SELECT v, part, n, s * (1 - n / cap) AS score, row_number() OVER (PARTITION BY v ORDER BY s * (1 - n / cap) DESC, n, part) AS r FROM vote{b} JOIN sz{b} USING (part), size_) WHERE r = 1 AND score > 0),
+fit{b} AS (SELECT v, part FROM (SELECT v, part, n, cap, row_number() OVER (PARTITION BY part ORDER BY score DESC, ord) AS r FROM best{b} JOIN own{b} USING (v), size_) WHERE r <= greatest(ceil(cap) - n, 0)),
+left{b} AS (SELECT sz{b}.part, n + count(v) AS n FROM sz{b} LEFT JOIN fit{b} USING (part) GROUP BY sz{b}.part, n),
+wait{b} AS (SELECT v, row_number() OVER (ORDER BY ord) AS place FROM own{b} WHERE v NOT IN (SELECT v FROM fit{b})),
+spot{b} AS (SELECT part, row_number() OVER (ORDER BY level, part) AS place FROM (SELECT part, unnest(range(n, n + (SELECT count(*) FROM wait{b}))) AS level FROM left{b})),
+done{b + 1} AS (SELECT v, part FROM done{b} UNION ALL SELECT v, part FROM fit{b} UNION ALL SELECT v, part FROM wait{b} JOIN spot{b} USING (place))"""
+    return f"{steps},\nparts AS (SELECT v, part FROM done{batches})"
+
+
+_ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, to_part) AS o FROM moves) WHERE o = 1)"
+
+
+def admitted(part: str, k: int, rule: str, objective: str) -> str:
+    """The moves of one batch of all vertices that are applied, as sizes and loads are looked at again."""
+    head = f"{state(part, k)},\n{rule},\n{_ONE}"
+    if objective == "cn":
+        return f"{head}\nSELECT v, from_part, to_part, gain FROM one"
+    if objective == "tm":
+        return f"""{head}
+SELECT v, from_part, to_part, gain FROM (SELECT one.*, size, row_number() OVER (PARTITION BY to_part ORDER BY v) - 1 AS arrived FROM one JOIN sizes ON part = to_part), cap WHERE size + arrived < 1.02::DOUBLE * cap"""
+    if objective == "tv":
+        return f"""{head},
+ev AS (SELECT v, to_part AS part, 1 AS step, true AS asks FROM one UNION ALL SELECT v, from_part, -1, false FROM one),
+run AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY part ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev),
+stop AS (SELECT min(v) AS last FROM run JOIN sizes USING (part) WHERE asks AND size + before > 1.1::DOUBLE * (SELECT count(*) FROM parts) / {k})
+SELECT v, from_part, to_part, gain FROM one, stop WHERE last IS NULL OR v < last"""
+    delta = "SELECT one.v, part, -d AS d FROM change JOIN one ON one.v = change.v AND to_part = k" if objective == "msm" else "SELECT one.v, part, d FROM change JOIN one ON one.v = change.v AND to_part = q"
+    return f"""{head},
+delta AS ({delta}),
+grid AS (SELECT one.v, l.part, load, top, load + sum(coalesce(d, 0)) OVER (PARTITION BY l.part ORDER BY one.v) AS now FROM one CROSS JOIN load l LEFT JOIN delta ON delta.v = one.v AND delta.part = l.part),
+stop AS (SELECT min(v) AS last FROM (SELECT v FROM grid GROUP BY v HAVING max(now) = max(now) FILTER (load < top)))
+SELECT v, from_part, to_part, gain FROM one, stop WHERE last IS NULL OR v <= last"""
+
+
+def swept_twice(part: str, k: int, rule: str) -> str:
+    """The six metrics after two sweeps of moves that do not meet on a net."""
+    once = lambda before: f"""SELECT * FROM (WITH parts AS (SELECT * FROM {before}), {_tables(k)},
+{rule},
+{_ONE},
+meet AS (SELECT pins.net, one.v, row_number() OVER (PARTITION BY pins.net ORDER BY gain DESC, one.v) AS o FROM pins JOIN one USING (v)),
+free AS (SELECT * FROM one WHERE v NOT IN (SELECT v FROM meet WHERE o > 1))
+SELECT parts.v, coalesce(free.to_part, parts.part) AS part FROM parts LEFT JOIN free USING (v))"""
+    return f"""{pins()},
+p0 AS (SELECT DISTINCT v, {part} AS part FROM pins),
+p1 AS ({once("p0")}),
+p2 AS ({once("p1")}),
+parts AS (SELECT * FROM p2), {_tables(k)}
+SELECT {METRICS}"""
+
+
+#: The hypergraph with nets and vertices numbered from 0, as files have them.
+DENSE = """numbered AS (SELECT dense_rank() OVER (ORDER BY net) - 1 AS net, dense_rank() OVER (ORDER BY v) - 1 AS v FROM pins)"""
+#: Parts and suppliers as a matrix.
+MATRIX = "WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), i AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS n FROM (SELECT a FROM e UNION SELECT b FROM e)), g AS (SELECT x.n AS i, y.n AS j, (1 + (x.n + y.n) % 5)::DOUBLE AS w FROM e JOIN i x ON x.a = e.a JOIN i y ON y.a = e.b WHERE x.n <> y.n)"

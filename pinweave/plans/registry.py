@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinweave.model import header, transpose, validate
+from pinweave.model import Hypergraph, header, settled, transpose, validate
 from pinweave.operators import graph, metrics, place, refine
 from pinweave.plans import derive
 from pinweave.plans import oracle as o
+from pinweave.functions.expressions import renumbered
+from pinweave.sources import readers, writers
 from pinweave.sources.readers import clean_entries, default_weights
 from pinweave.sources.writers import hypergraph_lines
 from pinweave.store import folder, settle
@@ -59,9 +61,13 @@ def _msg(s: SparkSession, d: str, k: int) -> DataFrame:
     return metrics.messages(metrics.net_part(hg.pins, parts), metrics.sourced(hg.nets, parts))
 
 
+def _report(hg: Hypergraph, k: int) -> DataFrame:
+    return metrics.report(hg, derive.modulo(hg, k))
+
+
 for name, hg_, key in (("metrics_all", op, "op"), ("metrics_dual", po, "po"), ("metrics_suppliers", hos, "os")):
     for k_ in (4, 256) if key == "op" else (8,):
-        register(f"{name}_k{k_}", f"{o.state(o.modulo(k_), k_, key)} SELECT {o.METRICS}", lambda s, d, h=hg_, k=k_: metrics.report(h(s, d), derive.modulo(h(s, d), k)))
+        register(f"{name}_k{k_}", f"{o.state(o.modulo(k_), k_, key)} SELECT {o.METRICS}", lambda s, d, h=hg_, k=k_: _report(h(s, d), k))
 register("metrics_skewed_k8", f"{o.state(o.skewed(8), 8)} SELECT {o.METRICS}", lambda s, d: metrics.report(op(s, d), derive.skewed(op(s, d), 8)))
 register("net_part", f"{_m4} SELECT net, part, cnt FROM np", _np)
 register("lambda", f"{_m4} SELECT net, lam FROM lam", lambda s, d: metrics.connectivity(_np(s, d)))
@@ -105,7 +111,7 @@ def _thin_metrics(s: SparkSession, d: str) -> DataFrame:
 register("thin_metrics_on_full", f"{o.pins()}, {o.THIN}, {o.placed('tv', 4, 'thin')}, parts AS (SELECT v, part FROM a), {o._tables(4)} SELECT {o.METRICS}", _thin_metrics)
 register("net_sources", f"{o.pins()} SELECT net, min(v) AS src FROM pins GROUP BY 1", lambda s, d: op(s, d).nets.select("net", "src"))
 register("src_target_split", f"{o.pins()} SELECT DISTINCT v, v IN (SELECT min(v) FROM pins GROUP BY net) AS is_source FROM pins", lambda s, d: graph.source_split(op(s, d)))
-register("net_weights", None, lambda s, d: default_weights(op(s, d)))
+register("net_weights", f"{o.pins()} SELECT net, CAST(net % 10 AS INTEGER) AS weight, min(v) AS src FROM pins GROUP BY net", lambda s, d: default_weights(op(s, d)))
 register(
     "mtx_symmetrize_dedup",
     "WITH e AS (SELECT l_partkey AS i, l_suppkey AS j, l_discount - 0.05 AS w FROM lineitem), m AS (SELECT * FROM e UNION ALL SELECT j, i, w FROM e WHERE i <> j) SELECT i, j, round(sum(abs(w)), 6) AS w FROM m WHERE i <> j AND w <> 0 GROUP BY 1, 2",
@@ -141,32 +147,40 @@ _place = lambda policy, k: lambda s, d: place.place(op(s, d), graph.id_order(op(
 for policy_ in ("cn", "tv"):
     register(f"place_{policy_}", f"{o.pins()}, {o.placed(policy_, 4)} SELECT v, part FROM a", _place(policy_, 4))
     register(f"place_{policy_}_metrics", f"{o.pins()}, {o.placed(policy_, 4)}, parts AS (SELECT v, part FROM a), {o._tables(4)} SELECT {o.METRICS}", lambda s, d, p=policy_: metrics.report(op(s, d), settle(_place(p, 4)(s, d))))
-register("place_tm", None, _place("tm", 8))
-register("place_tm_metrics", None, lambda s, d: metrics.report(op(s, d), settle(_place("tm", 8)(s, d))))
+register("place_tm", f"{o.pins()}, {o.placed_by_messages(8)} SELECT v, part FROM a", _place("tm", 8))
+register("place_tm_metrics", f"{o.pins()}, {o.placed_by_messages(8)}, parts AS (SELECT v, part FROM a), {o._tables(8)} SELECT {o.METRICS}", lambda s, d: metrics.report(op(s, d), settle(_place("tm", 8)(s, d))))
 register("place_audit", "SELECT NULL::BIGINT AS v, NULL::BIGINT AS ord, NULL::INTEGER AS part, NULL::INTEGER AS expected WHERE false", lambda s, d: place.audit(op(s, d), graph.id_order(op(s, d)), settle(_place("tv", 4)(s, d)), 4))
 
 
 def _batches(s: SparkSession, d: str) -> DataFrame:
-    hg = op(s, d)
-    return metrics.report(hg, place.place_batches(hg, graph.id_order(hg), 4, "tv", batch=max(200, hg.vertices.count() // 4)))
+    hg = settled(op(s, d))
+    return place.place_batches(hg, graph.id_order(hg), 4, "tv", batch=-(-hg.vertices.count() // 4))
 
 
-register("place_batches_metrics", None, _batches)
+register("place_batches", f"{o.pins()}, {o.placed_in_batches(4, 4)} SELECT v, part FROM parts", _batches)
+register("place_batches_metrics", f"{o.pins()}, {o.placed_in_batches(4, 4)}, {o._tables(4).replace('ks AS', 'ks_ AS', 1)} SELECT {o.METRICS}", lambda s, d: metrics.report(op(s, d), _batches(s, d)))
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """Vertices streamed in four files, in the order of their arrival."""
-    hg = op(s, d)
+    hg = settled(op(s, d))
     n = hg.vertices.count()
     path = folder(s)
     placement.write_arrivals(settle(place.stream_rows(hg, graph.id_order(hg))), path, -(-n // 4))
     return placement.place_stream(path, n, 4, s)
 
 
-register("stream_place_tv", None, _stream)
+register("stream_place_tv", f"{o.pins()}, {o.placed_in_batches(4, 4)} SELECT v, part FROM parts", _stream)
 
 # Refinement
-_frozen = lambda s, d, part, k: refine.Frozen(op(s, d), settle(part(op(s, d), k)), k)
+
+
+
+def _frozen(s: SparkSession, d: str, part: Callable[[Hypergraph, int], DataFrame], k: int) -> refine.Frozen:
+    hg = settled(op(s, d))
+    return refine.Frozen(hg, settle(part(hg, k)), k)
+
+
 _RULES = {
     "cn": (derive.skewed, o.skewed, 8, o.CN_MOVES, refine.cn_moves),
     "tv": (derive.skewed, o.skewed, 8, o.tv_moves(False), lambda at: refine.tv_moves(at, guard=False)),
@@ -184,10 +198,22 @@ for name, (part_, sql_, k_, rule_, moves_) in _RULES.items():
         return metrics.report(at.hg, settle(refine.applied(at.parts, refine.independent(at.hg, chosen))))
 
     register(f"refine_{name}_metrics", o.swept(sql_(k_), k_, rule_), _after)
+
+    def _applied(s: SparkSession, d: str, p=part_, k=k_, m=moves_, n=name) -> DataFrame:
+        """What one batch of all vertices applies."""
+        at = _frozen(s, d, p, k)
+        return refine.admitted(at, settle(refine.one_each(m(at))), n)
+
+    register(f"apply_{name}", o.admitted(sql_(k_), k_, rule_, name), _applied)
 register("refine_tv_gain", f"{o.state(o.skewed(8), 8)},\n{o.tv_gains(False)}\nSELECT v, p, q, leave, arrive FROM gains", lambda s, d: refine.tv_gains(_frozen(s, d, derive.skewed, 8), guard=False))
 register("refine_tv_guarded", o.moves(o.skewed(8), 8, o.tv_moves(True)), lambda s, d: refine.tv_moves(_frozen(s, d, derive.skewed, 8)))
 register("refine_tm_gain", f"{o.state(o.skewed(256), 256)},\n{o._MESSAGE}\nSELECT v, p, part, g AS gain FROM gain", lambda s, d: refine.message_gains(_frozen(s, d, derive.skewed, 256)))
-register("refine_two_sweeps", None, lambda s, d: metrics.report(op(s, d), refine.refine(op(s, d), derive.skewed(op(s, d), 8), 8, "cn", 2)))
+register("refine_two_sweeps", o.swept_twice(o.skewed(8), 8, o.CN_MOVES), lambda s, d: _two_sweeps(settled(op(s, d))))
+
+
+def _two_sweeps(hg: Hypergraph) -> DataFrame:
+    return metrics.report(hg, refine.refine(hg, settle(derive.skewed(hg, 8)), 8, "cn", 2))
+
 
 # Colours and components
 _colour = "colours AS (SELECT DISTINCT v, v % 7 AS colour FROM pins), cnt AS (SELECT net, colour, count(*) AS n FROM pins JOIN colours USING (v) GROUP BY 1, 2), maj AS (SELECT net, colour FROM (SELECT *, row_number() OVER (PARTITION BY net ORDER BY n DESC, colour) AS r FROM cnt) WHERE r = 1)"
@@ -196,3 +222,84 @@ register("colour_majority", f"{o.pins()}, {_colour} SELECT net, colour FROM maj"
 register("colour_coarse", f"{o.pins()}, {_colour} SELECT v, colour FROM (SELECT v, maj.colour, row_number() OVER (PARTITION BY v ORDER BY net DESC) AS r FROM pins JOIN maj USING (net)) WHERE r = 1", lambda s, d: graph.colour_step(op(s, d), _colours(op(s, d))))
 register("colour_histogram", f"{o.pins()}, {_colour} SELECT colour, count(*) AS n FROM colours GROUP BY 1", lambda s, d: _colours(op(s, d)).groupBy("colour").agg(F.count(F.lit(1)).alias("n")))
 register("connected_components", f"{_b} SELECT v, (SELECT min(v) FROM pins) AS component FROM b", lambda s, d: graph.connected_components(po(s, d)))
+
+# Files: each is written to the shared folder and read back
+_dense = f"{o.pins()}, {o.DENSE}"
+
+
+def _numbered(s: SparkSession, d: str) -> Hypergraph:
+    """The hypergraph with nets and vertices numbered from 0, as files need them."""
+    pins = settle(op(s, d).pins)
+    for c in ("net", "v"):
+        pins = pins.join(renumbered(pins.select(c).distinct(), c, "n"), c).drop(c).withColumnRenamed("n", c)
+    return settled(Hypergraph.of(pins))
+
+
+def _hypergraph_file(s: SparkSession, d: str, base: int = 1) -> Hypergraph:
+    path = f"{folder(s)}.hg"
+    writers.write_hypergraph(_numbered(s, d), path, base)
+    return readers.load(s, path)
+
+
+def _vertex_file(s: SparkSession, d: str) -> Hypergraph:
+    path = f"{folder(s)}.hg"
+    writers.write_vertex_major(_numbered(s, d), path)
+    return readers.load(s, path, "vertex")
+
+
+def _cached(s: SparkSession, d: str) -> Hypergraph:
+    """Read from the cache beside a file that is not there."""
+    path = f"{folder(s)}.hg"
+    writers.write_cache(op(s, d), readers.cache_path(path))
+    return readers.load(s, path)
+
+
+def _weight_file(s: SparkSession, d: str) -> DataFrame:
+    path = folder(s)
+    writers.write_weights(default_weights(_numbered(s, d)), path)
+    return readers.read_weights(s, path)
+
+
+def _part_file(s: SparkSession, d: str) -> DataFrame:
+    path = folder(s)
+    writers.write_parts(derive.modulo(_numbered(s, d), 8), path)
+    return readers.numbered_lines(s, path).select(F.col("line").alias("v"), F.col("value").cast("int").alias("part"))
+
+
+def _entries(s: SparkSession, d: str) -> tuple[int, DataFrame]:
+    """Parts and suppliers, of one numbering, as a matrix without a diagonal."""
+    e = settle(derive.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct())
+    ids = settle(renumbered(e.select("a").union(e.select("b")).distinct(), "a", "n"))
+    g = e.join(ids.withColumnRenamed("n", "i"), "a").join(ids.select(F.col("a").alias("b"), F.col("n").alias("j")), "b").where("i <> j")
+    return ids.count(), settle(g.select("i", "j", (1 + (F.col("i") + F.col("j")) % 5).cast("double").alias("w")))
+
+
+def _matrix_file(s: SparkSession, d: str) -> DataFrame:
+    path = f"{folder(s)}.mtx"
+    writers.write_matrix(*_entries(s, d), path)
+    return readers.load_graph(s, path)[2]
+
+
+def _graph_file(s: SparkSession, d: str, kept: bool = False) -> tuple[int, DataFrame, DataFrame]:
+    """A symmetric graph with weights of vertices; of its cache alone with ``kept``."""
+    path, (side, entries) = f"{folder(s)}.graph", _entries(s, d)
+    entries = clean_entries(entries, symmetric=True)
+    weights = s.range(side).select(F.col("id").alias("v"), (1 + F.col("id") % 3).cast("int").alias("weight"))
+    if kept:
+        writers.write_graph_cache(weights, entries, readers.cache_path(path))
+    else:
+        writers.write_graph(side, entries, path, weights)
+    return readers.load_graph(s, path)
+
+
+_mirrored = "m AS (SELECT i, j, w FROM g UNION ALL SELECT j, i, w FROM g)"
+register("read_net_major", f"{_dense} SELECT net, v FROM numbered", lambda s, d: _hypergraph_file(s, d).pins)
+register("read_net_major_zero_based", f"{_dense} SELECT net, v FROM numbered", lambda s, d: _hypergraph_file(s, d, 0).pins)
+register("read_vertex_major", f"{_dense} SELECT net, v FROM numbered", lambda s, d: _vertex_file(s, d).pins)
+register("read_cache", f"{o.pins()} SELECT net, v FROM pins", lambda s, d: _cached(s, d).pins)
+register("read_weights", f"{_dense} SELECT net, CAST(net % 10 AS INTEGER) AS weight, min(v) AS src FROM numbered GROUP BY net", _weight_file)
+register("part_vector", f"{_dense} SELECT DISTINCT v, {o.modulo(8)} AS part FROM numbered", _part_file)
+register("read_matrix", f"{o.MATRIX} SELECT i, j, w FROM g", _matrix_file)
+register("read_graph", f"{o.MATRIX}, {_mirrored} SELECT i, j, sum(w) AS w FROM m GROUP BY 1, 2", lambda s, d: _graph_file(s, d)[2])
+register("read_graph_weights", f"{o.MATRIX} SELECT n AS v, CAST(1 + n % 3 AS INTEGER) AS weight FROM i", lambda s, d: _graph_file(s, d)[1])
+register("read_graph_cache", f"{o.MATRIX}, {_mirrored} SELECT i, j, sum(w) AS w FROM m GROUP BY 1, 2", lambda s, d: _graph_file(s, d, kept=True)[2])

@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinweave.model import Hypergraph
+from pinweave.store import exists
 
 
 def numbered_lines(spark: SparkSession, path: str, keep_blank: bool = False, comment: str | None = None) -> DataFrame:
-    """(line, value) of one text file, lines counted from 0; blank and comment lines are not counted unless kept.
+    """(line, value) of a text file, or of a folder's files in the order of their names; lines are counted from 0.
 
-    Each task numbers its own lines; only the number of lines of each task is summed up in one place.
+    Blank and comment lines are not counted unless kept. A block of a file is read by one task, which numbers its lines;
+    only the number of lines of each block is summed up in one place.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     if not keep_blank:
         text = text.where("value rlike '\\\\S'")
     if comment:
         text = text.where(~F.trim("value").startswith(comment))
-    own = text.select("value", "block", F.monotonically_increasing_id().alias("id"))
-    own = own.select("value", "block", F.shiftright("id", 33).alias("task"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-    sizes = own.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("block"))
-    before = sizes.select("task", (F.sum("n").over(Window.orderBy("block", "task")) - F.col("n")).alias("before"))
-    return own.join(before, "task").select((F.col("before") + F.col("place")).alias("line"), "value")
+    own = text.select("value", "file", "block", F.monotonically_increasing_id().alias("id"))
+    sizes = own.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = sizes.select("file", "block", "first", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("before"))
+    return own.join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
 
 
 def _numbers(lines: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 def default_weights(hg: Hypergraph) -> DataFrame:
     """(net, weight 0 to 9, src): a rule in place of random numbers; the source is the lowest pin."""
-    return hg.nets.select("net", F.pmod(F.xxhash64("net"), F.lit(10)).cast("int").alias("weight"), "src")
+    return hg.nets.select("net", F.pmod("net", F.lit(10)).cast("int").alias("weight"), "src")
 
 
 KINDS, SYMMETRIES = ("real", "integer", "pattern"), ("general", "symmetric")
@@ -88,20 +89,25 @@ def read_matrix(spark: SparkSession, path: str, loop: bool = False, zero_based:
     """Side and entries (i, j, w), from 0, of a square coordinate matrix in Matrix Market form.
 
     The diagonal is dropped unless ``loop``, as are zeros; weights are absolute; symmetric files are mirrored; repeated
-    entries are added up. A ``.txt`` file counts from 0.
+    entries are added up. A ``.txt`` file counts from 0. Another number of entries than the header says, as in a file cut
+    off, is an error, as is a coordinate out of range.
     """
-    first = spark.read.text(path).first()
+    first = numbered_lines(spark, path, keep_blank=True).where("line = 0").first()
     banner = (first["value"] if first else "").lower().split()
     if len(banner) != 5 or banner[0] != "%%matrixmarket" or banner[1:3] != ["matrix", "coordinate"] or banner[3] not in KINDS or banner[4] not in SYMMETRIES:
         raise ValueError(f"not a coordinate matrix of {KINDS} and {SYMMETRIES}: {' '.join(banner)}")
     lines = numbered_lines(spark, path, comment="%")
-    rows, columns, _ = map(int, _header(lines))
+    rows, columns, count = map(int, _header(lines))
     if rows != columns:
         raise ValueError(f"a matrix of {rows} by {columns} is not square")
     base = 0 if (path.endswith(".txt") if zero_based is None else zero_based) else 1
     token = F.split(F.trim("value"), r"\s+")
-    weight = F.lit(1.0) if banner[3] == "pattern" else token[2].cast("double")
-    entries = lines.where("line > 0").select((token[0].cast("bigint") - base).alias("i"), (token[1].cast("bigint") - base).alias("j"), weight.alias("w"))
+    weight = F.lit(1.0) if banner[3] == "pattern" else F.get(token, F.lit(2)).cast("double")
+    entries = lines.where("line > 0").select((F.get(token, F.lit(0)).cast("bigint") - base).alias("i"), (F.get(token, F.lit(1)).cast("bigint") - base).alias("j"), weight.alias("w"))
+    right = F.col("i").between(0, rows - 1) & F.col("j").between(0, rows - 1) & F.col("w").isNotNull()
+    n, bad = entries.agg(F.count(F.lit(1)), F.count_if(~F.coalesce(right, F.lit(False)))).first()
+    if n != count or bad:
+        raise ValueError(f"{n} entries, {bad} of them out of range or not numbers, where the header says {count} in a matrix of side {rows}")
     return rows, clean_entries(entries, banner[4] == "symmetric", loop)
 
 
@@ -115,25 +121,42 @@ def clean_entries(entries: DataFrame, symmetric: bool, loop: bool = False) -> Da
     return entries.where("w <> 0").groupBy("i", "j").agg(F.sum(F.abs("w")).alias("w"))
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+def read_graph(spark: SparkSession, path: str, loop: bool = False) -> tuple[int, DataFrame]:
     """Vertices and entries (i, j, w) of ``nv ne [fmt [ncon]]`` and a line of neighbours, from 1, for each vertex.
 
-    fmt 1 and 11 give a weight after each neighbour; 10 and 11 ncon weights, which are skipped, before them. Loops are
-    dropped, a negative weight is an error.
+    The digits of fmt, from the last: a weight after each neighbour; ncon vertex weights before them; a vertex size
+    before these. Loops are dropped unless ``loop``. A negative weight, an id out of range, more lines than vertices or
+    more entries than two for each edge are errors.
     """
+    side, _, entries = read_weighted_graph(spark, path, loop)
+    return side, entries
+
+
+def read_weighted_graph(spark: SparkSession, path: str, loop: bool = False) -> tuple[int, DataFrame, DataFrame]:
+    """As ``read_graph``, with (v, weight) of all vertices between: the first weight of each, 1 where the file has none."""
     lines = numbered_lines(spark, path, keep_blank=True, comment="%")
     head = [int(x) for x in _header(lines)]
-    fmt = head[2] if len(head) > 2 else 0
-    skip = (head[3] if len(head) > 3 else 1) if fmt // 10 % 10 else 0
-    weighted = fmt % 10 == 1
-    own = _numbers(lines.where(f"line between 1 and {head[0]}")).where(F.col("pos") >= skip).withColumn("pos", F.col("pos") - skip)
+    side, edges, fmt = head[0], head[1], head[2] if len(head) > 2 else 0
+    sized, own_weights, weighted = fmt // 100 % 10 > 0, fmt // 10 % 10 > 0, fmt % 10 == 1
+    skip = sized + ((head[3] if len(head) > 3 else 1) if own_weights else 0)
+    tokens = _numbers(lines.where("line > 0"))
+    if not lines.where(F.col("line") > side).where("value rlike '\\\\S'").isEmpty():
+        raise ValueError(f"the file has lines for more than {side} vertices")
+    own = tokens.where(F.col("pos") >= skip).withColumn("pos", F.col("pos") - skip)
     if weighted:
         pair = F.floor(F.col("pos") / 2)
         own = own.groupBy("line", pair.alias("pair")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("token"))).alias("token"), F.max(F.when(F.col("pos") % 2 == 1, F.col("token"))).alias("w"))
     entries = own.select((F.col("line") - 1).alias("i"), (F.col("token").cast("bigint") - 1).alias("j"), (F.col("w").cast("double") if weighted else F.lit(1.0)).alias("w"))
-    if weighted and not entries.where("w < 0").isEmpty():
-        raise ValueError("an edge has a negative weight")
-    return head[0], clean_entries(entries, symmetric=False)
+    counted = F.lit(True) if loop else F.col("i") != F.col("j")
+    n, bad, negative = entries.agg(F.count_if(counted), F.count_if(~F.coalesce(F.col("j").between(0, side - 1) & F.col("w").isNotNull(), F.lit(False))), F.count_if(F.col("w") < 0)).first()
+    if negative:
+        raise ValueError(f"{negative} edges have a negative weight")
+    if n > 2 * edges or bad:
+        raise ValueError(f"{n} entries, {bad} of them out of range or not numbers, where the header says {edges} edges of {side} vertices")
+    ids = spark.range(side).select(F.col("id").alias("v"))
+    first = tokens.where(F.col("pos") == int(sized)).select((F.col("line") - 1).alias("v"), F.col("token").cast("int").alias("weight")) if own_weights else None
+    weights = ids.select("v", F.lit(1).alias("weight")) if first is None else ids.join(first, "v", "left").select("v", F.coalesce("weight", F.lit(1)).alias("weight"))
+    return side, weights, clean_entries(entries, symmetric=False, loop=loop)
 
 
 def hypergraph_of(side: int, entries: DataFrame) -> Hypergraph:
@@ -147,12 +170,34 @@ def read_cache(spark: SparkSession, path: str) -> Hypergraph:
     return Hypergraph(*(spark.read.parquet(f"{path}/{name}") for name in ("pins", "vertices", "nets")))
 
 
+def read_graph_cache(spark: SparkSession, path: str) -> tuple[int, DataFrame, DataFrame]:
+    """What ``write_graph_cache`` wrote."""
+    weights, entries = (spark.read.parquet(f"{path}/{name}") for name in ("weights", "entries"))
+    return weights.count(), weights, entries
+
+
+def load_graph(spark: SparkSession, path: str, loop: bool = False) -> tuple[int, DataFrame, DataFrame]:
+    """Side, (v, weight) and entries of a matrix or graph file, of its cache beside it if there is one."""
+    if not loop and exists(spark, cache_path(path)):
+        return read_graph_cache(spark, cache_path(path))
+    if path.endswith(".graph"):
+        return read_weighted_graph(spark, path, loop)
+    side, entries = read_matrix(spark, path, loop)
+    return side, spark.range(side).select(F.col("id").alias("v"), F.lit(1).alias("weight")), entries
+
+
+def cache_path(path: str) -> str:
+    """Where the Parquet cache of a file goes, by default beside it."""
+    return f"{path}.cache"
+
+
 def load(spark: SparkSession, path: str, orientation: str = "net") -> Hypergraph:
-    """By extension: ``.hg``, ``.mtx`` or ``.txt`` matrix, ``.graph``, else a Parquet cache."""
+    """The cache beside a ``.hg`` file if there is one, else by extension: ``.hg``, ``.mtx`` or ``.txt`` matrix, ``.graph``, a Parquet cache."""
     if path.endswith(".hg"):
+        if exists(spark, cache_path(path)):
+            return read_cache(spark, cache_path(path))
         return read_vertex_major(spark, path) if orientation == "vertex" else read_hypergraph(spark, path)
-    if path.endswith((".mtx", ".txt")):
-        return hypergraph_of(*read_matrix(spark, path))
-    if path.endswith(".graph"):
-        return hypergraph_of(*read_graph(spark, path))
+    if path.endswith((".mtx", ".txt", ".graph")):
+        side, _, entries = load_graph(spark, path)
+        return hypergraph_of(side, entries)
     return read_cache(spark, path)

@@ -1,4 +1,4 @@
-"""Writers. Text comes out in order over as many files as there are partitions, or in one with ``single``."""
+"""Writers. Text comes out in order over many files, whose names are in order, too, or in one with ``single``."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def _text(rows: DataFrame, key: str, path: str, single: bool) -> None:
     ordered.write.mode("overwrite").text(path)
 
 
-def write_parts(parts: DataFrame, path: str, single: bool = True) -> None:
+def write_parts(parts: DataFrame, path: str, single: bool = False) -> None:
     """One part a line in the order of the vertices; -1 where a vertex has none."""
     _text(parts.select("v", F.coalesce("part", F.lit(-1)).cast("string").alias("value")), "v", path, single)
 
@@ -32,11 +32,36 @@ def hypergraph_lines(hg: Hypergraph, base: int = 0) -> DataFrame:
     return top.unionByName(lines)
 
 
-def write_hypergraph(hg: Hypergraph, path: str, base: int = 0, single: bool = True) -> None:
+def write_hypergraph(hg: Hypergraph, path: str, base: int = 0, single: bool = False) -> None:
     _text(hypergraph_lines(hg, base), "net", path, single)
 
 
-def write_weights(nets: DataFrame, path: str, single: bool = True) -> None:
+def write_vertex_major(hg: Hypergraph, path: str, single: bool = False) -> None:
+    """``nov noe pins``, then the net ids of each vertex, a line each; ids are 0, 1, 2, ... on both sides."""
+    lines = hg.pins.groupBy("v").agg(F.array_join(F.transform(F.array_sort(F.collect_list("net")), lambda n: n.cast("string")), " ").alias("value"))
+    lines = hg.vertices.select("v").join(lines, "v", "left").select("v", F.coalesce("value", F.lit("")).alias("value"))
+    top = header(hg).select(F.lit(-1).cast("bigint").alias("v"), F.concat_ws(" ", "nov", "noe", "pins").alias("value"))
+    _text(top.unionByName(lines), "v", path, single)
+
+
+def write_matrix(side: int, entries: DataFrame, path: str, single: bool = False) -> None:
+    """Entries (i, j, w), from 0, as a general real matrix in Matrix Market form."""
+    top = entries.agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).cast("bigint").alias("i"), F.concat(F.lit(f"%%MatrixMarket matrix coordinate real general\n{side} {side} "), F.col("n")).alias("value"))
+    _text(top.unionByName(entries.select(F.col("i").cast("bigint").alias("i"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "w").alias("value"))), "i", path, single)
+
+
+def write_graph(side: int, entries: DataFrame, path: str, weights: DataFrame | None = None, single: bool = False) -> None:
+    """Symmetric entries (i, j, w) with whole weights, and weights (v, weight) of the vertices, as a graph file."""
+    spark = entries.sparkSession
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("j", F.col("w").cast("bigint").alias("w")))), lambda e: F.concat_ws(" ", e["j"] + 1, e["w"]))
+    lines = spark.range(side).select(F.col("id").alias("v")).join(entries.groupBy(F.col("i").alias("v")).agg(F.array_join(pairs, " ").alias("value")), "v", "left")
+    if weights is not None:
+        lines = lines.join(weights, "v", "left").select("v", F.concat_ws(" ", F.coalesce("weight", F.lit(1)), "value").alias("value"))
+    top = entries.agg((F.count(F.lit(1)) / 2).cast("bigint").alias("n")).select(F.lit(-1).cast("bigint").alias("v"), F.concat_ws(" ", F.lit(str(side)), "n", F.lit("1" if weights is None else "11")).alias("value"))
+    _text(top.unionByName(lines.select("v", F.coalesce("value", F.lit("")).alias("value"))), "v", path, single)
+
+
+def write_weights(nets: DataFrame, path: str, single: bool = False) -> None:
     """``weight source`` for each net, -1 for no source."""
     _text(nets.select("net", F.concat_ws(" ", "weight", F.coalesce("src", F.lit(-1))).alias("value")), "net", path, single)
 
@@ -45,3 +70,9 @@ def write_cache(hg: Hypergraph, path: str) -> None:
     """Parquet tables, for ``read_cache``."""
     for name in ("pins", "vertices", "nets"):
         getattr(hg, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_graph_cache(weights: DataFrame, entries: DataFrame, path: str) -> None:
+    """Parquet tables of a graph with the weights of its vertices, for ``read_graph_cache``."""
+    weights.write.mode("overwrite").parquet(f"{path}/weights")
+    entries.write.mode("overwrite").parquet(f"{path}/entries")
