@@ -84,7 +84,7 @@ def report(hg: Hypergraph, parts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(whole, F.col("lam") - 1)).alias("volume"),
         F.sum(F.when(whole & (F.col("lam") > 1), 1)).alias("cut"),
-    )
+    ).coalesce(1)  # at most 2 * K * (K + 1) rows, whose sums need no more shuffles
     message = pair.where("tp is not null and sp is not null and sp <> tp").groupBy("sp", "tp").agg(F.sum("n").alias("mult"))
     by_part = message.groupBy(F.col("sp").alias("part")).agg(F.count(F.lit(1)).alias("sent"))
     send = pair.where("tp is null and pin_sp is not null").groupBy(F.col("pin_sp").alias("part")).agg(F.sum("volume").alias("send"))
