@@ -1,8 +1,9 @@
 """Token ids in wavelet-matrix shards: one compressed row per shard with access, rank and select on the bit planes.
 
 A shard holds the ids of consecutive documents. Its matrix has one bit plane per bit of the largest id, the most
-significant first; after each plane the ids are split stably into those with a 0 and those with a 1. The planes are all
-that is stored: ids, counts and occurrences are read from them with rank and select.
+significant first; after each plane the ids are split stably into those with a 0 and those with a 1. The planes and the
+ones before each of their blocks are all that is stored: ids, counts and occurrences are read with rank and select, also
+of many places at once.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ class WaveletMatrix:
 
     BLOCK = 512
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray] | None = None):
+        self.n, self.planes, self._ranks = n, planes, ranks
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
@@ -72,6 +72,38 @@ class WaveletMatrix:
             value = value << 1 | bit
         return value
 
+    def _ones_at(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones of a plane before each of many places."""
+        block = at // self.BLOCK
+        words = np.pad(self.planes[level], (0, -len(self.planes[level]) % 8)).view("<u8")
+        out = self.ranks[level][block].astype(np.int64)
+        for k in range(self.BLOCK // 64):
+            word = block * (self.BLOCK // 64) + k
+            bits = np.clip(at - 64 * word, 0, 64)
+            own = np.flatnonzero(bits)
+            mask = np.where(bits[own] == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(bits[own], 63).astype(np.uint64)) - np.uint64(1))
+            out[own] += np.bitwise_count(words[word[own]] & mask)
+        return out
+
+    def access_all(self, at: np.ndarray) -> np.ndarray:
+        """The values at many places."""
+        value = np.zeros(len(at), np.int64)
+        for level, plane in enumerate(self.planes):
+            one = (plane[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            ones = self._ones_at(level, at)
+            at = np.where(one, self.n - int(self.ranks[level][-1]) + ones, at - ones)
+            value = value << 1 | one
+        return value
+
+    def count_all(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How often each value occurs from lo up to hi of its own."""
+        for level in range(len(self.planes)):
+            one = values >> (len(self.planes) - 1 - level) & 1 == 1
+            zeros = self.n - int(self.ranks[level][-1])
+            a, b = self._ones_at(level, lo), self._ones_at(level, hi)
+            lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
+        return hi - lo
+
     def _range(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         if value < 0 or value >> len(self.planes):
             return 0, 0
@@ -222,7 +254,7 @@ class ByteBpe:
         self.known.ids.put(np.concatenate(each), np.array([len(x) for x in each], np.int64))
 
 
-SHARD = "part int, shard int, bits int, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, planes array<binary>"
+SHARD = "part int, shard int, bits int, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, planes array<binary>, ranks array<binary>"
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shard_tokens: int = 1 << 20, partitions: int | None = None) -> DataFrame:
@@ -247,7 +279,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shard_t
             nonlocal ids, doc_ids, lengths, size, shard
             values = np.concatenate(ids)
             matrix = WaveletMatrix.build(values, bpe.bits)
-            row = {"part": part, "shard": shard, "bits": bpe.bits, "n_tokens": len(values), "doc_ids": doc_ids, "lengths": lengths, "planes": [p.tobytes() for p in matrix.planes]}
+            row = {"part": part, "shard": shard, "bits": bpe.bits, "n_tokens": len(values), "doc_ids": doc_ids, "lengths": lengths, "planes": [p.tobytes() for p in matrix.planes], "ranks": [r.astype("<u4").tobytes() for r in matrix.ranks]}
             ids, doc_ids, lengths, size, shard = [], [], [], 0, shard + 1
             return pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
@@ -269,7 +301,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shard_t
     return stored(ordered.mapInArrow(encode, SHARD))
 
 
-_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("bits", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary()))])
+_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("bits", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
 _encoders: dict[str, ByteBpe] = {}
 
 
@@ -281,37 +313,46 @@ def _encoder(vocabulary: str) -> ByteBpe:
 
 
 def load(row: dict) -> WaveletMatrix:
-    """The matrix of a shard's row."""
-    return WaveletMatrix(row["n_tokens"], [np.frombuffer(p, np.uint8) for p in row["planes"]])
+    """The matrix of a shard's row, with the ranks that stand there."""
+    return WaveletMatrix(row["n_tokens"], [np.frombuffer(p, np.uint8) for p in row["planes"]], [np.frombuffer(r, "<u4") for r in row["ranks"]])
 
 
 def documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read from the shards' bit planes."""
+    """doc_id, start, n_tokens, ids_crc32, first_id and n_first of every document, read from the shards' bit planes.
+
+    first_id is the first id, n_first how often the document has it; both come from access and rank alone.
+    """
     ship(shards.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = load(row).values().astype("<u4").tobytes()
-                ends = np.cumsum(row["lengths"])
+                matrix = load(row)
+                data = matrix.values().astype("<u4").tobytes()
+                ends = np.cumsum(np.array(row["lengths"], np.int64))
                 starts = ends - row["lengths"]
+                first = matrix.access_all(starts)
+                own = matrix.count_all(first, starts, ends)
                 view = memoryview(data)
                 crc = [crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * n, pa.int32()), "shard": pa.array([row["shard"]] * n, pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "at": pa.array(starts), "n_tokens": pa.array(row["lengths"], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * n, pa.int32()), "shard": pa.array([row["shard"]] * n, pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "at": pa.array(starts), "n_tokens": pa.array(row["lengths"], pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "first_id": pa.array(first), "n_first": pa.array(own)})
 
-    each = shards.mapInArrow(read, "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    each = shards.mapInArrow(read, "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint, n_first bigint")
     # One row per shard, of a million ids or more: the running total over them is small beside the corpus.
     sizes = shards.select("part", "shard", "n_tokens")
     whole = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = whole.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     inner = sizes.select("part", "shard", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("inner"))
     first = inner.join(base, "part").select("part", "shard", (F.col("base") + F.col("inner")).alias("first"))
-    return each.join(first, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return each.join(first, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "first_id", "n_first")
 
 
 def count_token(shards: DataFrame, token: int) -> DataFrame:
-    """Occurrences of a token id per shard, from rank alone."""
+    """Occurrences of a token id per shard, from rank alone; 0 for an id that no document has, no row without shards.
+
+    Documents with null or empty texts hold but their end id.
+    """
     ship(shards.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
