@@ -141,13 +141,12 @@ class Phrases:
             which, at = which[ok], at[ok]
         return alive[which], at
 
-    def around(self, segment: Segment, terms: int, within: int) -> Iterator[tuple[int, int]]:
-        """(item, position) where an item's rarest word here has its next rarest ones within so many words."""
-        for k, whole in enumerate(self.whole):
-            found = segment.find(np.unique(whole))
+    def around(self, segment: Segment, picked: list[np.ndarray], within: int) -> Iterator[tuple[int, int]]:
+        """(item, position) where the first of an item's picked terms has all its others within so many words."""
+        for k, terms in enumerate(picked):
+            found = segment.find(terms)
             if not len(found) or (found < 0).any():
                 continue
-            found = found[np.argsort(segment.counts[found], kind="stable")][:terms]
             at = segment.postings[segment.first[found[0]] : segment.first[found[0]] + segment.counts[found[0]]]
             doc = segment.document(at)
             lo = np.maximum(at - within, segment.doc_starts[doc])
@@ -157,6 +156,14 @@ class Phrases:
                 at, lo, hi = at[ok], lo[ok], hi[ok]
             yield from ((k, int(x)) for x in at)
 
+    def rarest(self, counts: dict[int, int], terms: int) -> list[np.ndarray]:
+        """For each item its words that are rarest in all documents, on ties the first; words that no document has are left out."""
+        out = []
+        for whole in self.whole:
+            words = [t for t in dict.fromkeys(whole.tolist()) if counts.get(t)]
+            out.append(np.array(sorted(words, key=lambda t: counts[t])[:terms], np.uint64))
+        return out
+
 
 def _blocks(items: DataFrame, window: int, block_words: int, text: str) -> Iterator[Phrases]:
     """The items in blocks of bounded size; all of them in one where they are as few as benchmarks are."""
@@ -171,11 +178,19 @@ def _blocks(items: DataFrame, window: int, block_words: int, text: str) -> Itera
 HITS = "doc_id bigint, n_words bigint, hits array<struct<s:bigint,e:bigint>>, items array<string>"
 
 
+#: Tells the rows of documents apart, also those that share a doc_id.
+PLACE = ["part", "segment", "row"]
+
+
 def phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     """One row per document: the spans of words in occurrences of the items' windows, and the items they are of.
 
     An item with fewer words than the window, but not none, is one window. Spans are half-open and do not touch.
     """
+    return _phrases(index, items, window, block_words, text).drop(*PLACE)
+
+
+def _phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     spark = index.sparkSession
 
     def search(held):
@@ -211,35 +226,56 @@ def phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, block_word
         rows = index.mapInArrow(search(spark.sparkContext.broadcast(block)), f"part int, segment int, row int, {HITS}")
         found, blocks = rows if found is None else found.unionByName(rows), blocks + 1
     if blocks > 1:
-        place = ["part", "segment", "row", "doc_id", "n_words"]
-        found = found.groupBy(*place).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return found.drop("part", "segment", "row")
+        found = found.groupBy(*PLACE, "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return found
 
 
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
 def near(index: DataFrame, items: DataFrame, terms: int = 4, within: int = 20, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
-    """(doc_id, item_id, position): an item's rarest words stand within so many words of each other, in any order.
+    """(doc_id, item_id, position): an item's rarest words stand within so many words of the rarest one, in any order.
 
-    All of the item's words must occur in the segment; ``terms`` of the rarest must be near.
+    Words are the rarer the fewer places of the whole index they have, so a document is judged by its own words alone,
+    whichever others share its segment. Words that no document has are passed over; an item of fewer words is near
+    where all of these are. Null and empty items are nowhere; items given twice are found twice.
     """
+    return _near(index, items, terms, within, block_words, text).drop(*PLACE)
+
+
+def _near(index: DataFrame, items: DataFrame, terms: int = 4, within: int = 20, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     spark = index.sparkSession
 
+    def count(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    segment = Segment(row)
+                    at = segment.find(held.value.terms)
+                    own = at >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(held.value.terms[own].view(np.int64)), pa.array(segment.counts[at[own]])], ["term", "n"])
+
+        return run
+
     def search(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, picked = held.value
             for batch in batches:
                 for row in batch.to_pylist():
                     segment = Segment(row)
-                    got = list(held.value.around(segment, terms, within))
+                    got = list(block.around(segment, picked, within))
                     doc = segment.document(np.array([p for _, p in got], np.int64)).tolist()
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([segment.doc_ids[d] for d in doc], pa.int64()), "item_id": pa.array([held.value.item_ids[k] for k, _ in got], pa.string()), "position": pa.array([p - int(segment.doc_starts[d]) for (_, p), d in zip(got, doc, strict=True)], pa.int64())})
+                    place = {"part": pa.array([row["part"]] * len(got), pa.int32()), "segment": pa.array([row["segment"]] * len(got), pa.int32()), "row": pa.array(doc, pa.int32())}
+                    yield pa.RecordBatch.from_pydict(place | {"doc_id": pa.array([segment.doc_ids[d] for d in doc], pa.int64()), "item_id": pa.array([block.item_ids[k] for k, _ in got], pa.string()), "position": pa.array([p - int(segment.doc_starts[d]) for (_, p), d in zip(got, doc, strict=True)], pa.int64())})
 
         return run
 
     found = None
     for block in _blocks(items, WINDOW, block_words, text):
-        rows = index.mapInArrow(search(spark.sparkContext.broadcast(block)), "doc_id bigint, item_id string, position bigint")
+        # At most a row for each distinct word of the block, whose number is bounded.
+        counts = index.mapInArrow(count(spark.sparkContext.broadcast(block)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        picked = block.rarest({r["term"] % (1 << 64): r["n"] for r in counts.collect()}, terms)
+        rows = index.mapInArrow(search(spark.sparkContext.broadcast((block, picked))), "part int, segment int, row int, doc_id bigint, item_id string, position bigint")
         found = rows if found is None else found.unionByName(rows)
     return found
 
@@ -251,14 +287,20 @@ def covered_words(hits: str) -> Column:
     return F.aggregate(F.array_sort(hits), state, step)["n"]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, proximity: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document.
 
-    Null texts have no words on either side; no items leave every document clean; repeated rows each have their row.
+    Null texts have no words on either side; no items leave every document clean; repeated rows each have their row. With
+    ``proximity`` n_near follows, the number of items whose rarest words stand near each other; it decides nothing.
     """
-    found = phrases(build_index(docs), items, window)
-    listed = F.concat_ws(",", F.array_sort("items"))
-    return found.select("doc_id", "n_words", covered_words("hits").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+    index = build_index(docs)
+    found = _phrases(index, items, window)
+    columns = ["doc_id", "n_words", covered_words("hits").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (covered_words("hits") > 0).alias("contaminated")]
+    if proximity:
+        close = _near(index, items).groupBy(*PLACE).agg(F.count_distinct("item_id").alias("n_near"))
+        found = found.join(close, PLACE, "left")
+        columns.append(F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return found.select(*columns)
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -278,7 +320,13 @@ w AS (SELECT DISTINCT item, n, list_slice(words, i, i + n - 1) AS window_ FROM (
 g AS (SELECT k, i, n, list_slice(words, i, i + n - 1) AS window_ FROM (SELECT k, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w))),
 m AS (SELECT k, i, g.n, item FROM g JOIN w ON g.n = w.n AND g.window_ = w.window_),
 h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM m) GROUP BY k),
-t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM m) GROUP BY k)
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON h.k = d.k LEFT JOIN t ON t.k = d.k
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM m) GROUP BY k),
+tw AS (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+bw AS (SELECT r, item, w, min(i) AS first FROM (SELECT r, item, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (SELECT row_number() OVER () AS r, item, words FROM b)) GROUP BY ALL),
+pk AS (SELECT * FROM (SELECT r, item, w, row_number() OVER (PARTITION BY r ORDER BY c, first) AS n FROM bw JOIN (SELECT w, count(*) AS c FROM tw GROUP BY w) USING (w)) WHERE n <= 4),
+an AS (SELECT r, k, i, most FROM pk JOIN tw USING (w) JOIN (SELECT r, max(n) AS most FROM pk GROUP BY r) USING (r) WHERE n = 1),
+nr AS (SELECT an.r, an.k, an.i FROM an JOIN pk ON pk.r = an.r JOIN tw ON tw.w = pk.w AND tw.k = an.k AND abs(tw.i - an.i) <= 20 GROUP BY an.r, an.k, an.i, most HAVING count(DISTINCT pk.n) = most),
+nn AS (SELECT k, count(DISTINCT item) AS n_near FROM nr JOIN pk USING (r) GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h ON h.k = d.k LEFT JOIN t ON t.k = d.k LEFT JOIN nn ON nn.k = d.k
 """

@@ -36,8 +36,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's words in occurrences of benchmark windows."""
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Every document's words in occurrences of benchmark windows, and the items whose rarest words it has near each other."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=True)
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
