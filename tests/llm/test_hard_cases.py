@@ -180,3 +180,139 @@ def test_components_with_hubs_and_odd_links(spark):
     for hubs in (1000, 10):
         assert {r.node: r.root for r in components.components(frame, hubs=hubs).collect()} == {x: find(x) for x in root}
     assert components.components(frame.where("false")).count() == 0
+
+
+def test_many_places_of_a_wavelet_matrix():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 1), (7, 3), (511, 9), (512, 9), (513, 40), (5000, 60)):
+        values = rng.integers(0, top, n)
+        built = wavelet.WaveletMatrix.build(values.astype(np.uint16), 6)
+        m = wavelet.WaveletMatrix(n, built.planes, [r.astype(np.uint32) for r in built.ranks])
+        assert m.access_all(np.arange(n)).tolist() == values.tolist()
+        lo, hi = np.sort(rng.integers(0, n + 1, (2, 50)), axis=0)
+        asked = rng.integers(0, 64, 50)
+        assert m.count_all(asked, lo, hi).tolist() == [int((values[a:b] == v).sum()) for v, a, b in zip(asked, lo, hi)]
+        assert m.select(int(values[-1]), m.rank(int(values[-1]), n) - 1) == n - 1
+
+
+def test_first_ids_come_from_access_and_rank(spark):
+    from tokenizers import Tokenizer
+
+    path = registry.vocabulary("byte_bpe_50k.json")
+    plain, rows = Tokenizer.from_file(path), texts(n=8)
+    shards = wavelet.write_shards(docs(spark, rows), path, shard_tokens=300, partitions=3)
+    for i, r in by_id(wavelet.documents(shards)).items():
+        ids = [*plain.encode(rows[i] or "", add_special_tokens=False).ids, 2]
+        assert (r.first_id, r.n_first) == (ids[0], ids.count(ids[0]))
+    assert {r.n for r in wavelet.count_token(shards, 10**6).collect()} == {0} and sum(r.n for r in wavelet.count_token(shards, 2).collect()) == len(rows)
+
+
+def cut(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+@pytest.mark.parametrize("segment", [1, 200, 1 << 20])
+def test_proximity_is_the_same_in_every_segment(spark, segment):
+    """Each document by its own words, rarity counted over all of them, against the plain rule."""
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(40)]
+    rows = [" ".join(rng.choices(pool, weights=[40 - i for i in range(40)], k=rng.randint(0, 120))) for _ in range(40)] + [None, "", "w39 w38 w37", "W39, w38! w37"]
+    items = [(i, " ".join(rng.sample(pool, rng.randint(1, 8))) + " nowhere") for i in range(25)] + [(25, None), (26, ""), (27, "nowhere"), (28, "w39 w38 w37 w36")]
+    count = {}
+    for t in rows:
+        for w in cut(t):
+            count[w] = count.get(w, 0) + 1
+    expected = set()
+    for item, t in items:
+        terms = sorted((w for w in dict.fromkeys(cut(t)) if w in count), key=count.get)[:4]
+        for d, text in enumerate(rows):
+            w = cut(text)
+            for p, x in enumerate(w):
+                if terms and x == terms[0] and all(y in w[max(0, p - 6) : p + 7] for y in terms):
+                    expected.add((d, str(item), p))
+    index = decontamination.build_index(docs(spark, rows), segment)
+    found = decontamination.near(index, spark.createDataFrame(items, "item_id long, text string"), within=6)
+    assert {tuple(r) for r in found.collect()} == expected and expected
+    assert decontamination.near(decontamination.build_index(docs(spark, ["x"]).where("false"), segment), spark.createDataFrame(items[:2], "item_id long, text string")).count() == 0
+
+
+def test_weights_and_scores_recomputed_by_a_plain_loop(spark):
+    """FTRL-proximal one coordinate at a time, in dictionaries, on features hashed one word at a time."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from pinweave.llm import toxicity
+
+    rng = random.Random(6)
+    rows = [" ".join(rng.choices([f"w{k}" for k in range(30)] + ["Bad", "AWFUL"] * (i % 3 == 0), k=rng.randint(0, 25))) for i in range(120)] + [None, "", "bad bad bad"]
+    label = {i: int("bad" in (t or "").lower() or "awful" in (t or "").lower()) for i, t in enumerate(rows)}
+    p = toxicity.Ftrl(l1=0.5, epochs=2)
+    frame, labels = docs(spark, rows), spark.createDataFrame([(i, x) for i, x in label.items()], "doc_id long, toxic int")
+    bucket, values = toxicity.train(frame, labels, p=p)
+
+    def hashed(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        return words.hashes(b, np.array([0]), np.array([len(b)]))
+
+    def buckets(t):
+        h = [hashed(w) for w in cut(t)]
+        out = [words.mix(x) for x in h]
+        for gap, odd in ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F)):
+            out += [words.mix(x * np.uint64(odd) + (y >> np.uint64(1)) + np.uint64(gap)) for x, y in zip(h, h[gap:])]
+        return {int(x[0]) >> (64 - toxicity.BUCKET_BITS) for x in out}
+
+    bias = 1 << toxicity.BUCKET_BITS
+    z, n = {}, {}
+
+    def weight(i):
+        a, l1 = z.get(i, 0.0), 0.0 if i == bias else p.l1
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((p.beta + math.sqrt(n.get(i, 0.0))) / p.alpha + p.l2)
+
+    used = frame.where(~toxicity.held_out()).withColumn("h", F.xxhash64("doc_id", F.lit(p.batch_seed))).orderBy("h").select("doc_id").collect()
+    seen = [(buckets(rows[r.doc_id]) | {bias}, label[r.doc_id]) for r in used]
+    order = np.random.default_rng(p.batch_seed)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(seen)):
+            at, y = seen[k]
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(map(weight, at)))))) - y
+            g *= p.positive if y else 1.0
+            for i, w in [(i, weight(i)) for i in at]:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / p.alpha * w
+                n[i] = old + g * g
+    expected = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(bucket, values)).keys() == expected.keys() and all(abs(expected[i] - w) < 1e-9 for i, w in zip(bucket, values))
+    for r in toxicity.score(frame, (bucket, values)).collect():
+        total = sum(expected.get(i, 0.0) for i in buckets(rows[r.doc_id])) + expected.get(bias, 0.0)
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_passages_are_the_same_for_every_split(spark, sf_dir):
+    from pinweave.llm import passages
+
+    table = registry.table(spark, sf_dir, "documents")
+    found = [sorted(map(tuple, passages.repeated_passages(table.repartition(n)).select("doc_id", "class_id", "n_links").distinct().collect())) for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_pipeline_on_odd_rows(spark, sf_dir):
+    """Null and repeated ids, null and empty texts, further columns of clashing names, and an empty table."""
+    import corpus_pipeline
+    from pinweave.llm.shared import stored
+
+    some = [r.text for r in registry.table(spark, sf_dir, "documents").orderBy("doc_id").limit(12).collect()]
+    ids = [*range(12), 3, 3, None, None, 20, 21, 22, None]
+    rows = [*some, some[3], "other words of the same id", "no id", "no id", None, "", "write to me at a@b.co", None]
+    data = [(i, t, "en", "s", 7, 1.5, "x", "y") for i, t in zip(ids, rows)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, `n words` string")
+    for start in (frame, frame.where("false")):
+        docs_ = start
+        for name, stage in corpus_pipeline.STAGES:
+            after = stored(stage(spark, docs_, sf_dir))
+            if name != "sentencepiece":
+                assert after.columns == start.columns
+                assert set(after.where("doc_id is null").select("source").distinct().collect()) == set(docs_.where("doc_id is null").select("source").distinct().collect())
+            assert after.count() <= docs_.count()
+            docs_ = after
+        assert (docs_.count() > 8) == (start is frame)
