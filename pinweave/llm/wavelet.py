@@ -9,6 +9,7 @@ of many places at once.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -161,6 +162,7 @@ class WaveletMatrix:
         return out
 
 
+_SPACE = re.compile(r"\s")
 _BLANKS = [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]
 #: First bytes of characters that are surely no white space: none of ASCII's, nor of the blocks that hold any.
 _SOLID = np.ones(256, dtype=bool)
@@ -238,7 +240,7 @@ class ByteBpe:
     def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
         """Puts in the ids of new chunks, whose values are the last of the table in this order."""
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        plain = [k for k, x in enumerate(texts) if not any(c.isspace() for c in x[1:]) and (x[0] == " " or not x[0].isspace())]
+        plain = [k for k, x in enumerate(texts) if not _SPACE.search(x, 1) and (x[0] == " " or not x[0].isspace())]
         each: list = [None] * len(texts)
         ids = self.tokenizer.encode("\n".join(texts[k] for k in plain), add_special_tokens=False).ids
         parts = np.array(ids, self.kind)
