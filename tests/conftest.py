@@ -18,7 +18,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "2")
-        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -1,6 +1,7 @@
 """Readers and writers, and the command line."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pinweave.cli import main
 from pinweave.operators import graph, place
@@ -114,3 +115,53 @@ def test_command_line(spark, tmp_path, capsys):
     main(["convert", "-f", mtx, "-o", str(tmp_path / "out.hg")], spark)
     (file,) = (tmp_path / "out.hg").glob("part-*")
     assert file.read_text() == "0 3 3 4\n1\n0 2\n1\n"
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Two placers on one folder, and a second call with the files that came since, place as one does."""
+    hg = readers.load(spark, put(tmp_path / "a.hg", TEXT))
+    order = graph.id_order(hg)
+    rows = place.stream_rows(hg, order)
+    expected = sorted(map(tuple, place.place_batches(hg, order, 2, "tv", batch=4).collect()))
+    state = f"file://{tmp_path}/state"
+    for epoch in range(2):
+        placer = placement.StreamPlacer(spark, 8, 2, path=state)
+        assert placer.last == epoch - 1
+        placer(rows.where(f"ord between {4 * epoch} and {4 * epoch + 3}"), epoch)
+        placer(rows.where(f"ord between {4 * epoch} and {4 * epoch + 3}"), epoch)
+    assert sorted(map(tuple, placement.StreamPlacer(spark, 8, 2, path=state).parts().collect())) == expected
+    arrivals, kept = str(tmp_path / "in"), f"file://{tmp_path}/kept"
+    placement.write_arrivals(rows.where("ord < 4"), arrivals, 4)
+    assert placement.place_stream(arrivals, 8, 2, spark, path=kept).count() == 4
+    rows.where("ord >= 4").coalesce(1).write.mode("append").parquet(arrivals)
+    assert sorted(map(tuple, placement.place_stream(arrivals, 8, 2, spark, path=kept).collect())) == expected
+
+
+def test_matrix_that_is_cut_off_or_out_of_range(spark, tmp_path):
+    head = "%%MatrixMarket matrix coordinate real general\n3 3 3\n"
+    for body in ("1 2 1\n2 3 1\n", "1 2 1\n2 3 1\n3 1 1\n1 3 1\n", "1 2 1\n2 4 1\n3 1 1\n", "0 2 1\n2 3 1\n3 1 1\n", "1 2 1\n2 3\n3 1 1\n"):
+        with pytest.raises(ValueError):
+            readers.read_matrix(spark, put(tmp_path / "a.mtx", head + body))
+
+
+def test_weights_and_loops_of_graphs(spark, tmp_path):
+    path = put(tmp_path / "a.graph", "3 2 111 2\n7 4 1 2 5\n7 6 1 1 5 3 2 2 9\n7 8 1 2 2\n")
+    side, weights, entries = readers.read_weighted_graph(spark, path, loop=False)
+    assert (side, sorted(map(tuple, weights.collect()))) == (3, [(0, 4), (1, 6), (2, 8)])
+    assert sorted(map(tuple, entries.collect())) == [(0, 1, 5.0), (1, 0, 5.0), (1, 2, 2.0), (2, 1, 2.0)]
+    for bad in ("2 1\n2\n1\n1\n", "2 1\n2 2\n1\n", "2 1\n3\n1\n"):
+        with pytest.raises(ValueError):
+            readers.read_graph(spark, put(tmp_path / "b.graph", bad))
+    assert readers.read_graph(spark, put(tmp_path / "c.graph", "2 2\n1 2\n1\n"), loop=True)[1].count() == 3
+    writers.write_graph_cache(weights, entries, readers.cache_path(path))
+    (tmp_path / "a.graph").write_text("")
+    assert sorted(map(tuple, readers.load_graph(spark, path)[1].collect())) == [(0, 4), (1, 6), (2, 8)]
+
+
+def test_text_of_many_files_keeps_its_order(spark, tmp_path):
+    n = 3000
+    parts = spark.range(n).select("id", (F.col("id") % 11).cast("int").alias("part")).withColumnRenamed("id", "v").repartition(7)
+    writers.write_parts(parts, str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").glob("part-*"))) > 1
+    rows = readers.numbered_lines(spark, str(tmp_path / "p")).collect()
+    assert sorted((r.line, r.value) for r in rows) == [(i, str(i % 11)) for i in range(n)]

@@ -185,3 +185,56 @@ def test_helpers(spark):
     assert spark.range(1).select(improvement(F.lit(4), F.lit(3))).first()[0] == 25.0
     raw = spark.createDataFrame([(0, 1), (0, 1), (None, 2), (3, -1), (1, 9)], "net long, v long")
     assert tuple(validate(raw, 9).first()) == (5, 1, 1, 1, 1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 1000, 200_000, 260_000])
+def test_places_are_levelled_by_one_rule_at_every_size(spark, n):
+    """Each to the least loaded part, the lowest on ties, one after the other; also where K * n is over a million."""
+    for loads in ([0, n, n, n], [5, 0, 7, 7, 2], [3, 3, 3]):
+        sizes, expected = list(loads), []
+        for _ in range(min(n, 3000)):
+            p = min(range(len(sizes)), key=lambda q: (sizes[q], q))
+            sizes[p] += 1
+            expected.append(p)
+        waiting = spark.range(n).select(F.col("id").alias("v"), F.col("id").alias("place"))
+        got = place.levelled(waiting, loads)
+        assert [r.part for r in got.where("v < 3000").orderBy("v").collect()] == expected
+        counts = {r.part: r["count"] for r in got.groupBy("part").count().collect()}
+        assert place.filled(loads, n) == [x + counts.get(p, 0) for p, x in enumerate(loads)] and sum(counts.values()) == n
+
+
+@pytest.mark.parametrize("objective", ["cn", "tv", "msv"])
+def test_batches_see_the_moves_of_those_before(spark, objective):
+    hg = small(spark)
+    parts = partition(spark, [0, 1, 1, 0, 0, 1, 0, 1])
+    expected = {r.v: r.part for r in parts.collect()}
+    for first in [None] if objective == "cn" else (0, 4):
+        frame = spark.createDataFrame(list(expected.items()), "v long, part int")
+        at = refine.Frozen(hg, frame, 2)
+        moves = refine.one_each(refine.RULES[objective](at))
+        own = settle(moves if first is None else moves.where(F.col("v").between(first, first + 3)))
+        expected |= {r.v: r.to_part for r in refine.admitted(at, own, objective).collect()}
+    after = refine.refine(hg, parts, 2, objective, mode="batch", batch=4)
+    assert {r.v: r.part for r in after.collect()} == expected
+    with pytest.raises(ValueError):
+        refine.refine(hg, parts, 2, objective, mode="x")
+    with pytest.raises(ValueError):
+        refine.refine(hg, parts, 2, objective, mode="batch", batch=0)
+
+
+def test_message_moves_keep_parts_below_their_limit(spark, sf_dir):
+    hg = derive.orders_parts(spark, sf_dir)
+    parts = settle(derive.skewed(hg, 64))
+    at = refine.Frozen(hg, parts, 64)
+    moves = settle(refine.one_each(refine.tm_moves(at)))
+    taken = refine.applied(parts, refine.admitted(at, moves, "tm"))
+    before, after = ({r.part: r["size"] for r in metrics.part_sizes(p, 64).collect()} for p in (parts, taken))
+    assert all(after[p] <= max(before[p], 1.02 * at.limit + 1) for p in after)
+
+
+def test_ranges_do_not_depend_on_how_dense_keys_are(spark):
+    rng = random.Random(8)
+    keys = sorted(rng.sample(range(-(2**62), 2**62), 500))
+    df = spark.createDataFrame([(k, i % 7) for i, k in enumerate(keys)], "k long, n long").repartition(5)
+    got = [r.t for r in running_total(df, "k", "n", "t").orderBy("k").collect()]
+    assert got == [sum(j % 7 for j in range(i)) for i in range(500)]
