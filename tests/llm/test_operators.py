@@ -363,11 +363,69 @@ def test_equal_passages_are_found_whoever_else_has_parts(spark, partitions):
     assert {(r.doc_id, i) for r in found for i in range(r.start, r.end)} == expected
 
 
+def extended(a, b, penalty=1, drop=10):
+    """What passages.extend gives, a row at a time."""
+    n, m = len(a), len(b)
+    i = next((i for i in range(min(n, m)) if a[i] != b[i]), min(n, m))
+    best, taken, at, edits = float(i), (i, i), 0, 0
+    front, ends = {0: i}, [i == n, i == m]
+    while front:
+        edits += 1
+        after, top = {}, best
+        for k in range(min(front) - 1, max(front) + 2):
+            i = max(front.get(k, -2) + 1, front.get(k - 1, -2) + 1, front.get(k + 1, -1))
+            j = i - k
+            if i < 0 or j < 0:
+                continue
+            if i > n or j > m:
+                i = min(n, m + k)
+                j = i - k
+                if i < 0 or j < 0 or i < front.get(k + 1, 0):
+                    continue
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            ends = [ends[0] or i == n, ends[1] or j == m]
+            score = (i + j) / 2 - (1 + penalty) * edits
+            if score < best - drop or i == n and j == m and score <= best:
+                continue
+            after[k] = i
+            if score > top:
+                top, taken, at = score, (i, j), edits
+        best, front = top, after
+    return *taken, *ends, at
+
+
+def sides(rows, step):
+    size = np.array([len(r) for r in rows])
+    start = np.cumsum(size) - size
+    words = np.concatenate([np.array(r, np.int64) for r in rows] + [np.zeros(1, np.int64)])
+    return passages.Side(words, start if step > 0 else start + size - 1, size, step)
+
+
 def test_extension_crosses_gaps_and_clusters():
     a = list(range(60))
-    for b, taken in ((a[:10] + [-1] + a[10:], 61), (a[:10] + a[11:], 59), ([-1, -2, -3, -4] + a[4:], 60)):
-        assert passages.extend(a, [*b, *range(-90, -50)])[:2] == (60, taken)
-    assert passages.extend(a, [-1] * 60)[:2] == (0, 0) and passages.extend(a, [])[:2] == (0, 0)
+    tails = [(a[:10] + [-1] + a[10:], 61), (a[:10] + a[11:], 59), ([-1, -2, -3, -4] + a[4:], 60)]
+    rows = [[*b, *range(-90, -50)] for b, _ in tails] + [[-1] * 60, []]
+    u, v, *_ = passages.extend(sides([a] * 5, 1), sides(rows, 1))
+    assert list(zip(u.tolist(), v.tolist(), strict=True)) == [(60, taken) for _, taken in tails] + [(0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("step", [1, -1])
+@pytest.mark.parametrize("rule", [(1, 10), (1, 4), (4, 40)])
+def test_extension_of_many_rows_is_that_of_each(step, rule):
+    rng = random.Random(41)
+    left, right = [], []
+    for _ in range(400):
+        words = rng.choice([3, 6, 40, 1000])
+        a = [rng.randrange(words) for _ in range(rng.randint(0, 90))]
+        b = a[: rng.randint(0, len(a))] if rng.random() < 0.4 else list(a)
+        for _ in range(rng.randint(0, 8)):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = [rng.randrange(1000)] * rng.randint(0, 1)
+        left.append(a)
+        right.append(b)
+    got = [np.asarray(c).astype(int).tolist() for c in passages.extend(sides(left, step), sides(right, step), *rule)]
+    assert [tuple(r) for r in zip(*got, strict=True)] == [tuple(map(int, extended(a[::step], b[::step], *rule))) for a, b in zip(left, right, strict=True)]
 
 
 def test_passages_with_one_common_run(spark):
