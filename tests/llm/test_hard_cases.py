@@ -316,3 +316,35 @@ def test_pipeline_on_odd_rows(spark, sf_dir):
             assert after.count() <= docs_.count()
             docs_ = after
         assert (docs_.count() > 8) == (start is frame)
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_shared_seeds_are_those_of_several_documents(spark, partitions):
+    from pinweave.llm import passages
+
+    rng = np.random.default_rng(partitions)
+    line = [f"l{i}" for i in range(20)]
+    texts = [[f"w{rng.integers(5000)}" for _ in range(30)] + line * int(rng.integers(0, 4)) + [f"v{i % 3}"] * 10 * (i % 2) for i in range(40)]
+    texts.append(["own"] * 60)
+    frame = docs(spark, [" ".join(t) for t in texts]).repartition(partitions)
+    found = passages.sketch(frame.select("doc_id", "text"), passages.Rule()).cache()
+    rows = found.where("seed is not null").select("seed", "doc", "pos").collect()
+    owners: dict[int, set[int]] = {}
+    for r in rows:
+        owners.setdefault(r.seed, set()).add(r.doc)
+    want = sorted({(r.doc, r.pos) for r in rows if len(owners[r.seed]) > 1})
+    assert want and len(want) < len({(r.doc, r.pos) for r in rows})
+    assert sorted((r.doc, p) for r in passages.shared(found).collect() for p in r["at"]) == want
+
+
+def test_texts_that_repeat_themselves_are_one_chain(spark):
+    from pinweave.llm import passages
+
+    line = [f"l{i}" for i in range(25)]
+    rows = [" ".join([f"s{n}"] + line * 30 + [f"e{n}"]) for n in range(3)]
+    found = passages.sketch(docs(spark, rows).coalesce(1).select("doc_id", "text"), passages.Rule())
+    chained = passages.chains(passages.matches(found), passages.Rule()).collect()
+    assert len(chained) == 2
+    assert all(c.a == 0 and c.a_start == c.b_start and c.a_end - c.a_start > 700 for c in chained)
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.n_links, r.class_id) for r in got) == [(n, 1, 751, 2, 0) for n in range(3)]
