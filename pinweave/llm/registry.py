@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinweave.llm import decontamination, passages, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet
+from pinweave.llm import decontamination, passages, periods, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a repeating end planted in every tenth."""
+    return periods.digest(periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_pii": op2_pii,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_runs": op11_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_repetition": repetition.SQL, "op2_pii": pii.SQL, "op4_decontamination": decontamination.SQL, "op5_tool_calls": tools.SQL, "op8_url_rules": urls.SQL}
