@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinweave.llm import decontamination, passages, periods, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet
+from pinweave.llm import decontamination, passages, periods, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened values of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_pii": op2_pii,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
     "op11_runs": op11_runs,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_repetition": repetition.SQL, "op2_pii": pii.SQL, "op4_decontamination": decontamination.SQL, "op5_tool_calls": tools.SQL, "op8_url_rules": urls.SQL}
