@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pinweave.llm import decontamination, passages, periods, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet, whitening
+from pinweave.llm import decontamination, jaccard, passages, periods, pieces, pii, repetition, simhash, tools, toxicity, urls, wavelet, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links of nine tenths of three-word shingles in common."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition": op1_repetition,
     "op2_pii": op2_pii,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_runs": op11_runs,
     "op12_whitening": op12_whitening,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_repetition": repetition.SQL, "op2_pii": pii.SQL, "op4_decontamination": decontamination.SQL, "op5_tool_calls": tools.SQL, "op8_url_rules": urls.SQL}
