@@ -54,7 +54,7 @@ def partition(spark: SparkSession, a: argparse.Namespace) -> None:
     order = settle(graph.order(hg, a.order))
     own = graph.thin(hg, a.thin_mean, a.thin_least) if a.thin else hg
     policy = POLICY[a.metric]
-    parts = place.place_batches(own, order, a.parts, policy, a.batch) if a.batch and policy != "tm" else settle(place.place(own, order, a.parts, policy))
+    parts = place.place_batches(own, order, a.parts, policy, a.batch) if a.batch else settle(place.place(own, order, a.parts, policy))
     if a.refine:
         refined = refine.refine(hg, parts, a.parts, a.metric, a.sweeps, mode=a.mode, batch=a.refine_batch)
         metrics.compare(hg, parts, refined).show(vertical=True)

@@ -1,4 +1,4 @@
-"""Degrees, CSR forms, thinning, sources, breadth-first levels and orders, colours and components."""
+"""Degrees, CSR forms, thinning, sources, breadth-first levels and orders, and colours."""
 
 from __future__ import annotations
 
@@ -99,6 +99,35 @@ def bfs_order(levels: DataFrame) -> DataFrame:
     return renumbered(own, "place", "ord").select("v", "ord")
 
 
+def bfs_queue_order(hg: Hypergraph, start: int | None = None) -> DataFrame:
+    """(v, ord): the order in which a breadth-first search with a queue comes to the vertices, unreachable ones last by id.
+
+    Such a search takes a vertex's nets, and a net's pins, by id. So a net is gone through from the first of its vertices
+    in the queue, and within a level vertices are in the order of (that one's place, net, id) of the first net that they
+    are on: one aggregate by net, one by vertex, and a numbering within the level.
+    """
+    spark = hg.pins.sparkSession
+    if start is None:
+        start = hg.vertices.agg(F.min("v")).first()[0]
+    if start is None:
+        return hg.vertices.select("v", F.lit(None).cast("bigint").alias("ord"))
+    pins = settle(hg.pins)
+    frontier = settle(spark.createDataFrame([(start, 0)], "v bigint, ord bigint"))
+    levels, placed, n = [frontier], 1, 1
+    while n:
+        first = pins.join(frontier, "v").groupBy("net").agg(F.min("ord").alias("since"))
+        seen = reduce(DataFrame.unionByName, levels[-2:]).select("v")
+        new = pins.join(first, "net").groupBy("v").agg(F.min(F.struct("since", "net")).alias("by")).join(seen, "v", "left_anti")
+        ordered = renumbered(new.select("v", F.struct("by", "v").alias("place")), "place", "number")
+        frontier = settle(ordered.select("v", (F.col("number") + placed).alias("ord")))
+        n = frontier.count()
+        placed += n
+        levels.append(frontier)
+    reached = reduce(DataFrame.unionByName, levels)
+    rest = renumbered(hg.vertices.join(reached, "v", "left_anti"), "v", "number").select("v", (F.col("number") + placed).alias("ord"))
+    return reached.unionByName(rest)
+
+
 def bfs_order_split(levels: DataFrame, split: DataFrame) -> DataFrame:
     """(v, is_source, ord): the order within sources and within the other vertices, each from 0.
 
@@ -142,25 +171,3 @@ def colour_step(hg: Hypergraph, colours: DataFrame) -> DataFrame:
     """
     last = hg.pins.join(majority_colour(hg, colours), "net").groupBy("v").agg(F.max_by("colour", "net").alias("new"))
     return colours.join(last, "v", "left").select("v", F.coalesce("new", "colour").alias("colour"))
-
-
-def connected_components(hg: Hypergraph, rounds: int = 200) -> DataFrame:
-    """(v, component): the lowest vertex reachable over common nets; labels fall along nets until none changes.
-
-    The label's own label, which halves long chains, is asked for once for each distinct label, so that the label of a
-    giant component is no key with all its vertices; the join back is one that Spark splits if it is skewed.
-    """
-    pins = settle(hg.pins)
-    labels = settle(hg.vertices.select("v", F.col("v").alias("component")))
-    for _ in range(rounds):
-        low = pins.join(labels, "v").groupBy("net").agg(F.min("component").alias("low"))
-        new = pins.join(low, "net").groupBy("v").agg(F.min("low").alias("low"))
-        joined = settle(labels.join(new, "v", "left").select("v", F.least("component", F.coalesce("low", "component")).alias("component")))
-        distinct = joined.select("component").distinct()
-        up = distinct.join(joined.select(F.col("v").alias("component"), F.col("component").alias("up")), "component").where("up < component")
-        after = settle(joined.join(up, "component", "left").select("v", F.least("component", F.coalesce("up", "component")).alias("component")))
-        changed = after.agg(F.sum("component")).first()[0] != labels.agg(F.sum("component")).first()[0]
-        labels = after
-        if not changed:
-            return labels
-    raise RuntimeError(f"no fixed point in {rounds} rounds")

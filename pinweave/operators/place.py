@@ -10,7 +10,8 @@ Ties go to the smaller part, then the lower number; if no part scores, the least
 
 Each decision depends on all before it. ``place`` keeps that exactly: one ordered task with the connectivity as its
 state, memory in proportion to the pins. ``place_batches`` scores whole batches on a frozen state with joins, which is
-what to use beyond one machine's memory.
+what to use beyond one machine's memory. What the ``tm`` rule knows between batches is which parts exchange messages, a
+matrix of K * K truth values.
 """
 
 from __future__ import annotations
@@ -83,6 +84,11 @@ class State:
         return part
 
 
+def check_policy(policy: str) -> None:
+    if policy not in POLICIES:
+        raise ValueError(f"no policy {policy!r}")
+
+
 def place_rows(rows: Iterable[tuple[int, list[tuple[int, int | None]]]], k: int, limit: float, policy: str) -> Iterator[int]:
     """The part of each (vertex, [(net, source)]) in turn."""
     state = State(k, limit, policy)
@@ -101,8 +107,7 @@ def place(hg: Hypergraph, order: DataFrame, k: int, policy: str = "tv") -> DataF
     Vertices without nets go to the least loaded part. The number of vertices sets the capacity.
     """
     check_parts(k)
-    if policy not in POLICIES:
-        raise ValueError(f"no policy {policy!r}")
+    check_policy(policy)
     ship(hg.pins.sparkSession)
     limit = capacity(hg.vertices.count(), k)
 
@@ -116,22 +121,72 @@ def place(hg: Hypergraph, order: DataFrame, k: int, policy: str = "tv") -> DataF
     return stream_rows(hg, order).repartition(1).sortWithinPartitions("ord").mapInArrow(run, "v bigint, part int")
 
 
-def place_batch(batch: DataFrame, touched: DataFrame, sizes: list[int], limit: float, policy: str = "tv") -> tuple[DataFrame, list[int]]:
+def best_by_nets(pins: DataFrame, near: DataFrame, sizes: list[int], limit: float, policy: str) -> DataFrame:
+    """(v, score, part): each vertex's best part by the nets (net, part) that touch it, where any scores above 0."""
+    if policy == "cn":
+        near = near.join(near.groupBy("net").agg(F.count(F.lit(1)).alias("lam")).where("lam = 1").select("net"), "net", "left_semi")
+    votes = pins.join(near.select("net", "part"), "net").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
+    scored = votes.join(_loads(pins.sparkSession, sizes), "part").withColumn("score", penalised(F.col("n"), F.col("size"), limit)).where("score > 0")
+    best = scored.groupBy("v").agg(F.max(F.struct("score", (-F.col("size")).alias("size"), (-F.col("part")).alias("part"))).alias("best"))
+    return best.select("v", "best.score", (-F.col("best.part")).alias("part"))
+
+
+def best_by_messages(pins: DataFrame, near: DataFrame, sizes: list[int], limit: float, connected: np.ndarray) -> DataFrame:
+    """(v, score, part): each vertex's part with room whose existing connections carry most of its messages, if any.
+
+    A vertex gets messages from the parts of its nets' sources, each counted once, and sends one to each part that each
+    net it is the source of touches. It is one row with at most 2 K counts; these, a row for each vertex, times the
+    connections give the messages saved in every part.
+    """
+    k = len(sizes)
+    met = pins.join(near, "net")
+    senders = met.where("own = 1 and (src is null or src <> v)").select("v", "part").distinct().select("v", F.struct("part", F.lit(True).alias("sends"), F.lit(1).cast("bigint").alias("n")).alias("one"))
+    receivers = met.where("src = v").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n")).select("v", F.struct("part", F.lit(False).alias("sends"), "n").alias("one"))
+    rows = senders.unionByName(receivers).groupBy("v").agg(F.collect_list("one").alias("partners"))
+    sent = pins.sparkSession.sparkContext.broadcast((connected, np.array(sizes)))
+    ship(pins.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, size = sent.value[0].astype(np.float64), sent.value[1]
+        able = size < limit
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
+            column = batch.column("partners")
+            row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            part, sends, n = (column.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("part", "sends", "n"))
+            counts = np.zeros((2, len(column), k))
+            np.add.at(counts, (sends.astype(np.int64), row, part), n)
+            saved = counts[1] @ matrix + counts[0] @ matrix.T
+            saved[:, ~able] = 0
+            most = saved.max(axis=1)
+            load = np.where(saved == most[:, None], size, np.iinfo(np.int64).max)
+            load[:, ~able] = np.iinfo(np.int64).max
+            found = pa.array(most > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("v").filter(found), pa.array(most).filter(found), pa.array(load.argmin(axis=1).astype(np.int32)).filter(found)], ["v", "score", "part"])
+
+    return rows.mapInArrow(run, "v bigint, score double, part int")
+
+
+def _loads(spark: SparkSession, sizes: list[int]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(list(enumerate(sizes)), "part int, size bigint"))
+
+
+def _near(touched: DataFrame, nets: DataFrame) -> DataFrame:
+    """(net, part, cnt, own) of these nets, one row for each net and part."""
+    return touched.join(nets.distinct(), "net", "left_semi").groupBy("net", "part").agg(F.sum("cnt").alias("cnt"), F.max("own").alias("own"))
+
+
+def place_batch(batch: DataFrame, touched: DataFrame, sizes: list[int], limit: float, policy: str = "tv", connected: np.ndarray | None = None) -> tuple[DataFrame, list[int]]:
     """(v, part) for a batch of (ord, v, nets) on a frozen state, and the sizes of the parts after it.
 
-    ``touched`` is (net, part, cnt); ``sizes`` has a number for each part. Who has a best-scored part with room goes
+    ``touched`` is (net, part, cnt, own), own being 1 where the net's source is; ``sizes`` has a number for each part, and
+    ``connected``, for the ``tm`` policy, says which parts exchange messages. Who has a best-scored part with room goes
     there, the best scores of a part first; all others, in their order, fill the least loaded parts one place at a time.
     """
-    spark, k = batch.sparkSession, len(sizes)
-    pins = batch.select("v", F.explode("nets.net").alias("net"))
-    near = touched.join(pins.select("net").distinct(), "net", "left_semi").groupBy("net", "part").agg(F.sum("cnt").alias("cnt"))
-    if policy == "cn":
-        near = near.join(near.groupBy("net").agg(F.count(F.lit(1)).alias("lam")).where("lam = 1").select("net"), "net", "left_semi")
-    votes = pins.join(near.select("net", "part"), "net").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
-    loads = F.broadcast(spark.createDataFrame(list(enumerate(sizes)), "part int, size bigint"))
-    scored = votes.join(loads, "part").withColumn("score", penalised(F.col("n"), F.col("size"), limit)).where("score > 0")
-    best = scored.groupBy("v").agg(F.max(F.struct("score", (-F.col("size")).alias("size"), (-F.col("part")).alias("part"))).alias("best")).select("v", "best.score", (-F.col("best.part")).alias("part"))
-    asked = batch.select("ord", "v").join(best, "v", "left").join(loads, "part", "left")
+    check_policy(policy)
+    pins = batch.select("v", F.explode("nets").alias("n")).select("v", "n.net", "n.src")
+    near = _near(touched, pins.select("net"))
+    best = best_by_nets(pins, near, sizes, limit, policy) if policy != "tm" else best_by_messages(pins, near, sizes, limit, connected)
+    asked = batch.select("ord", "v").join(best, "v", "left").join(_loads(batch.sparkSession, sizes), "part", "left")
     room = F.greatest(F.ceil(F.lit(limit)) - F.col("size"), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "ord"))
     chosen = settle(asked.withColumn("fits", F.col("part").isNotNull() & (rank <= room)).select("ord", "v", F.when(F.col("fits"), F.col("part")).alias("part")))
@@ -185,13 +240,35 @@ def levelled(waiting: DataFrame, loads: list[int]) -> DataFrame:
     return waiting.select("v", "place").mapInArrow(run, "v bigint, part int")
 
 
+TOUCHED = "net bigint, part int, cnt bigint, own int"
+
+
 def arrivals(batch: DataFrame, placed: DataFrame) -> DataFrame:
-    """(net, part, cnt) of the pins of a placed batch."""
-    return batch.select("v", F.explode("nets.net").alias("net")).join(placed, "v").groupBy("net", "part").agg(F.count(F.lit(1)).alias("cnt"))
+    """(net, part, cnt, own) of the pins of a placed batch."""
+    pins = batch.select("v", F.explode("nets").alias("n")).select("v", "n.net", F.coalesce(F.col("n.src") == F.col("v"), F.lit(False)).cast("int").alias("own"))
+    return pins.join(placed, "v").groupBy("net", "part").agg(F.count(F.lit(1)).alias("cnt"), F.max("own").alias("own"))
+
+
+def new_connections(touched: DataFrame, new: DataFrame, k: int) -> np.ndarray:
+    """K x K: the parts (sender, receiver) between which a batch ``new`` of connectivity adds messages to ``touched``.
+
+    A net joins the one part of its source with those it touches; what comes to the driver is a list of receivers for
+    each sender.
+    """
+    before = _near(touched, new.select("net")).select("net", "part", "own", F.lit(False).alias("fresh"))
+    every = before.unionByName(new.select("net", "part", "own", F.lit(True).alias("fresh")))
+    # A part that a net touched before is not fresh, but its source may have come to it now.
+    every = every.groupBy("net", "part").agg(F.max("own").alias("own"), F.min("fresh").alias("fresh"), F.max(F.when(F.col("fresh"), F.col("own"))).alias("source_now"))
+    sources = every.where("own = 1").select("net", F.col("part").alias("sp"), F.coalesce(F.col("source_now") == 1, F.lit(False)).alias("moved"))
+    pairs = every.join(sources, "net").where("sp <> part and (fresh or moved)").groupBy("sp").agg(F.collect_set("part").alias("to"))
+    out = np.zeros((k, k), dtype=bool)
+    for r in pairs.toLocalIterator():
+        out[r["sp"], r["to"]] = True
+    return out
 
 
 class Touched:
-    """Connectivity as tables of (net, part, cnt): one more for each batch, two of one rank merged into one of the next.
+    """Connectivity as tables of (net, part, cnt, own): one more for each batch, two of one rank merged into one of the next.
 
     So every row is written as often as the logarithm of the batches, and there are as many tables.
     """
@@ -200,32 +277,38 @@ class Touched:
         self.spark, self.tables = spark, []
 
     def table(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], "net bigint, part int, cnt bigint")
-        return reduce(DataFrame.unionByName, [t for _, t in self.tables], empty)
+        return reduce(DataFrame.unionByName, [t for _, t in self.tables], self.spark.createDataFrame([], TOUCHED))
 
     def add(self, new: DataFrame) -> None:
-        self.tables.append((0, settle(new)))
+        """Takes a settled table."""
+        self.tables.append((0, new))
         while len(self.tables) > 1 and self.tables[-1][0] == self.tables[-2][0]:
             (rank, a), (_, b) = self.tables.pop(), self.tables.pop()
-            self.tables.append((rank + 1, settle(a.unionByName(b).groupBy("net", "part").agg(F.sum("cnt").alias("cnt")))))
+            self.tables.append((rank + 1, settle(a.unionByName(b).groupBy("net", "part").agg(F.sum("cnt").alias("cnt"), F.max("own").alias("own")))))
 
 
 def place_batches(hg: Hypergraph, order: DataFrame, k: int, policy: str = "tv", batch: int = 100_000) -> DataFrame:
     """(v, part): placement in batches of the order, each scored on the state that the ones before left.
 
-    What a batch places is written once; the sizes of the parts are K numbers on the driver.
+    What a batch places is written once; the sizes of the parts and, for ``tm``, the connections between them are K and
+    K * K values on the driver.
     """
     check_parts(k)
+    check_policy(policy)
     spark = hg.pins.sparkSession
     n = hg.vertices.count()
     limit = capacity(n, k)
     rows = settle(stream_rows(hg, order).withColumn("nets", F.coalesce("nets", F.array().cast("array<struct<net:bigint,src:bigint>>"))))
     touched, sizes, parts = Touched(spark), [0] * k, []
+    connected = np.zeros((k, k), dtype=bool)
     for lo in range(0, n, batch):
         own = rows.where(F.col("ord").between(lo, lo + batch - 1))
-        placed, sizes = place_batch(own, touched.table(), sizes, limit, policy)
+        placed, sizes = place_batch(own, touched.table(), sizes, limit, policy, connected)
         parts.append(settle(placed))
-        touched.add(arrivals(own, parts[-1]))
+        new = settle(arrivals(own, parts[-1]))
+        if policy == "tm":
+            connected |= new_connections(touched.table(), new, k)
+        touched.add(new)
     return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "v bigint, part int"))
 
 

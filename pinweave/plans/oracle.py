@@ -163,6 +163,27 @@ def bfs(start: str = "SELECT min(v) FROM pins", name: str = "b") -> str:
   UNION (SELECT DISTINCT q.v, {name}.level + 1 FROM {name} JOIN pins p ON p.v = {name}.v JOIN pins q ON q.net = p.net WHERE q.v NOT IN (SELECT v FROM recurring.{name})))"""
 
 
+def queue_order(start: str = "SELECT min(v) FROM pins") -> str:
+    """Table q(v, level, ord) of a search with a queue that takes nets and pins by id, a level at a time."""
+    return f"""q(v, level, ord) USING KEY (v) AS (
+  SELECT ({start}), 0::INTEGER, 0::BIGINT
+  UNION (SELECT v, level, ord + row_number() OVER (ORDER BY since, net, v) - 1 FROM (
+    SELECT p.v, n.level + 1 AS level, (SELECT count(*) FROM recurring.q) AS ord, min(n.since) AS since, min_by(n.net, (n.since, n.net)) AS net
+    FROM (SELECT pins.net, min(q.ord) AS since, any_value(q.level) AS level FROM q JOIN pins ON pins.v = q.v GROUP BY 1) n JOIN pins p ON p.net = n.net
+    WHERE p.v NOT IN (SELECT v FROM recurring.q) GROUP BY 1, 2)))"""
+
+
+#: Nets of the thinned hypergraph have two pins at most.
+SPARSE = "sparse AS (SELECT * FROM pins WHERE net IN (SELECT net FROM pins GROUP BY 1 HAVING count(*) < 3))"
+
+
+def components(source: str) -> str:
+    """Table c(v, component) of the vertices of pins over the nets of ``source``."""
+    return f"""c(v, component) USING KEY (v) AS (
+  SELECT DISTINCT v, v FROM pins
+  UNION (SELECT y.v, min(c.component) FROM c JOIN {source} x ON x.v = c.v JOIN {source} y ON y.net = x.net JOIN recurring.c r ON r.v = y.v GROUP BY y.v, r.component HAVING min(c.component) < r.component))"""
+
+
 THIN = "kept AS (SELECT net FROM (SELECT net, count(*) AS d FROM pins GROUP BY 1) WHERE d < 1.5 * (SELECT count(*) / count(DISTINCT net) FROM pins) AND d < 10), thin AS (SELECT * FROM pins WHERE net IN (SELECT net FROM kept))"
 
 
@@ -187,19 +208,33 @@ a(ord, v, part) USING KEY (ord) AS (
   SELECT cur.ord, cur.v, ch.part FROM ch, cur ORDER BY able DESC, s DESC, n, ch.part LIMIT 1))"""
 
 
-def placed_in_batches(batches: int, k: int) -> str:
-    """Table parts(v, part) of the placement by touching nets in so many batches of the order by id."""
-    steps = f"""ordv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS ord FROM (SELECT DISTINCT v FROM pins)),
+#: An order in which sources of nets stand anywhere.
+MIXED = "v * 7919 % 1009, v"
+
+
+def placed_in_batches(batches: int, k: int, policy: str = "tv", order: str = "v") -> str:
+    """Table parts(v, part) of the placement in so many batches of an order."""
+    steps = f"""ordv AS (SELECT v, row_number() OVER (ORDER BY {order}) - 1 AS ord FROM (SELECT DISTINCT v FROM pins)),
+home AS (SELECT net, min(v) AS src FROM pins GROUP BY 1),
 size_ AS (SELECT count(*) AS nov, (count(*) + {batches} - 1) // {batches} AS each, CAST(count(*) // {k} AS DOUBLE) * 1.05 AS cap FROM ordv),
 ks AS (SELECT unnest(range({k}))::INTEGER AS part),
 done0 AS (SELECT NULL::BIGINT AS v, NULL::INTEGER AS part WHERE false)"""
     for b in range(batches):
+        by_nets = f"""best{b} AS (SELECT * FROM (SELECT v, part, n, s * (1 - n / cap) AS score, row_number() OVER (PARTITION BY v ORDER BY s * (1 - n / cap) DESC, n, part) AS r FROM vote{b} JOIN sz{b} USING (part), size_) WHERE r = 1 AND score > 0)"""
+        only = f" AND t.net IN (SELECT net FROM tp{b} GROUP BY 1 HAVING count(*) = 1)" if policy == "cn" else ""
+        touching = f"vote{b} AS (SELECT p.v, t.part, count(*) AS s FROM own{b} JOIN pins p USING (v) JOIN tp{b} t ON t.net = p.net{only} GROUP BY 1, 2),\n{by_nets}"
+        by_messages = f"""so{b} AS (SELECT net, part AS sp FROM home JOIN done{b} ON v = src),
+cx{b} AS (SELECT DISTINCT sp, part AS tp FROM so{b} JOIN tp{b} USING (net) WHERE sp <> part),
+inc{b} AS (SELECT v, net, src = v AS own FROM own{b} JOIN pins USING (v) JOIN home USING (net)),
+vote{b} AS (SELECT v, part, sum(s) AS s FROM (
+  SELECT v, tp AS part, 1 AS s FROM (SELECT DISTINCT v, sp FROM inc{b} JOIN so{b} USING (net) WHERE NOT own) JOIN cx{b} USING (sp)
+  UNION ALL SELECT v, sp, 1 FROM inc{b} JOIN tp{b} USING (net) JOIN cx{b} ON tp = part WHERE own) GROUP BY 1, 2),
+best{b} AS (SELECT v, part, n, score FROM (SELECT v, part, n, s AS score, row_number() OVER (PARTITION BY v ORDER BY s DESC, n, part) AS r FROM vote{b} JOIN sz{b} USING (part), size_ WHERE n < cap) WHERE r = 1)"""
         steps += f""",
 own{b} AS (SELECT v, ord FROM ordv, size_ WHERE ord // each = {b}),
 sz{b} AS (SELECT ks.part, count(v) AS n FROM ks LEFT JOIN done{b} USING (part) GROUP BY 1),
 tp{b} AS (SELECT DISTINCT net, part FROM pins JOIN done{b} USING (v)),
-vote{b} AS (SELECT p.v, t.part, count(*) AS s FROM own{b} JOIN pins p USING (v) JOIN tp{b} t ON t.net = p.net GROUP BY 1, 2),
-best{b} AS (SELECT * FROM (SELECT v, part, n, s * (1 - n / cap) AS score, row_number() OVER (PARTITION BY v ORDER BY s * (1 - n / cap) DESC, n, part) AS r FROM vote{b} JOIN sz{b} USING (part), size_) WHERE r = 1 AND score > 0),
+{by_messages if policy == "tm" else touching},
 fit{b} AS (SELECT v, part FROM (SELECT v, part, n, cap, row_number() OVER (PARTITION BY part ORDER BY score DESC, ord) AS r FROM best{b} JOIN own{b} USING (v), size_) WHERE r <= greatest(ceil(cap) - n, 0)),
 left{b} AS (SELECT sz{b}.part, n + count(v) AS n FROM sz{b} LEFT JOIN fit{b} USING (part) GROUP BY sz{b}.part, n),
 wait{b} AS (SELECT v, row_number() OVER (ORDER BY ord) AS place FROM own{b} WHERE v NOT IN (SELECT v FROM fit{b})),

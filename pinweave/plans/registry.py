@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinweave.model import Hypergraph, header, settled, transpose, validate
-from pinweave.operators import graph, metrics, place, refine
+from pinweave.operators import components, graph, metrics, place, refine
 from pinweave.plans import derive
 from pinweave.plans import oracle as o
 from pinweave.functions.expressions import renumbered
@@ -134,6 +134,8 @@ register(
     f"{_b}, {o.bfs('SELECT v FROM b ORDER BY level DESC, v LIMIT 1', 'c')}, {o.bfs('SELECT v FROM c ORDER BY level DESC, v LIMIT 1', 'e')} SELECT v, level FROM e",
     lambda s, d: graph.pseudo_peripheral(po(s, d))[1],
 )
+register("bfs_queue_order", f"{o.pins('po')}, {o.queue_order()} SELECT v, ord FROM q", lambda s, d: graph.bfs_queue_order(po(s, d)))
+register("bfs_queue_order_parts", f"{o.pins()}, {o.queue_order('SELECT max(v) FROM pins')} SELECT v, ord FROM q", lambda s, d: graph.bfs_queue_order(op(s, d), op(s, d).vertices.agg(F.max("v")).first()[0]))
 register("id_order", f"{o.pins()} SELECT v, row_number() OVER (ORDER BY v) - 1 AS ord FROM (SELECT DISTINCT v FROM pins)", lambda s, d: graph.id_order(op(s, d)))
 
 
@@ -152,25 +154,34 @@ register("place_tm_metrics", f"{o.pins()}, {o.placed_by_messages(8)}, parts AS (
 register("place_audit", "SELECT NULL::BIGINT AS v, NULL::BIGINT AS ord, NULL::INTEGER AS part, NULL::INTEGER AS expected WHERE false", lambda s, d: place.audit(op(s, d), graph.id_order(op(s, d)), settle(_place("tv", 4)(s, d)), 4))
 
 
-def _batches(s: SparkSession, d: str) -> DataFrame:
+def _mixed(hg: Hypergraph) -> DataFrame:
+    """An order in which sources of nets stand anywhere."""
+    own = hg.vertices.select("v", F.struct((F.col("v") * 7919 % 1009).alias("mixed"), "v").alias("place"))
+    return renumbered(own, "place", "ord").select("v", "ord")
+
+
+def _batches(s: SparkSession, d: str, policy: str = "tv", k: int = 4) -> DataFrame:
     hg = settled(op(s, d))
-    return place.place_batches(hg, graph.id_order(hg), 4, "tv", batch=-(-hg.vertices.count() // 4))
+    return place.place_batches(hg, _mixed(hg) if policy == "tm" else graph.id_order(hg), k, policy, batch=-(-hg.vertices.count() // 4))
 
 
 register("place_batches", f"{o.pins()}, {o.placed_in_batches(4, 4)} SELECT v, part FROM parts", _batches)
 register("place_batches_metrics", f"{o.pins()}, {o.placed_in_batches(4, 4)}, {o._tables(4).replace('ks AS', 'ks_ AS', 1)} SELECT {o.METRICS}", lambda s, d: metrics.report(op(s, d), _batches(s, d)))
+register("place_batches_cn", f"{o.pins()}, {o.placed_in_batches(4, 4, 'cn')} SELECT v, part FROM parts", lambda s, d: _batches(s, d, "cn"))
+register("place_batches_tm", f"{o.pins()}, {o.placed_in_batches(4, 16, 'tm', o.MIXED)} SELECT v, part FROM parts", lambda s, d: _batches(s, d, "tm", 16))
 
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
+def _stream(s: SparkSession, d: str, policy: str = "tv", k: int = 4) -> DataFrame:
     """Vertices streamed in four files, in the order of their arrival."""
     hg = settled(op(s, d))
     n = hg.vertices.count()
     path = folder(s)
-    placement.write_arrivals(settle(place.stream_rows(hg, graph.id_order(hg))), path, -(-n // 4))
-    return placement.place_stream(path, n, 4, s)
+    placement.write_arrivals(settle(place.stream_rows(hg, _mixed(hg) if policy == "tm" else graph.id_order(hg))), path, -(-n // 4))
+    return placement.place_stream(path, n, k, s, policy)
 
 
 register("stream_place_tv", f"{o.pins()}, {o.placed_in_batches(4, 4)} SELECT v, part FROM parts", _stream)
+register("stream_place_tm", f"{o.pins()}, {o.placed_in_batches(4, 16, 'tm', o.MIXED)} SELECT v, part FROM parts", lambda s, d: _stream(s, d, "tm", 16))
 
 # Refinement
 
@@ -221,7 +232,14 @@ _colours = lambda hg: hg.vertices.select("v", F.pmod("v", F.lit(7)).alias("colou
 register("colour_majority", f"{o.pins()}, {_colour} SELECT net, colour FROM maj", lambda s, d: graph.majority_colour(op(s, d), _colours(op(s, d))))
 register("colour_coarse", f"{o.pins()}, {_colour} SELECT v, colour FROM (SELECT v, maj.colour, row_number() OVER (PARTITION BY v ORDER BY net DESC) AS r FROM pins JOIN maj USING (net)) WHERE r = 1", lambda s, d: graph.colour_step(op(s, d), _colours(op(s, d))))
 register("colour_histogram", f"{o.pins()}, {_colour} SELECT colour, count(*) AS n FROM colours GROUP BY 1", lambda s, d: _colours(op(s, d)).groupBy("colour").agg(F.count(F.lit(1)).alias("n")))
-register("connected_components", f"{_b} SELECT v, (SELECT min(v) FROM pins) AS component FROM b", lambda s, d: graph.connected_components(po(s, d)))
+register("connected_components", f"{o.pins('po')}, {o.components('pins')} SELECT v, component FROM c", lambda s, d: components.connected_components(po(s, d)))
+_sparse = lambda s, d: graph.thin(op(s, d), 1e9, 3)
+register("components_sparse", f"{o.pins()}, {o.SPARSE}, {o.components('sparse')} SELECT v, component FROM c", lambda s, d: components.connected_components(_sparse(s, d)))
+register(
+    "largest_component",
+    f"{o.pins()}, {o.SPARSE}, {o.components('sparse')} SELECT net, v FROM sparse WHERE v IN (SELECT v FROM c WHERE component = (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1))",
+    lambda s, d: components.largest_component(_sparse(s, d)).pins,
+)
 
 # Files: each is written to the shared folder and read back
 _dense = f"{o.pins()}, {o.DENSE}"

@@ -34,3 +34,30 @@ def settle(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of a loop: one of a name takes the place of the one before it, which is deleted once the new one is written.
+
+    Only what is read in the same round may build on such a table.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def settle(self, name: str, df: DataFrame) -> DataFrame:
+        path = folder(self.spark)
+        df.write.option("compression", "zstd").parquet(path)
+        before, self.paths[name] = self.paths.get(name), path
+        if before:
+            self.drop(before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def close(self, *kept: str) -> None:
+        """Deletes all but the tables of these names."""
+        for name in [n for n in self.paths if n not in kept]:
+            self.drop(self.paths.pop(name))

@@ -6,15 +6,17 @@ kept as tables in the shared folder, a folder for each batch: a restart goes on
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinweave.functions.expressions import capacity
 from pinweave.model import check_parts
-from pinweave.operators.place import arrivals, place_batch
+from pinweave.operators.place import TOUCHED, arrivals, check_policy, new_connections, place_batch
 from pinweave.store import exists, folder
 
-SIZES = "sizes array<bigint>, epoch bigint"
+#: The sizes of the parts, the K * K connections (for ``tm``) as packed bits, and the policy they belong to.
+STATE = "sizes array<bigint>, connected binary, policy string"
 ARRIVALS = "ord bigint, v bigint, nets array<struct<net:bigint,src:bigint>>"
 
 
@@ -28,13 +30,18 @@ class StreamPlacer:
 
     def __init__(self, spark: SparkSession, nov: int, k: int, policy: str = "tv", path: str | None = None):
         check_parts(k)
+        check_policy(policy)
         self.spark, self.k, self.policy = spark, k, policy
         self.limit, self.path = capacity(nov, k), path or folder(spark)
-        self.sizes, self.last = [0] * k, -1
+        self.sizes, self.last, self.connected = [0] * k, -1, np.zeros((k, k), dtype=bool)
         if exists(spark, f"{self.path}/sizes"):
-            row = spark.read.schema(SIZES).parquet(f"{self.path}/sizes").agg(F.max(F.struct("epoch", "sizes")).alias("last")).first()["last"]
+            row = spark.read.schema(f"{STATE}, epoch bigint").parquet(f"{self.path}/sizes").agg(F.max(F.struct("epoch", "sizes", "connected", "policy")).alias("last")).first()["last"]
             if row is not None:
+                if (row["policy"] or policy) != policy or len(row["sizes"]) != k:
+                    raise ValueError(f"{self.path} holds a placement in {len(row['sizes'])} parts by {row['policy']!r}")
                 self.last, self.sizes = row["epoch"], list(row["sizes"])
+                if row["connected"] is not None:
+                    self.connected = np.unpackbits(np.frombuffer(row["connected"], np.uint8), count=k * k).reshape(k, k).astype(bool)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         if self.last < 0:
@@ -48,17 +55,22 @@ class StreamPlacer:
         return self._read("parts", "v bigint, part int")
 
     def touched(self) -> DataFrame:
-        return self._read("touched", "net bigint, part int, cnt bigint")
+        return self._read("touched", TOUCHED)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         if epoch <= self.last:
             return
-        placed, sizes = place_batch(batch, self.touched(), self.sizes, self.limit, self.policy)
+        placed, sizes = place_batch(batch, self.touched(), self.sizes, self.limit, self.policy, self.connected)
         self._write(placed, "parts", epoch)
         placed = self.spark.read.schema("v bigint, part int").parquet(f"{self.path}/parts/epoch={epoch}")
+        before = self.touched()
         self._write(arrivals(batch, placed), "touched", epoch)
-        self._write(self.spark.createDataFrame([(sizes,)], "sizes array<bigint>").coalesce(1), "sizes", epoch)
-        self.sizes, self.last = sizes, epoch
+        connected = self.connected
+        if self.policy == "tm":
+            connected = connected | new_connections(before, self.spark.read.schema(TOUCHED).parquet(f"{self.path}/touched/epoch={epoch}"), self.k)
+        bits = bytearray(np.packbits(connected).tobytes()) if self.policy == "tm" else None
+        self._write(self.spark.createDataFrame([(sizes, bits, self.policy)], STATE).coalesce(1), "sizes", epoch)
+        self.sizes, self.connected, self.last = sizes, connected, epoch
 
 
 def place_stream(source: str, nov: int, k: int, spark: SparkSession, policy: str = "tv", files_per_batch: int = 1, path: str | None = None) -> DataFrame:

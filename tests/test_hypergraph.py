@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pinweave.functions.expressions import capacity, improvement, running_total
 from pinweave.model import Hypergraph, header, transpose, validate
-from pinweave.operators import graph, metrics, place, refine
+from pinweave.operators import components, graph, metrics, place, refine
 from pinweave.plans import derive
 from pinweave.store import settle
 
@@ -132,12 +132,12 @@ def test_unreachable_vertices_come_last(spark):
     assert [r.v for r in graph.bfs_order(levels).orderBy("ord").collect()] == [0, 3, 4, 1, 2]
     assert tuple(graph.farthest(levels).first()) == (4, 2)
     assert graph.pseudo_peripheral(hg)[0] == 0
-    assert {r.v: r.component for r in graph.connected_components(hg).collect()} == {0: 0, 3: 0, 4: 0, 1: 1, 2: 1}
+    assert {r.v: r.component for r in components.connected_components(hg).collect()} == {0: 0, 3: 0, 4: 0, 1: 1, 2: 1}
 
 
 def test_long_path_components(spark):
     hg = small(spark, [[i, i + 1] for i in range(70)])
-    assert {r.component for r in graph.connected_components(hg).collect()} == {0}
+    assert {r.component for r in components.connected_components(hg).collect()} == {0}
 
 
 def test_transpose_twice_is_the_same(spark):
