@@ -29,6 +29,12 @@ def skewed_part(v: str, k: int) -> Column:
     return F.when(F.pmod(F.col(v), F.lit(5)) == 0, 0).otherwise(F.pmod(F.col(v), F.lit(k))).cast("int")
 
 
+def tilted_part(v: str) -> Column:
+    """Eight parts: part 0 beyond its capacity, part 1 the smallest, the others alike."""
+    m = F.pmod(F.col(v) * 7919, F.lit(1000))
+    return F.when(m < 114, 1).when(m < 284, 0).otherwise(2 + m % 6).cast("int")
+
+
 def improvement(before: Column, after: Column) -> Column:
     """Percent gained; null where there was nothing to gain on."""
     return F.when(before != 0, 100 - after / before * 100)

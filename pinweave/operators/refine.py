@@ -5,13 +5,14 @@
 
 ``refine`` applies them in one of two modes. A ``sweep`` applies the moves of all vertices, by default only such as share
 no net. In ``batch`` mode the vertices are taken in runs of their ids, each with proposals of its own on the partition
-that the runs before left, and ``admitted`` looks at sizes and loads again while a run's moves are applied.
+that the runs before left, and ``admitted`` looks at sizes and loads again while a run's moves are applied. What a
+run changes is kept as signed rows beside the tables of the sweep's start (``State``), which are not written again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pinweave.functions.expressions import capacity, penalised, renumbered
 from pinweave.model import Hypergraph, check_parts
 from pinweave.operators.metrics import NAMES, connectivity, messages, net_part, part_sizes, per_part, sourced
 from pinweave.ship import ship
-from pinweave.store import settle
+from pinweave.store import settle, settle_by
 
 OBJECTIVES = NAMES
 
@@ -70,6 +71,11 @@ class Frozen:
     def nov(self) -> int:
         return self.hg.vertices.count()
 
+    def loads(self, objective: str) -> DataFrame:
+        """(part, load): what each part has of that of which the objective is the maximum."""
+        load = {"msm": F.col("sent_messages"), "msv": F.col("send"), "msrv": F.col("send") + F.col("recv")}[objective]
+        return per_part(self.hg, self.parts, self.k).select("part", load.alias("load"))
+
     @cached_property
     def partners(self) -> tuple[DataFrame, DataFrame]:
         """Receivers (v, p, r) of the nets that v is the source of, and senders (v, p, s, net) with their first net."""
@@ -217,15 +223,9 @@ def message_changes(at: Frozen, to: DataFrame) -> DataFrame:
     return fewer.unionByName(more).groupBy("v", "p", "q", "part").agg(F.sum("change").alias("change"))
 
 
-def loads(at: Frozen, objective: str) -> DataFrame:
-    """(part, load): what each part has of that of which the objective is the maximum."""
-    load = {"msm": F.col("sent_messages"), "msv": F.col("send"), "msrv": F.col("send") + F.col("recv")}[objective]
-    return per_part(at.hg, at.parts, at.k).select("part", load.alias("load"))
-
-
 def msm_moves(at: Frozen) -> DataFrame:
     """The move by which every part with most messages sends fewer and no other comes up to them; sizes do not count."""
-    load = settle(loads(at, "msm"))
+    load = settle(at.loads("msm"))
     own = load.crossJoin(F.broadcast(load.agg(F.max("load").alias("top"))))
     # A vertex must take a message off every part at the top, so the others need no targets.
     at_top = own.where("load = top").select("part")
@@ -264,7 +264,7 @@ def volume_changes(at: Frozen, found: DataFrame, received: bool) -> DataFrame:
 
 def _volume_moves(at: Frozen, received: bool) -> DataFrame:
     found = settle(candidates(at, guard=False))
-    load = settle(loads(at, "msrv" if received else "msv"))
+    load = settle(at.loads("msrv" if received else "msv"))
     own = load.crossJoin(F.broadcast(load.agg(F.max("load").alias("top"))))
     n_top = F.broadcast(own.where("load = top").agg(F.count(F.lit(1)).alias("n_top")))
     change = volume_changes(at, found, received).join(F.broadcast(own), "part")
@@ -334,7 +334,7 @@ def admitted(at: Frozen, moves: DataFrame, objective: str) -> DataFrame:
         return _until(moves, full, inclusive=False)
     chosen = moves.select("v", F.col("from_part").alias("p"), F.col("to_part").alias("q"))
     changes = message_changes(at, chosen) if objective == "msm" else volume_changes(at, chosen, objective == "msrv")
-    load = settle(loads(at, objective))
+    load = settle(at.loads(objective))
     top = F.broadcast(load.agg(F.max("load").alias("start")))
     each = moves.select("v").crossJoin(F.broadcast(load.crossJoin(top))).join(changes.select("v", "part", "change"), ["v", "part"], "left")
     now = F.col("load") + F.sum(F.coalesce("change", F.lit(0))).over(Window.partitionBy("part").orderBy("v"))
@@ -355,21 +355,140 @@ def sweep(hg: Hypergraph, parts: DataFrame, k: int, objective: str, monotone: bo
     return applied(parts, independent(hg, moves) if monotone else moves)
 
 
+class Levels:
+    """A table that grows batch by batch, two tables of one rank merged into one of the next by ``merge``.
+
+    Every row is so written as often as the logarithm of the batches.
+    """
+
+    def __init__(self, empty: DataFrame, merge: Callable[[DataFrame], DataFrame]):
+        self.empty, self.merge, self.tables = empty, merge, []
+
+    def table(self) -> DataFrame:
+        return self.merge(reduce(DataFrame.unionByName, [t for _, t in self.tables], self.empty))
+
+    def add(self, new: DataFrame) -> None:
+        """Takes a settled table."""
+        self.tables.append((0, new))
+        while len(self.tables) > 1 and self.tables[-1][0] == self.tables[-2][0]:
+            (rank, a), (_, b) = self.tables.pop(), self.tables.pop()
+            self.tables.append((rank + 1, settle(self.merge(a.unionByName(b)))))
+
+
+def _summed(*keys: str, value: str) -> Callable[[DataFrame], DataFrame]:
+    """Signed rows summed up; what has come to nothing is left out."""
+    return lambda df: df.groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
+
+
+class Batch(Frozen):
+    """What the rules read of the vertices of one batch: their own nets as they are now, and totals of all parts."""
+
+    def __init__(self, state: State, number: int):
+        self.hg, self.k, self.state = state.hg, state.k, state
+        self.own_pins = self.pins = state.pins.where(F.col("b") == number).select("net", "v")
+        self.parts = state.vertices.where(F.col("b") == number).select("v", "part")
+        nets = self.pins.select("net").distinct()
+        base = state.net_part.where(F.col("b") == number).select("net", "part", "cnt")
+        since = state.changes.table().join(nets, "net", "left_semi")
+        self.np = settle(_summed("net", "part", value="cnt")(base.unionByName(since)))
+        moved = state.moved.table().select(F.col("v").alias("src"), F.col("part").alias("now"))
+        source = state.sources.where(F.col("b") == number).join(moved, "src", "left")
+        self.sources = settle(source.select("net", "src", F.coalesce("now", "sp").alias("sp"), "is_pin").where("sp is not null"))
+        self.messages = settle(state.messages.table())
+        self.sizes = state.totals(state.part_size, "size")
+        self.nov = state.nov
+
+    def loads(self, objective: str) -> DataFrame:
+        all_parts = self.state.totals([0] * self.k, "load").drop("load")
+        sent = self.messages.groupBy(F.col("sp").alias("part")).agg(F.count(F.lit(1)).alias("load"))
+        if objective == "msm":
+            return all_parts.join(sent, "part", "left").select("part", F.coalesce("load", F.lit(0)).alias("load"))
+        send = self.state.totals(self.state.send, "send")
+        if objective == "msv":
+            return send.withColumnRenamed("send", "load")
+        received = self.messages.groupBy(F.col("tp").alias("part")).agg(F.sum("mult").alias("recv"))
+        return send.join(received, "part", "left").select("part", (F.col("send") + F.coalesce("recv", F.lit(0))).alias("load"))
+
+
+class State:
+    """A partition under refinement, kept as it was at the start of a sweep and what has changed since.
+
+    The pins, the nets' parts and their sources are laid out once by the batch that needs them, so that a batch reads only
+    its own. Moves are a log; the pins that they take from a part and bring to another are signed rows, summed up where
+    they are read, and so are the messages between parts. Sizes and sent volumes are K numbers.
+    """
+
+    def __init__(self, hg: Hypergraph, parts: DataFrame, k: int, batch: int):
+        spark = hg.pins.sparkSession
+        self.hg, self.k, self.spark = hg, k, spark
+        order = renumbered(hg.vertices, "v", "ord").select("v", F.floor(F.col("ord") / batch).cast("int").alias("b"))
+        self.vertices = settle_by(order.join(parts, "v", "left"), "b")
+        self.nov = self.vertices.count()
+        self.pins = settle_by(hg.pins.join(self.vertices.select("v", "b"), "v"), "b")
+        own = self.pins.select("b", "net").distinct()
+        start = settle(net_part(hg.pins, parts))
+        self.net_part = settle_by(own.join(start, "net"), "b")
+        is_pin = hg.pins.join(hg.nets.select("net", F.col("src").alias("v")), ["net", "v"], "left_semi").select("net", F.lit(True).alias("is_pin"))
+        sources = settle(sourced(hg.nets, parts).join(is_pin, "net", "left").select("net", "src", "sp", F.coalesce("is_pin", F.lit(False)).alias("is_pin")))
+        self.sources = settle_by(own.join(sources, "net"), "b")
+        frame = spark.createDataFrame
+        self.changes = Levels(frame([], "net bigint, part int, cnt bigint"), _summed("net", "part", value="cnt"))
+        self.messages = Levels(frame([], "sp int, tp int, mult bigint"), _summed("sp", "tp", value="mult"))
+        self.moved = Levels(frame([], "v bigint, part int"), lambda df: df)
+        self.messages.add(settle(messages(start, sources)))
+        self.part_size = self._numbers(part_sizes(parts, k), "size")
+        self.send = self._numbers(self._volume(start, sources), "send")
+
+    def _numbers(self, df: DataFrame, value: str) -> list[int]:
+        out = [0] * self.k
+        for r in df.collect():  # K rows at most
+            out[r["part"]] = r[value]
+        return out
+
+    def totals(self, values: list[int], name: str) -> DataFrame:
+        return self.spark.createDataFrame(list(enumerate(values)), f"part int, {name} bigint")
+
+    @staticmethod
+    def _volume(np: DataFrame, sources: DataFrame) -> DataFrame:
+        return connectivity(np).join(sources.where("is_pin"), "net").groupBy(F.col("sp").alias("part")).agg(F.sum(F.col("lam") - 1).alias("send"))
+
+    def apply(self, at: Batch, moves: DataFrame) -> None:
+        """Takes in the moves of a batch; only the nets of moved vertices are looked at."""
+        step = at.pins.join(moves, "v").select("net", F.explode(F.array(F.struct(F.col("from_part").alias("part"), F.lit(-1).cast("bigint").alias("cnt")), F.struct(F.col("to_part").alias("part"), F.lit(1).cast("bigint").alias("cnt")))).alias("s")).select("net", "s.part", "s.cnt")
+        change = settle(_summed("net", "part", value="cnt")(step))
+        touched = at.pins.join(moves, "v", "left_semi").select("net").distinct()
+        before = settle(at.np.join(touched, "net", "left_semi"))
+        after = settle(_summed("net", "part", value="cnt")(before.unionByName(change)))
+        held = at.sources.join(touched, "net", "left_semi")
+        then = settle(held.join(moves.select(F.col("v").alias("src"), F.col("to_part").alias("now")), "src", "left").select("net", "src", F.coalesce("now", "sp").alias("sp"), "is_pin"))
+        gone = messages(before, held).select("sp", "tp", (-F.col("mult")).alias("mult"))
+        self.messages.add(settle(_summed("sp", "tp", value="mult")(gone.unionByName(messages(after, then)))))
+        for sign, found in ((-1, self._volume(before, held)), (1, self._volume(after, then))):
+            self.send = [a + sign * b for a, b in zip(self.send, self._numbers(found, "send"), strict=True)]
+        for sign, side in ((-1, "from_part"), (1, "to_part")):
+            self.part_size = [a + sign * b for a, b in zip(self.part_size, self._numbers(moves.groupBy(F.col(side).alias("part")).agg(F.count(F.lit(1)).alias("n")), "n"), strict=True)]
+        self.changes.add(change)
+        self.moved.add(settle(moves.select("v", F.col("to_part").alias("part"))))
+
+
 def sweep_batches(hg: Hypergraph, parts: DataFrame, k: int, objective: str, batch: int) -> DataFrame:
-    """The parts after one sweep in batches of so many vertices by id; each batch is written to the shared folder.
+    """The parts after one sweep in batches of so many vertices by id, each on the partition that those before left.
 
-    Nets of the ``cn`` rule move as a whole, so its batch is the sweep, whatever ``batch`` says.
+    A batch reads its own nets and the changes since the sweep began, and writes no more than it changes. Nets of the
+    ``cn`` rule move as a whole, so its batch is the sweep, whatever ``batch`` says.
     """
     if batch < 1:
         raise ValueError(f"a batch has a vertex at least, not {batch}")
-    order = settle(renumbered(hg.vertices, "v", "ord"))
-    nov = order.count()
-    for lo in range(0, nov, nov if objective == "cn" else batch):
-        own = None if objective == "cn" else order.where(F.col("ord").between(lo, lo + batch - 1))
-        at = Frozen(hg, parts, k, own)
-        moves = settle(one_each(RULES[objective](at)))
-        parts = settle(applied(parts, admitted(at, moves, objective)))
-    return parts
+    if objective == "cn":
+        at = Frozen(hg, parts, k)
+        return settle(applied(parts, admitted(at, settle(one_each(cn_moves(at))), objective)))
+    state = State(hg, parts, k, batch)
+    for number in range(-(-state.nov // batch)):
+        at = Batch(state, number)
+        moves = settle(admitted(at, settle(one_each(RULES[objective](at))), objective))
+        if not moves.isEmpty():
+            state.apply(at, moves)
+    return settle(applied(parts, state.moved.table().withColumnRenamed("part", "to_part")))
 
 
 def refine(hg: Hypergraph, parts: DataFrame, k: int, objective: str, sweeps: int = 1, monotone: bool = True, mode: str = "sweep", batch: int = 100_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinweave.functions.expressions import modulo_part, skewed_part
+from pinweave.functions.expressions import modulo_part, skewed_part, tilted_part
 from pinweave.model import Hypergraph, transpose
 
 
@@ -41,3 +41,7 @@ def modulo(hg: Hypergraph, k: int) -> DataFrame:
 
 def skewed(hg: Hypergraph, k: int) -> DataFrame:
     return hg.vertices.select("v", skewed_part("v", k).alias("part"))
+
+
+def tilted(hg: Hypergraph, k: int = 8) -> DataFrame:
+    return hg.vertices.select("v", tilted_part("v").alias("part"))

@@ -17,6 +17,11 @@ def skewed(k: int) -> str:
     return f"CAST(CASE WHEN v % 5 = 0 THEN 0 ELSE v % {k} END AS INTEGER)"
 
 
+def tilted(k: int = 8) -> str:
+    m = "(v * 7919 % 1000)"
+    return f"CAST(CASE WHEN {m} < 114 THEN 1 WHEN {m} < 284 THEN 0 ELSE 2 + {m} % 6 END AS INTEGER)"
+
+
 def pins(name: str = "op") -> str:
     return f"WITH RECURSIVE pins AS ({PINS[name]})"
 
@@ -246,26 +251,45 @@ done{b + 1} AS (SELECT v, part FROM done{b} UNION ALL SELECT v, part FROM fit{b}
 _ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, to_part) AS o FROM moves) WHERE o = 1)"
 
 
-def admitted(part: str, k: int, rule: str, objective: str) -> str:
-    """The moves of one batch of all vertices that are applied, as sizes and loads are looked at again."""
-    head = f"{state(part, k)},\n{rule},\n{_ONE}"
+def _admission(k: int, objective: str) -> tuple[str, str]:
+    """Table expressions, and the moves of ``one`` that are applied, as sizes and loads are looked at again."""
     if objective == "cn":
-        return f"{head}\nSELECT v, from_part, to_part, gain FROM one"
+        return "", "SELECT v, from_part, to_part, gain FROM one"
     if objective == "tm":
-        return f"""{head}
-SELECT v, from_part, to_part, gain FROM (SELECT one.*, size, row_number() OVER (PARTITION BY to_part ORDER BY v) - 1 AS arrived FROM one JOIN sizes ON part = to_part), cap WHERE size + arrived < 1.02::DOUBLE * cap"""
+        return "", "SELECT v, from_part, to_part, gain FROM (SELECT one.*, size, row_number() OVER (PARTITION BY to_part ORDER BY v) - 1 AS arrived FROM one JOIN sizes ON part = to_part), cap WHERE size + arrived < 1.02::DOUBLE * cap"
     if objective == "tv":
-        return f"""{head},
+        return f""",
 ev AS (SELECT v, to_part AS part, 1 AS step, true AS asks FROM one UNION ALL SELECT v, from_part, -1, false FROM one),
 run AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY part ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev),
-stop AS (SELECT min(v) AS last FROM run JOIN sizes USING (part) WHERE asks AND size + before > 1.1::DOUBLE * (SELECT count(*) FROM parts) / {k})
-SELECT v, from_part, to_part, gain FROM one, stop WHERE last IS NULL OR v < last"""
+stop AS (SELECT min(v) AS last FROM run JOIN sizes USING (part) WHERE asks AND size + before > 1.1::DOUBLE * (SELECT count(*) FROM parts) / {k})""", "SELECT v, from_part, to_part, gain FROM one, stop WHERE last IS NULL OR v < last"
     delta = "SELECT one.v, part, -d AS d FROM change JOIN one ON one.v = change.v AND to_part = k" if objective == "msm" else "SELECT one.v, part, d FROM change JOIN one ON one.v = change.v AND to_part = q"
-    return f"""{head},
+    return f""",
 delta AS ({delta}),
 grid AS (SELECT one.v, l.part, load, top, load + sum(coalesce(d, 0)) OVER (PARTITION BY l.part ORDER BY one.v) AS now FROM one CROSS JOIN load l LEFT JOIN delta ON delta.v = one.v AND delta.part = l.part),
-stop AS (SELECT min(v) AS last FROM (SELECT v FROM grid GROUP BY v HAVING max(now) = max(now) FILTER (load < top)))
-SELECT v, from_part, to_part, gain FROM one, stop WHERE last IS NULL OR v <= last"""
+stop AS (SELECT min(v) AS last FROM (SELECT v FROM grid GROUP BY v HAVING max(now) = max(now) FILTER (load < top)))""", "SELECT v, from_part, to_part, gain FROM one, stop WHERE last IS NULL OR v <= last"
+
+
+def admitted(part: str, k: int, rule: str, objective: str) -> str:
+    """The moves of one batch of all vertices that are applied."""
+    tables, chosen = _admission(k, objective)
+    return f"{state(part, k)},\n{rule},\n{_ONE}{tables}\n{chosen}"
+
+
+def refined_in_batches(part: str, k: int, rule: str, objective: str, batches: int) -> str:
+    """The parts after one sweep in so many batches of the vertices by id."""
+    tables, chosen = _admission(k, objective)
+    out = f"""{pins()},
+ordv AS (SELECT v, (row_number() OVER (ORDER BY v) - 1) // ((count(*) OVER () + {batches} - 1) // {batches}) AS b FROM (SELECT DISTINCT v FROM pins)),
+p0 AS (SELECT DISTINCT v, {part} AS part FROM pins)"""
+    for b in range(batches):
+        one = _ONE.replace("FROM moves)", f"FROM moves WHERE v IN (SELECT v FROM ordv WHERE b = {b}))")
+        out += f""",
+p{b + 1} AS MATERIALIZED (SELECT * FROM (WITH parts AS (SELECT * FROM p{b}), {_tables(k)},
+{rule},
+{one}{tables},
+applied AS ({chosen})
+SELECT parts.v, coalesce(to_part, part) AS part FROM parts LEFT JOIN applied ON applied.v = parts.v))"""
+    return f"{out}\nSELECT v, part FROM p{batches}"
 
 
 def swept_twice(part: str, k: int, rule: str) -> str:

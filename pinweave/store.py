@@ -36,6 +36,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_by(df: DataFrame, column: str) -> DataFrame:
+    """The same in a folder for each value of a column, so that reading one of them leaves the others alone."""
+    path = folder(df.sparkSession)
+    df.repartition(column).write.partitionBy(column).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Rounds:
     """Tables of a loop: one of a name takes the place of the one before it, which is deleted once the new one is written.
 
