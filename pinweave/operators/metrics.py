@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pinweave.functions.expressions import improvement
 from pinweave.model import Hypergraph
+from pinweave.store import settle
 
 NAMES = ("cn", "tv", "tm", "msm", "msv", "msrv")
 
@@ -71,8 +72,9 @@ def per_part(hg: Hypergraph, parts: DataFrame, k: int) -> DataFrame:
 def report(hg: Hypergraph, parts: DataFrame) -> DataFrame:
     """One row with all six metrics, in one pass over the pins.
 
-    Each net is reduced to the set of parts it touches, K values at most, with its source's part; the rest are sums over
-    (source part, touched part) pairs.
+    Each net is reduced to the set of parts it touches, K values at most, with its source's part. The sums over (source
+    part, touched part) pairs, at most 2 K (K + 1) rows, are merged by all tasks and written to the shared folder, so that
+    what is drawn from them neither reads the pins again nor waits for one task that merges every task's sums.
     """
     own = hg.pins.join(parts.where("part is not null"), "v").join(hg.nets.select("net", "src"), "net", "left")
     net = own.groupBy("net").agg(F.collect_set("part").alias("touched"), F.max(F.when(F.col("v") == F.col("src"), F.col("part"))).alias("pin_sp"), F.max("src").alias("src"))
@@ -80,11 +82,11 @@ def report(hg: Hypergraph, parts: DataFrame) -> DataFrame:
     # (sender, receiver) rows with sums; receiver null carries what belongs to the net as a whole.
     flat = net.select("sp", "pin_sp", "lam", F.explode(F.concat(F.array(F.lit(None).cast("int")), "touched")).alias("tp"))
     whole = F.col("tp").isNull()
-    pair = flat.groupBy("sp", "pin_sp", "tp").agg(
+    pair = settle(flat.groupBy("sp", "pin_sp", "tp").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(whole, F.col("lam") - 1)).alias("volume"),
         F.sum(F.when(whole & (F.col("lam") > 1), 1)).alias("cut"),
-    ).coalesce(1)  # at most 2 * K * (K + 1) rows, whose sums need no more shuffles
+    ))
     message = pair.where("tp is not null and sp is not null and sp <> tp").groupBy("sp", "tp").agg(F.sum("n").alias("mult"))
     by_part = message.groupBy(F.col("sp").alias("part")).agg(F.count(F.lit(1)).alias("sent"))
     send = pair.where("tp is null and pin_sp is not null").groupBy(F.col("pin_sp").alias("part")).agg(F.sum("volume").alias("send"))
