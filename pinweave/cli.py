@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--order", type=int, default=0, help="0 by id, 1 breadth-first")
     p.add_argument("-r", "--refine", action="store_true")
     p.add_argument("-i", "--sweeps", type=int, default=1)
-    p.add_argument("--mode", choices=("sweep", "batch"), default="sweep", help="refine all vertices at once, or in runs of their ids")
+    p.add_argument("--mode", choices=("sweep", "batch", "colour"), default="sweep", help="refine all vertices at once, in runs of their ids, or in classes that share no net")
     p.add_argument("--refine-batch", type=int, default=100_000, help="vertices of a run")
     p.add_argument("--cache", action="store_true", help="keep the hypergraph as Parquet beside its file; a cache there is always read first")
     p.add_argument("--single", action="store_true", help="write the parts as one file")

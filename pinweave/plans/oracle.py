@@ -292,6 +292,26 @@ SELECT parts.v, coalesce(to_part, part) AS part FROM parts LEFT JOIN applied ON
     return f"{out}\nSELECT v, part FROM p{batches}"
 
 
+def coloured(part: str, k: int, rule: str) -> str:
+    """The moves' colours, given one by one: highest priority first, the least colour that none it meets has."""
+    return f"""{state(part, k)},
+{rule},
+{_ONE},
+own AS (SELECT net, one.* FROM pins JOIN one USING (v)),
+out AS (SELECT net, from_part AS part, count(*) AS n FROM own GROUP BY 1, 2),
+firm AS (SELECT np.net, np.part FROM np LEFT JOIN out ON out.net = np.net AND out.part = np.part WHERE cnt > coalesce(n, 0)),
+met AS (SELECT net, v FROM own WHERE NOT EXISTS (SELECT 1 FROM firm WHERE firm.net = own.net AND firm.part = from_part) OR NOT EXISTS (SELECT 1 FROM firm WHERE firm.net = own.net AND firm.part = to_part)),
+turn AS (SELECT v, row_number() OVER (ORDER BY v * 7919 % 1009 DESC, v DESC) - 1 AS o FROM (SELECT DISTINCT v FROM one)),
+near AS (SELECT DISTINCT x.v, y.v AS w FROM met x JOIN met y USING (net) WHERE x.v <> y.v),
+c(o, v, colour) USING KEY (o) AS (
+  SELECT o, v, 0 FROM turn WHERE o = 0
+  UNION (
+  WITH cur AS (SELECT o, v FROM turn WHERE o = (SELECT max(o) + 1 FROM recurring.c)),
+  seen AS (SELECT DISTINCT r.colour FROM recurring.c r JOIN near ON near.w = r.v WHERE near.v = (SELECT v FROM cur))
+  SELECT cur.o, cur.v, (SELECT min(x) FROM range(0, (SELECT count(*) + 1 FROM seen)) t(x) WHERE x NOT IN (SELECT colour FROM seen))::INTEGER FROM cur))
+SELECT v, colour FROM c"""
+
+
 def swept_twice(part: str, k: int, rule: str) -> str:
     """The six metrics after two sweeps of moves that do not meet on a net."""
     once = lambda before: f"""SELECT * FROM (WITH parts AS (SELECT * FROM {before}), {_tables(k)},

@@ -222,6 +222,11 @@ def _tilted(at: refine.Frozen) -> DataFrame:
     return refine.admitted(at, settle(refine.one_each(refine.tv_moves(at))), "tv")
 
 
+def _coloured(at: refine.Frozen) -> DataFrame:
+    moves = settle(refine.one_each(refine.tv_moves(at)))
+    return refine.colour_moves(at.hg, at.parts, moves, F.col("v") * 7919 % 1009)
+
+
 def _in_batches(s: SparkSession, d: str, part: Callable[[Hypergraph, int], DataFrame], k: int, objective: str) -> DataFrame:
     hg = settled(op(s, d))
     return refine.sweep_batches(hg, settle(part(hg, k)), k, objective, -(-hg.vertices.count() // 4))
@@ -237,6 +242,7 @@ for name, (part_, sql_, k_, rule_) in {
     register(f"refine_batches_{name}", o.refined_in_batches(sql_(k_), k_, rule_, name, 4), lambda s, d, p=part_, k=k_, n=name: _in_batches(s, d, p, k, n))
 register("refine_tv_guarded_tilted", o.moves(o.tilted(8), 8, o.tv_moves(True)), lambda s, d: refine.tv_moves(_frozen(s, d, derive.tilted, 8)))
 register("apply_tv_tilted", o.admitted(o.tilted(8), 8, o.tv_moves(True), "tv"), lambda s, d: _tilted(_frozen(s, d, derive.tilted, 8)))
+register("colour_moves", o.coloured(o.tilted(8), 8, o.tv_moves(True)), lambda s, d: _coloured(_frozen(s, d, derive.tilted, 8)))
 register("refine_tv_gain", f"{o.state(o.skewed(8), 8)},\n{o.tv_gains(False)}\nSELECT v, p, q, leave, arrive FROM gains", lambda s, d: refine.tv_gains(_frozen(s, d, derive.skewed, 8), guard=False))
 register("refine_tv_guarded", o.moves(o.skewed(8), 8, o.tv_moves(True)), lambda s, d: refine.tv_moves(_frozen(s, d, derive.skewed, 8)))
 register("refine_tm_gain", f"{o.state(o.skewed(256), 256)},\n{o._MESSAGE}\nSELECT v, p, part, g AS gain FROM gain", lambda s, d: refine.message_gains(_frozen(s, d, derive.skewed, 256)))
