@@ -332,3 +332,5 @@ SELECT {METRICS}"""
 DENSE = """numbered AS (SELECT dense_rank() OVER (ORDER BY net) - 1 AS net, dense_rank() OVER (ORDER BY v) - 1 AS v FROM pins)"""
 #: Parts and suppliers as a matrix.
 MATRIX = "WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), i AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS n FROM (SELECT a FROM e UNION SELECT b FROM e)), g AS (SELECT x.n AS i, y.n AS j, (1 + (x.n + y.n) % 5)::DOUBLE AS w FROM e JOIN i x ON x.a = e.a JOIN i y ON y.a = e.b WHERE x.n <> y.n)"
+#: Suppliers and products numbered by supplier as a dense matrix.
+ARRAY = "WITH n AS (SELECT max(l_suppkey) + 1 AS n FROM lineitem), e AS (SELECT DISTINCT l_suppkey AS i, l_partkey % n AS j FROM lineitem, n), g AS (SELECT i, j, (1 + (i + j) % 5)::DOUBLE AS w FROM e)"

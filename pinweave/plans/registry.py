@@ -337,6 +337,20 @@ def _graph_file(s: SparkSession, d: str, kept: bool = False) -> tuple[int, DataF
     return readers.load_graph(s, path)
 
 
+def _array_file(s: SparkSession, d: str, symmetry: str) -> DataFrame:
+    """A matrix written as an array and read back; of a symmetric one the lower triangle is written."""
+    own = derive.table(s, d, "lineitem").select("l_suppkey", "l_partkey")
+    side = own.agg(F.max("l_suppkey")).first()[0] + 1
+    entries = settle(own.select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % side).alias("j")).distinct().withColumn("w", (1 + (F.col("i") + F.col("j")) % 5).cast("double")))
+    path = f"{folder(s)}.mtx"
+    writers.write_array(side, entries, path, symmetry)
+    return readers.load_graph(s, path)[2]
+
+
+register("read_matrix_array", f"{o.ARRAY} SELECT i, j, w FROM g WHERE i <> j", lambda s, d: _array_file(s, d, "general"))
+_lower = "SELECT i, j, w FROM g WHERE i > j UNION ALL SELECT j, i, w FROM g WHERE i > j"
+register("read_matrix_symmetric_array", f"{o.ARRAY} {_lower}", lambda s, d: _array_file(s, d, "symmetric"))
+register("read_matrix_skew_array", f"{o.ARRAY} {_lower}", lambda s, d: _array_file(s, d, "skew-symmetric"))
 _mirrored = "m AS (SELECT i, j, w FROM g UNION ALL SELECT j, i, w FROM g)"
 register("read_net_major", f"{_dense} SELECT net, v FROM numbered", lambda s, d: _hypergraph_file(s, d).pins)
 register("read_net_major_zero_based", f"{_dense} SELECT net, v FROM numbered", lambda s, d: _hypergraph_file(s, d, 0).pins)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinweave.model import Hypergraph
@@ -82,33 +82,67 @@ def default_weights(hg: Hypergraph) -> DataFrame:
     return hg.nets.select("net", F.pmod("net", F.lit(10)).cast("int").alias("weight"), "src")
 
 
-KINDS, SYMMETRIES = ("real", "integer", "pattern"), ("general", "symmetric")
+KINDS, SYMMETRIES = ("real", "integer", "pattern", "complex"), ("general", "symmetric", "skew-symmetric", "hermitian")
+
+
+def packed_size(side: int, symmetry: str) -> int:
+    """Values of a matrix in array form: all, the lower triangle, or that without the diagonal."""
+    return {"general": side * side, "skew-symmetric": side * (side - 1) // 2}.get(symmetry, side * (side + 1) // 2)
+
+
+def packed_place(place: Column, side: int, symmetry: str) -> tuple[Column, Column]:
+    """Row and column, from 0, of the value at a place of the array form, which goes column by column."""
+    if symmetry == "general":
+        return place % side, ((place - place % side) / side).cast("bigint")
+    strict = symmetry == "skew-symmetric"
+    n = side - strict
+    before = lambda j: j * n - ((j * (j - 1)) / 2).cast("bigint")  # noqa: E731  values of the columns left of j
+    # The root is right but for rounding, which the values before the next columns tell.
+    guess = F.floor((2 * n + 1 - F.sqrt(F.greatest(F.lit(0.0), F.lit(float((2 * n + 1) ** 2)) - 8 * place))) / 2).cast("bigint")
+    column = guess + (before(guess + 1) <= place).cast("bigint") - (before(guess) > place).cast("bigint")
+    return column + int(strict) + place - before(column), column
 
 
 def read_matrix(spark: SparkSession, path: str, loop: bool = False, zero_based: bool | None = None) -> tuple[int, DataFrame]:
-    """Side and entries (i, j, w), from 0, of a square coordinate matrix in Matrix Market form.
+    """Side and entries (i, j, w), from 0, of a square matrix in Matrix Market form, by coordinates or as an array.
 
-    The diagonal is dropped unless ``loop``, as are zeros; weights are absolute; symmetric files are mirrored; repeated
-    entries are added up. A ``.txt`` file counts from 0. Another number of entries than the header says, as in a file cut
-    off, is an error, as is a coordinate out of range.
+    The diagonal is dropped unless ``loop``, as are zeros; weights are absolute, magnitudes of complex ones; symmetric,
+    skew-symmetric and Hermitian files are mirrored; repeated entries are added up. A ``.txt`` file counts from 0. Another
+    number of entries than the header says, as in a file cut off, is an error, as is a coordinate out of range, or one on
+    the diagonal of a skew-symmetric matrix.
     """
     first = numbered_lines(spark, path, keep_blank=True).where("line = 0").first()
     banner = (first["value"] if first else "").lower().split()
-    if len(banner) != 5 or banner[0] != "%%matrixmarket" or banner[1:3] != ["matrix", "coordinate"] or banner[3] not in KINDS or banner[4] not in SYMMETRIES:
-        raise ValueError(f"not a coordinate matrix of {KINDS} and {SYMMETRIES}: {' '.join(banner)}")
+    if len(banner) != 5 or banner[0] != "%%matrixmarket" or banner[1] != "matrix" or banner[2] not in ("coordinate", "array") or banner[3] not in KINDS or banner[4] not in SYMMETRIES:
+        raise ValueError(f"not a matrix of {KINDS} and {SYMMETRIES}: {' '.join(banner)}")
+    form, kind, symmetry = banner[2:]
+    if (form, kind) == ("array", "pattern") or symmetry == "hermitian" and kind != "complex" or symmetry == "skew-symmetric" and kind == "pattern":
+        raise ValueError(f"no such matrix: {' '.join(banner)}")
     lines = numbered_lines(spark, path, comment="%")
-    rows, columns, count = map(int, _header(lines))
-    if rows != columns:
-        raise ValueError(f"a matrix of {rows} by {columns} is not square")
-    base = 0 if (path.endswith(".txt") if zero_based is None else zero_based) else 1
+    size = [int(x) for x in _header(lines)]
+    if len(size) != (3 if form == "coordinate" else 2) or size[0] != size[1]:
+        raise ValueError(f"a {form} matrix of size {size} is not square, or the numbers are not those of such a matrix")
+    rows = size[0]
     token = F.split(F.trim("value"), r"\s+")
-    weight = F.lit(1.0) if banner[3] == "pattern" else F.get(token, F.lit(2)).cast("double")
-    entries = lines.where("line > 0").select((F.get(token, F.lit(0)).cast("bigint") - base).alias("i"), (F.get(token, F.lit(1)).cast("bigint") - base).alias("j"), weight.alias("w"))
+    number = lambda k: F.get(token, F.lit(k)).try_cast("double")
+    at = 2 if form == "coordinate" else 0
+    weight = F.lit(1.0) if kind == "pattern" else F.hypot(number(at), number(at + 1)) if kind == "complex" else number(at)
+    if form == "array":
+        count = packed_size(rows, symmetry)
+        i, j = packed_place(F.col("line") - 1, rows, symmetry)
+    else:
+        count, base = size[2], 0 if (path.endswith(".txt") if zero_based is None else zero_based) else 1
+        i, j = (F.get(token, F.lit(k)).try_cast("bigint") - base for k in (0, 1))
+    own = lines.where(F.col("line").between(1, count) if form == "array" else F.col("line") > 0)
+    entries = own.select(i.alias("i"), j.alias("j"), weight.alias("w"))
     right = F.col("i").between(0, rows - 1) & F.col("j").between(0, rows - 1) & F.col("w").isNotNull()
-    n, bad = entries.agg(F.count(F.lit(1)), F.count_if(~F.coalesce(right, F.lit(False)))).first()
+    if symmetry == "skew-symmetric":
+        right = right & (F.col("i") != F.col("j"))
+    bad = entries.agg(F.count_if(~F.coalesce(right, F.lit(False)))).first()[0]
+    n = lines.count() - 1
     if n != count or bad:
         raise ValueError(f"{n} entries, {bad} of them out of range or not numbers, where the header says {count} in a matrix of side {rows}")
-    return rows, clean_entries(entries, banner[4] == "symmetric", loop)
+    return rows, clean_entries(entries, symmetry != "general", loop)
 
 
 def clean_entries(entries: DataFrame, symmetric: bool, loop: bool = False) -> DataFrame:

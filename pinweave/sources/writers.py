@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinweave.model import Hypergraph, header
+from pinweave.sources.readers import packed_place, packed_size
 
 
 def _text(rows: DataFrame, key: str, path: str, single: bool) -> None:
@@ -50,6 +51,14 @@ def write_matrix(side: int, entries: DataFrame, path: str, single: bool = False)
     _text(top.unionByName(entries.select(F.col("i").cast("bigint").alias("i"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "w").alias("value"))), "i", path, single)
 
 
+def write_array(side: int, entries: DataFrame, path: str, symmetry: str = "general", single: bool = False) -> None:
+    """Entries (i, j, w), from 0, each once, as a real matrix in array form; of a symmetric one the lower triangle counts."""
+    places = entries.sparkSession.range(packed_size(side, symmetry)).select("id", *[c.alias(n) for c, n in zip(packed_place(F.col("id"), side, symmetry), ("i", "j"), strict=True)])
+    values = places.join(entries.select("i", "j", "w"), ["i", "j"], "left").select("id", F.coalesce("w", F.lit(0.0)).cast("string").alias("value"))
+    top = entries.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(f"%%MatrixMarket matrix array real {symmetry}\n{side} {side}").alias("value"))
+    _text(top.unionByName(values), "id", path, single)
+
+
 def write_graph(side: int, entries: DataFrame, path: str, weights: DataFrame | None = None, single: bool = False) -> None:
     """Symmetric entries (i, j, w) with whole weights, and weights (v, weight) of the vertices, as a graph file."""
     spark = entries.sparkSession
