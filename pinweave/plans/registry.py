@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinweave.model import Hypergraph, header, settled, transpose, validate
-from pinweave.operators import components, graph, metrics, place, refine
+from pinweave.operators import coarsen, components, graph, metrics, place, refine
 from pinweave.plans import derive
 from pinweave.plans import oracle as o
 from pinweave.functions.expressions import renumbered
@@ -268,6 +268,37 @@ register(
     lambda s, d: components.largest_component(_sparse(s, d)).pins,
 )
 
+# Coarsening: products by their number modulo 16 become one
+_coarse_sql = f"{o.pins()}, cp AS (SELECT net, list(DISTINCT v % 16 ORDER BY v % 16) AS vs FROM pins GROUP BY 1 HAVING count(DISTINCT v % 16) > 1), into_ AS (SELECT net, min(net) OVER (PARTITION BY vs) AS kept, vs FROM cp)"
+_groups = lambda hg: hg.vertices.select("v", F.pmod("v", F.lit(16)).alias("coarse"))
+
+
+def _contracted(s: SparkSession, d: str) -> coarsen.Coarse:
+    hg = settled(op(s, d))
+    return coarsen.contract(hg, _groups(hg))
+
+
+register("coarse_pins", f"{_coarse_sql} SELECT net, unnest(vs) AS v FROM into_ WHERE net = kept", lambda s, d: _contracted(s, d).hg.pins)
+register("coarse_nets", f"{_coarse_sql}, w AS (SELECT kept AS net, count(*)::INTEGER AS weight FROM into_ GROUP BY 1) SELECT net, weight, (SELECT min(v) FROM pins WHERE pins.net = w.net) % 16 AS src FROM w", lambda s, d: _contracted(s, d).hg.nets)
+register("coarse_merged", f"{_coarse_sql} SELECT net, kept AS \"into\" FROM into_", lambda s, d: _contracted(s, d).merged)
+register(
+    "coarse_cut",
+    f"{o.pins()}, lam AS (SELECT net, count(DISTINCT v % 16 % 4) AS lam FROM pins GROUP BY 1) SELECT count(*) FILTER (lam > 1) AS cn, sum(lam - 1)::BIGINT AS tv FROM lam",
+    lambda s, d: _coarse_cut(_contracted(s, d).hg),
+)
+register("coarse_projected", f"{o.pins()} SELECT DISTINCT v, CAST(v % 16 % 4 AS INTEGER) AS part FROM pins", lambda s, d: _projected(s, d))
+
+
+def _coarse_cut(hg: Hypergraph) -> DataFrame:
+    """What the coarse hypergraph says of a partition of the groups; its SQL counts on the whole one."""
+    return coarsen.weighted_cut(hg, derive.modulo(hg, 4))
+
+
+def _projected(s: SparkSession, d: str) -> DataFrame:
+    hg = op(s, d)
+    return coarsen.projected(_groups(hg), derive.modulo(_contracted(s, d).hg, 4))
+
+
 # Files: each is written to the shared folder and read back
 _dense = f"{o.pins()}, {o.DENSE}"
 
