@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pinweave.operators.similarity import PRIME, coefficients
+
 PINS = {
     "op": "SELECT DISTINCT l_orderkey AS net, l_partkey AS v FROM lineitem",
     "po": "SELECT DISTINCT l_partkey AS net, l_orderkey AS v FROM lineitem",
@@ -189,6 +191,14 @@ def components(source: str) -> str:
   UNION (SELECT y.v, min(c.component) FROM c JOIN {source} x ON x.v = c.v JOIN {source} y ON y.net = x.net JOIN recurring.c r ON r.v = y.v GROUP BY y.v, r.component HAVING min(c.component) < r.component))"""
 
 
+def similarity(bands: int, rows: int) -> str:
+    """Tables sig(v, signature) of least hashes and c(v, component) of chains over buckets."""
+    least = ", ".join(f"min((net % {PRIME} * {a} + {b}) % {PRIME})" for a, b in map(coefficients, range(bands * rows)))
+    return f"""sig AS (SELECT v, [{least}] AS signature FROM pins GROUP BY v),
+bucket AS (SELECT v, (b, signature[b * {rows} + 1 : b * {rows} + {rows}])::VARCHAR AS net FROM sig, range({bands}) t(b)),
+{components("bucket")}"""
+
+
 THIN = "kept AS (SELECT net FROM (SELECT net, count(*) AS d FROM pins GROUP BY 1) WHERE d < 1.5 * (SELECT count(*) / count(DISTINCT net) FROM pins) AND d < 10), thin AS (SELECT * FROM pins WHERE net IN (SELECT net FROM kept))"
 
 

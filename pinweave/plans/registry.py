@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinweave.model import Hypergraph, header, settled, transpose, validate
-from pinweave.operators import coarsen, components, graph, metrics, place, refine
+from pinweave.operators import coarsen, components, graph, metrics, place, refine, similarity
 from pinweave.plans import derive
 from pinweave.plans import oracle as o
 from pinweave.functions.expressions import renumbered
@@ -299,6 +299,10 @@ def _projected(s: SparkSession, d: str) -> DataFrame:
     return coarsen.projected(_groups(hg), derive.modulo(_contracted(s, d).hg, 4))
 
 
+# Similarity
+register("similarity_signatures", f"{o.pins('po')}, {o.similarity(8, 4)} SELECT v, array_to_string(signature, ' ') AS signature FROM sig", lambda s, d: similarity.signatures(po(s, d), 32).select("v", F.array_join(F.col("signature").cast("array<string>"), " ").alias("signature")))
+register("similarity_order", f"{o.pins('po')}, {o.similarity(8, 4)} SELECT v, row_number() OVER (ORDER BY component, signature, v) - 1 AS ord FROM sig JOIN c USING (v)", lambda s, d: similarity.similarity_order(po(s, d), 8, 4))
+
 # Files: each is written to the shared folder and read back
 _dense = f"{o.pins()}, {o.DENSE}"
 
