@@ -174,8 +174,8 @@ def tm_moves(at: Frozen) -> DataFrame:
     rows = gains.join(receivers, "v", "left").join(senders, "v", "left")
     silent = np.ones((at.k, at.k), dtype=bool)
     np.fill_diagonal(silent, False)
-    for sp, tp in at.messages.select("sp", "tp").collect():
-        silent[sp, tp] = False
+    for r in at.messages.groupBy("sp").agg(F.collect_set("tp").alias("to")).toLocalIterator():
+        silent[r["sp"], r["to"]] = False
     sizes = np.zeros(at.k, np.int64)
     for part, size in at.sizes.collect():
         sizes[part] = size
