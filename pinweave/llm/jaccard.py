@@ -263,7 +263,15 @@ def _across(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return every.join(few, ["key", "block"]).where((F.col("label") != F.col("hub_label")) & _alike("hub_n", "n", percent) & near).select("hub", "id", "hub_n", "n")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
+def _proposed(proposals: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets for proposals (a, b) of documents; names is (doc_id, id, n), a set's document being its least one."""
+    own = stored(proposals.join(names.withColumnRenamed("doc_id", "b"), "b").select("a", "id", "n"))
+    hubs = own.groupBy("a").agg(F.count(F.lit(1)).alias("n_rows")).join(names.select(F.col("doc_id").alias("a"), F.col("id").alias("hub"), F.col("n").alias("hub_n")), "a")
+    met = _with(own, stored(hubs), "a", own.count())
+    return met.where((F.col("hub") != F.col("id")) & _alike("hub_n", "n", percent)).select("hub", "id", "hub_n", "n")
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text", proposals: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents over chains of links of at least ``percent`` hundredths in common.
 
     A document's set holds its distinct runs of ``shingle`` words (A-Z in lower case, words are runs of non-blanks), with
@@ -272,6 +280,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     are nodes by their text, each with the component of its own; a null doc_id is no id but its text links others.
     Columns other than doc_id and the text are left out. N-grams are compared by 64-bit hashes, whole sets of equal
     documents by 128 bits.
+
+    ``proposals`` (a, b) are pairs of documents that another method thinks alike. They are counted first, and what they link
+    is not looked for again; the components are the same with and without them.
     """
     if not 50 <= percent < 100:
         raise ValueError(f"links take 50 to 99 hundredths in common, not {percent}")
@@ -285,13 +296,18 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     names = stored(renumbered(met.select("node").distinct(), "node", "id").join(classes.select("node", F.col("least").alias("doc_id")), "node"))
     rows = stored(met.join(names.select("node", "id"), "node").select("key", "id", "n", F.col("id").alias("label")))
     grams = stored(sets(docs, names, shingle, percent, text))
-    links = stored(linked(_with_hub(rows, True, percent), grams, percent))
-    roots = components(links)
-    rows = _labelled(rows, roots)
-    if not rows.isEmpty():
-        links = links.unionByName(stored(linked(_with_hub(rows, False, percent), grams, percent)))
+    links = None
+    if proposals is not None:
+        named = stored(names.join(nodes.select("node", "n"), "node").select("doc_id", "id", "n"))
+        links = stored(linked(_proposed(proposals, named, percent), grams, percent))
         roots = components(links)
         rows = _labelled(rows, roots)
+    for lowest in (True, False):
+        if links is None or not rows.isEmpty():
+            found = stored(linked(_with_hub(rows, lowest, percent), grams, percent))
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
+            rows = _labelled(rows, roots)
     if not rows.isEmpty():
         bits = nodes.join(names.select("node", "id"), "node").select("id", "bits")
         roots = components(links.unionByName(stored(linked(_across(rows, bits, percent), grams, percent))))

@@ -5,6 +5,9 @@ them), and in at most two of some half. On such a part the anchors are the words
 Hamming code on 2**r - 1 of its bits, every value on the others. Each fingerprint has one anchor within the radius, its
 home; it is copied to every anchor within radius plus threshold. Both members of a near pair then meet at the home of
 either, where they are compared in full.
+
+What two texts have in common is not exact in 64 bits: of texts whose sets of word shingles are alike to 0.8 most are further
+apart. ``similar`` therefore counts shingles: links of fingerprints are proposals, and a join by the shingles finds the rest.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinweave.llm.components import components
+from pinweave.llm.jaccard import jaccard_components
 from pinweave.llm.shared import kept_columns, stored
 from pinweave.llm.words import BLANK, LOWER, per_document, slices, spans
 from pinweave.ship import ship
@@ -251,7 +255,7 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int) -
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64)), pa.array(pair[:, 1].view(np.int64))], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text", parts: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text", parts: int = 3, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents linked over chains of fingerprints at most ``distance`` bits apart.
 
     component_id is the smallest doc_id reachable; equal fingerprints are linked. A null or empty text has fingerprint
@@ -264,7 +268,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
         raise ValueError(f"the covering is for 2 or 3 parts, not {parts}")
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"the covering is for distances up to {DISTANCE}")
-    own = stored(fingerprints(docs, text=text))
+    own = stored(fingerprints(docs, shingle, text))
     classes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = links(classes.select("fp"), parts, distance)
     root = components(found.select("a", "b"))
@@ -283,3 +287,28 @@ def representatives(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
+
+
+def similar(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents over chains of links of sets of word shingles alike to ``percent`` hundredths.
+
+    Documents whose fingerprints are linked are proposed as alike to the first of them and counted exactly; sets that are
+    alike, but not by their fingerprints, are found by the Jaccard join. A text without words, or null, has no shingles and
+    is linked with nothing. Repeated rows and null ids are as in ``jaccard_components``.
+    """
+    found = near_duplicates(docs, text=text, shingle=shingle).where("doc_id <> component_id")
+    proposals = stored(found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
+    return jaccard_components(docs, shingle, percent, text, proposals)
+
+
+def unlike(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component of ``similar``: that of the smallest doc_id.
+
+    Texts without words are copies of each other, so that of the smallest doc_id stays. Of rows that repeat a kept doc_id one
+    stays. A row without doc_id cannot be told from its copies and stays.
+    """
+    found = stored(similar(docs, shingle, percent, text).where("doc_id is not null"))
+    first = found.where("n_shingles > 0 and doc_id = component_id").select("doc_id")
+    blank = found.where("n_shingles = 0").agg(F.min("doc_id").alias("doc_id"))
+    named = docs.join(first.unionByName(blank).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

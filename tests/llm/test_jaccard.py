@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from pinweave.llm import jaccard, registry
+from pinweave.llm import jaccard, registry, simhash
 
 
 def gram_set(text, shingle):
@@ -105,6 +105,38 @@ def test_shared_passages_are_no_links(spark):
     assert len({c for _, _, c in got}) == 300
 
 
+def grouped(df, proposals=None):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 5, 80, proposals=proposals).collect()), key=str)
+
+
+def test_proposals_change_nothing(spark):
+    """Right, wrong, missing and chained proposals; chains and groups that fingerprints tear apart or throw together."""
+    rng, rows = random.Random(8), []
+    vocabulary = [f"v{k}" for k in range(2000)]
+    for size in (1, 4, 6, 12, 40, 90, 200):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(edited(base, rng.randrange(0, 2 + size // 30), rng, vocabulary))))
+    rows += [(500, None), (501, ""), (502, rows[3][1]), (None, rows[5][1]), (7, rows[30][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 5, 80)
+    everything = spark.createDataFrame([(0, k) for k in range(1, 503)] + [(400, 401), (83, 2), (7, 31)], "a long, b long")
+    assert grouped(df) == grouped(df, everything) == grouped(df, everything.where("false")) == want
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in simhash.similar(df).collect()), key=str)
+    assert found == want
+    by_bits = {r.doc_id: r.component_id for r in simhash.near_duplicates(df.where("doc_id < 84 and doc_id <> 7"), shingle=5).collect()}
+    assert any(c < i and by_bits[i] == i for i, n, c in want if i is not None and i in by_bits)  # links that the bits do not tell
+    kept = [r.doc_id for r in simhash.unlike(df).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted({i for i, n, c in want if i is not None and i == c and n} | {500}) and kept.count(None) == 1
+
+
+def test_unlike_on_odd_rows(spark):
+    named = spark.createDataFrame([(4, "a b c", "k", "n", 3), (2, "A b  c", "k2", "n2", 4), (9, "", "", "", 0), (8, None, "", "", 0), (None, "a b c", "", "", 1)], "doc_id long, text string, key string, node string, n long")
+    got = simhash.unlike(named)
+    assert got.columns == named.columns and sorted((str(r.doc_id), r.node) for r in got.collect()) == [("2", "n2"), ("8", ""), ("None", "")]
+    assert simhash.unlike(named.limit(0)).count() == 0
+
+
 def test_long_sets_are_counted_in_fragments(spark):
     rng = random.Random(6)
     base = [f"l{rng.randrange(50_000)}" for _ in range(9000)]
