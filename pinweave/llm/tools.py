@@ -16,6 +16,9 @@ RESULT = {"conv_id": "bigint", "turn": "bigint", "call_id": "string", "content":
 #: (tool, field, JSON type, required) of each argument that a tool may have.
 SCHEMAS = (("respond", "text", "string", True), ("respond", "turn", "integer", True), ("respond", "system", "string", False))
 
+#: Fields of all tools up to which the table of tools is broadcast; beyond that it is shuffled like any other.
+FIELDS = 100_000
+
 
 def schema_table(spark: SparkSession, schemas: tuple[tuple[str, str, str, bool], ...] = SCHEMAS) -> DataFrame:
     """One row per tool with its fields as an array."""
@@ -27,9 +30,11 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Adds canonical (the arguments with sorted keys and no blanks, null if they are no JSON object) and valid.
 
     A call is valid if its tool is known, its arguments are an object, each is of a field of the tool and of its type
-    (an integer is a number, too), and none that is required is missing. The tools are joined by name: their number has
-    nothing to do with the corpus, and Spark broadcasts them only if they are small.
+    (an integer is a number, too), and none that is required is missing. The tools are joined by name; they are broadcast if
+    they have at most FIELDS fields. The calls never are, also where all are of one tool.
     """
+    n_fields = schemas.agg(F.sum(F.size("fields"))).first()[0] or 0
+    schemas = F.broadcast(schemas) if n_fields <= FIELDS else schemas
     parsed = calls.withColumn("json", F.try_parse_json("arguments"))
     types = F.expr("from_json(arguments, 'map<string,variant>')")
     parsed = parsed.withColumn("is_object", F.coalesce(F.expr("schema_of_variant(json) LIKE 'OBJECT%'"), F.lit(False)))
@@ -55,6 +60,23 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(first, ["conv_id", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
 
 
+def unmatched(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv_id, turn, call_id, content, reason, n): the n like results that ``linked`` gives to no call.
+
+    The reason is ``no call`` where the conversation has none of that identifier, or the identifier is null, else
+    ``repeated``: all of an identifier but the first, by turn and content. Like results are counted before any join.
+    """
+    calls, results = kept_columns(calls, CALL), kept_columns(results, RESULT)
+    alike = results.groupBy("conv_id", "call_id", "turn", "content").agg(F.count(F.lit(1)).alias("n"))
+    asked = calls.where("call_id is not null").select("conv_id", "call_id", F.lit(True).alias("asked")).distinct()
+    first = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("first")).join(asked, ["conv_id", "call_id"])
+    met = alike.join(first, ["conv_id", "call_id"], "left")
+    used = F.coalesce(F.struct("turn", "content").eqNullSafe(F.col("first")), F.lit(False)).cast("bigint")
+    reason = F.when(F.col("asked").isNull(), "no call").otherwise("repeated")
+    left = F.when(F.col("asked").isNull(), F.col("n")).otherwise(F.col("n") - used)
+    return met.select("conv_id", "turn", "call_id", "content", reason.alias("reason"), left.alias("n")).where("n > 0")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): the longest chain of calls that a call depends on; null in or behind a cycle.
 

@@ -590,3 +590,26 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(101)}, 200: 200, 201: 200}
+
+
+def test_results_that_no_call_takes(spark):
+    """Orphans, null identifiers, repeated and late results; with the linked ones they are all results that came in."""
+    from pinweave.llm import tools
+
+    calls = spark.createDataFrame([(1, 1, "a", "respond", "{}", None), (1, 3, "b", "respond", "{}", ["a"]), (1, 5, "b", "respond", "{}", None), (2, 1, None, "respond", "{}", None), (None, 1, "a", "respond", "{}", None)], "conv_id long, turn long, call_id string, tool string, arguments string, depends_on array<string>")
+    rows = [(1, 2, "a", "x"), (1, 2, "a", "x"), (1, 9, "a", "late"), (1, 2, "b", None), (1, 4, "b", "y"), (1, 4, "z", "none"), (2, 2, "a", "other"), (2, 2, None, "null"), (2, 2, None, "null"), (None, 2, "a", "no conversation")]
+    results = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, call_id string, content string, n long")
+    got = sorted((tuple(r) for r in tools.unmatched(calls, results).collect()), key=str)
+    assert got == sorted([(1, 2, "a", "x", "repeated", 1), (1, 9, "a", "late", "repeated", 1), (1, 4, "b", "y", "repeated", 1), (1, 4, "z", "none", "no call", 1), (2, 2, "a", "other", "no call", 1), (2, 2, None, "null", "no call", 2), (None, 2, "a", "no conversation", "no call", 1)], key=str)
+    taken = tools.linked(calls, results).where("n_results > 0").select("conv_id", "call_id").distinct().count()
+    assert taken + sum(r[-1] for r in got) == len(rows)
+    assert tools.unmatched(calls.limit(0), results.limit(0)).count() == 0
+    assert sum(r.n for r in tools.unmatched(calls.limit(0), results).collect()) == len(rows)
+
+
+def test_calls_are_never_broadcast(spark, sf_dir):
+    from pinweave.llm import registry, tools
+
+    calls, _ = tools.exchanges(registry.table(spark, sf_dir, "conversations"))
+    plan = tools.validated(calls, tools.schema_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "BuildRight" in plan
