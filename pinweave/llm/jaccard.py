@@ -4,25 +4,30 @@ The global order of n-grams is that of their 64-bit hashes. It is cut into fragm
 coarsely to count.
 
 *Candidates.* Two linked sets of sizes a and b differ in at most D = (a + b) (100 - p) / (100 + p) n-grams. Among F
-fragments, more than D, at least F - D are then equal in both. Fragments are ranked, those of most n-grams first, and each
-set offers its first D + 1, of which linked sets share one. D is that of a level of sizes; a set that may
-be linked with larger ones of the next level takes part there, too.
+fragments, more than D, at least F - D are then equal in both. Fragments are ranked, those of most n-grams first. Equal ones
+stand in the same order in both sets, and no more than D others come before the first of them; so each set offers as many as
+its own largest partner asks for, and linked sets share one. F is that of a level of sizes; a set that may be linked with
+larger ones of the next level takes part there, too.
 
-*Counting.* For a pair of sets the common n-grams are counted in each coarse fragment separately and summed up.
+*Counting.* For a pair of sets the common n-grams are counted in each coarse fragment separately and summed up. Pairs whose
+parities of n-grams in 512 cells, which differ in no more cells than the sets in n-grams, rule a link out are not counted.
 
-*Groups of near copies.* Equal sets are one class. Within a group that shares a fragment all are first compared with one
-of them, then, where that has not linked all, with another one; a group whose members are all in one component asks for
-nothing more. In what is left members of different components are paired, in blocks, if the parities of their n-grams in
-512 cells, which differ in no more cells than the sets in n-grams, allow a link. So no link between components is lost.
+*Groups of near copies.* Equal sets are one class. Each set is first compared with one other, that with which it shares
+most fragments among the first ones of its groups; then all of a group that shares a fragment with its first one, then
+with its last one; a group whose members are all in one component asks for nothing more. In what is left members of
+different components are paired, in blocks. So no link between components is lost.
+
+Offers and n-grams are made anew from the texts where they are needed, so that only their own shuffles hold them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +53,7 @@ def levels(percent: int) -> tuple[np.ndarray, np.ndarray]:
     apart, together = 100 - percent, 100 + percent
     lo = [-(-(together - apart) // (2 * apart)) or 1]
     while lo[-1] < 1 << 40:
-        lo.append(max(lo[-1] + 1, -(-lo[-1] * 3 // 2), -(-lo[-1] * 100 // percent)))
+        lo.append(max(lo[-1] + 1, 2 * lo[-1], -(-lo[-1] * 100 // percent)))
     return np.array(lo), np.array([2 * (hi - 1) * apart // together for hi in lo[1:]])
 
 
@@ -57,6 +62,12 @@ def fragments(differ: np.ndarray) -> np.ndarray:
     return differ + 1 + -(-(differ + 1) // 7)
 
 
+def differences(size: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """N-grams in which a set of this size may differ from any of a level that it may be linked with."""
+    largest = np.minimum(size * 100 // percent, levels(percent)[0][level + 1] - 1)
+    return (size + largest) * (100 - percent) // (100 + percent)
+
+
 def ngrams(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of the documents in a buffer, by document and hash, and where each document's begin."""
     starts, ends = spans(buf, offsets, BLANK)
@@ -101,8 +112,8 @@ def offered(h: np.ndarray, at: np.ndarray, percent: int) -> list[np.ndarray]:
             continue
         run = np.repeat(which, size[which])
         own_h = h[np.repeat(at[which] - (np.cumsum(size[which]) - size[which]), size[which]) + np.arange(len(run))]
-        most = differ[np.maximum(level, 0)]
-        pieces = fragments(most)
+        most = differences(size, np.maximum(level, 0), percent)
+        pieces = fragments(differ[np.maximum(level, 0)])
         f = ((own_h >> np.uint64(32)) * pieces[run].astype(np.uint64)) >> np.uint64(32)
         new = np.ones(len(run), dtype=bool)
         new[1:] = (run[1:] != run[:-1]) | (f[1:] != f[:-1])
@@ -145,59 +156,104 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(flat))
 
 
-def signatures(docs: DataFrame, shingle: int, percent: int, text: str = "text") -> DataFrame:
-    """(doc_id, n, node, keys, bits) of each document; n is the size of its set, node the set's id."""
-    docs = kept_columns(docs, {"doc_id": "bigint", text: "string"})
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    own = kept_columns(docs, {"doc_id": "bigint", text: "string"}).select("doc_id", F.col(f"`{text}`").alias("text"))
+    return own.withColumn("text_hash", F.xxhash64("text"))
+
+
+def described(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, n, node) of each document; n is the size of its set, node the set's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column(text)):
+            for s in slices(batch.column("text")):
                 h, at = ngrams(LOWER[s.buf], s.offsets, shingle)
-                columns = [pa.array(np.diff(at)), set_ids(h, at), _lists(offered(h, at, percent)), _lists(list(parities(h, at)))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.lo, s.hi - s.lo), *columns], ["doc_id", "n", "node", "keys", "bits"])
+                kept = [batch.column(c).slice(s.lo, s.hi - s.lo) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at)), set_ids(h, at)], ["doc_id", "text_hash", "n", "node"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, node binary, keys array<bigint>, bits array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, node binary")
 
 
-def coarse(n: np.ndarray) -> np.ndarray:
-    """Coarse fragments of a set of n n-grams, a power of two."""
-    return np.left_shift(1, np.maximum(np.frexp(n.astype(float))[1] - COARSE_BITS, 0))
+def _of_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted``, which name a document of each set by doc_id and text_hash, with that document's text.
+
+    A document that is there several times gives its set several times.
+    """
+    named = wanted.withColumnsRenamed({"doc_id": "wanted_id", "text_hash": "wanted_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))
+    return texts.join(named, same).select("text", *[c for c in wanted.columns if c not in ("doc_id", "text_hash")])
+
+
+def _slices_of_sets(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of ``_of_sets`` with their n-grams, other texts of the same hash left out."""
+    for batch in batches:
+        for s in slices(batch.column("text")):
+            h, at = ngrams(LOWER[s.buf], s.offsets, shingle)
+            own = batch.slice(s.lo, s.hi - s.lo)
+            right = pc.equal(set_ids(h, at), own.column("node")).to_numpy(zero_copy_only=False)
+            if not right.all():
+                h = h[np.repeat(right, np.diff(at))]
+                at = np.concatenate([[0], np.cumsum(np.diff(at)[right])])
+                own = own.filter(pa.array(right))
+            yield own, h, at
+
+
+def offers(texts: DataFrame, numbered: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, id, n): the fragments that each of the numbered sets offers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, h, at in _slices_of_sets(batches, shingle):
+            keys = offered(h, at, percent)
+            row = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), own.column("id").take(row), own.column("n").take(row)], ["key", "id", "n"])
+
+    return _of_sets(texts, numbered.select("doc_id", "text_hash", "id", "n", "node")).mapInArrow(run, "key bigint, id bigint, n bigint")
+
+
+def set_parities(texts: DataFrame, numbered: DataFrame, shingle: int) -> DataFrame:
+    """(id, bits) of the numbered sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, h, at in _slices_of_sets(batches, shingle):
+            yield pa.RecordBatch.from_arrays([own.column("id"), _lists(list(parities(h, at)))], ["id", "bits"])
+
+    return _of_sets(texts, numbered.select("doc_id", "text_hash", "id", "node")).mapInArrow(run, "id bigint, bits array<bigint>").dropDuplicates(["id"])
 
 
 def _coarse(n: Column) -> Column:
+    """Coarse fragments of a set of n n-grams, a power of two."""
     return F.pow(F.lit(2.0), F.greatest(F.length(F.bin(n)) - COARSE_BITS, F.lit(0))).cast("int")
 
 
-def sets(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int, text: str = "text") -> DataFrame:
-    """(id, pieces, f, grams): the n-grams of the wanted sets (id, node, doc_id) in each coarse fragment.
-
-    A set is cut as its own size says and as that of a larger set that it may be linked with.
-    """
-    own = kept_columns(docs, {"doc_id": "bigint", text: "string"})
-    one = own.join(wanted.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+def sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(hub, id, pieces, f, grams): the n-grams of each row of ``wanted`` in so many coarse fragments, empty ones left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in slices(batch.column(text)):
-                h, at = ngrams(LOWER[s.buf], s.offsets, shingle)
-                size = np.diff(at)
-                node = set_ids(h, at)
-                doc = np.repeat(np.arange(len(size)), size)
-                small, large = coarse(size), coarse(size * 100 // percent)
-                for pieces, sel in ((small, np.ones(len(size), dtype=bool)), (large, large != small)):
-                    at_h = np.flatnonzero(sel[doc])
-                    if not len(at_h):
-                        continue
-                    d, own_h = doc[at_h], h[at_h]
-                    f = (((own_h >> np.uint64(32)) * pieces[d].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-                    new = np.ones(len(d), dtype=bool)
-                    new[1:] = (d[1:] != d[:-1]) | (f[1:] != f[:-1])
-                    begin = np.flatnonzero(new)
-                    grams = pa.ListArray.from_arrays(pa.array(np.append(begin, len(d)), pa.int32()), pa.array(own_h.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(d[begin])), pa.array(pieces[d[begin]], pa.int32()), pa.array(f[begin], pa.int32()), grams], ["node", "pieces", "f", "grams"])
-
-    cut = one.mapInArrow(run, "node binary, pieces int, f int, grams array<bigint>")
-    return cut.join(wanted.select("id", "node"), "node").dropDuplicates(["id", "pieces", "f"]).select("id", "pieces", "f", "grams")
+        for own, h, at in _slices_of_sets(batches, shingle):
+            pieces = own.column("pieces").to_numpy().astype(np.uint64)
+            doc = np.repeat(np.arange(len(pieces)), np.diff(at))
+            f = (((h >> np.uint64(32)) * pieces[doc]) >> np.uint64(32)).astype(np.int64)
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (f[1:] != f[:-1])
+            begin = np.flatnonzero(new)
+            grams = pa.ListArray.from_arrays(pa.array(np.append(begin, len(doc)), pa.int32()), pa.array(h.view(np.int64)))
+            row = pa.array(doc[begin])
+            yield pa.RecordBatch.from_arrays([*(own.column(c).take(row) for c in ("hub", "id", "pieces")), pa.array(f[begin], pa.int32()), grams], ["hub", "id", "pieces", "f", "grams"])
+
+    return _of_sets(texts, wanted.select("doc_id", "text_hash", "hub", "id", "pieces", "node")).mapInArrow(run, "hub bigint, id bigint, pieces int, f int, grams array<bigint>")
+
+
+def _dealt(rows: DataFrame, table: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """rows joined with a table of one row, with its number of rows ``n_rows``, for each key, in one shuffle of each.
+
+    Rows of a heavy key are dealt by another column to several tasks, which all get the key's row. ``salt`` says to which.
+    """
+    share = max(total // HEAVY, HEAVY)
+    copies = F.ceil(F.col("n_rows") / share).cast("int")
+    heavy = F.broadcast(table.where(F.col("n_rows") > share).select(key, copies.alias("copies")))
+    salted = rows.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    return salted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))), [key, "salt"])
 
 
 def _with(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
@@ -207,23 +263,37 @@ def _with(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
 
 
-def linked(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+def _near(percent: int) -> Column:
+    """Whether parities allow a link."""
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("hub_bits")[k])) for k in range(CELLS // 64)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("hub_n") + F.col("n"))
+
+
+def close(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (hub, id, hub_n, n) those whose parities allow a link."""
+    pairs = stored(pairs.distinct())
+    hubs = stored(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n_rows")).join(bits.toDF("hub", "hub_bits"), "hub"))
+    return _dealt(pairs.join(bits, "id"), hubs, "hub", "id", pairs.count()).where(_near(percent)).select(pairs.columns)
+
+
+def linked(pairs: DataFrame, texts: DataFrame, names: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (hub, id, hub_n, n) those that are linked, by counts of their fragments.
 
     A hub with very many pairs has its fragments copied, so that its pairs are dealt to several tasks.
     """
-    pairs = stored(pairs.distinct())
-    total = pairs.count()
-    share = max(total // HEAVY, HEAVY)
-    many = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > share).select("hub", F.ceil(F.col("m") / share).cast("int").alias("copies"))
-    many = F.broadcast(stored(many))
-    one = F.coalesce("copies", F.lit(1))
-    pieces = _coarse(F.greatest("hub_n", "n")).alias("pieces")
-    asked = pairs.join(many, "hub", "left").select("hub", "id", "hub_n", "n", F.pmod(F.xxhash64("id"), one).cast("int").alias("copy"), pieces)
-    asked = asked.withColumn("f", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    own = grams.select(F.col("id").alias("hub"), "pieces", "f", F.col("grams").alias("hub_grams")).join(many, "hub", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), one - 1))).drop("copies")
-    met = asked.join(grams, ["id", "pieces", "f"]).join(own, ["hub", "pieces", "f", "copy"])
-    counted = met.groupBy("hub", "id", "hub_n", "n").agg(F.sum(F.size(F.array_intersect("hub_grams", "grams"))).alias("both"))
+    pairs = stored(pairs.distinct().withColumn("pieces", _coarse(F.greatest("hub_n", "n"))))
+    share = max(pairs.count() // HEAVY, HEAVY)
+    hubs = stored(pairs.groupBy("hub", "pieces").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")))
+    many = F.broadcast(hubs.where("copies > 1"))
+    document = names.select("id", "node", "doc_id", "text_hash")
+    asked = sets(texts, pairs.select("hub", "id", "pieces").join(document, "id"), shingle)
+    asked = asked.join(many, ["hub", "pieces"], "left").withColumn("copy", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))).cast("int"))
+    own = sets(texts, hubs.select("hub", "pieces", F.col("hub").alias("id")).join(document, "id"), shingle).select("hub", "pieces", "f", F.col("grams").alias("hub_grams"))
+    own = own.join(many, ["hub", "pieces"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    met = asked.drop("copies").join(own.drop("copies"), ["hub", "pieces", "f", "copy"])
+    # A document that is there several times gives the same number several times.
+    each = met.groupBy("hub", "pieces", "f", "copy", "id").agg(F.max(F.size(F.array_intersect("hub_grams", "grams"))).alias("both"))
+    counted = each.groupBy("hub", "id").agg(F.sum("both").alias("both")).join(pairs, ["hub", "id"])
     return counted.where(100 * F.col("both") >= percent * (F.col("hub_n") + F.col("n") - F.col("both"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
@@ -258,9 +328,14 @@ def _across(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     full = stored(_with(rows.select("key", "id", "n", "label"), largest.withColumn("blocks", blocks), "key", rows.count()).join(bits, "id"))
     every = full.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("bits").alias("hub_bits"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     few = full.where("label <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "n", "label", "bits", "block")
-    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("hub_bits")[k])) for k in range(CELLS // 64)), F.lit(0))
-    near = (100 + percent) * apart <= (100 - percent) * (F.col("hub_n") + F.col("n"))
-    return every.join(few, ["key", "block"]).where((F.col("label") != F.col("hub_label")) & _alike("hub_n", "n", percent) & near).select("hub", "id", "hub_n", "n")
+    return every.join(few, ["key", "block"]).where((F.col("label") != F.col("hub_label")) & _alike("hub_n", "n", percent) & _near(percent)).select("hub", "id", "hub_n", "n")
+
+
+def _most_shared(pairs: DataFrame) -> DataFrame:
+    """Of pairs (hub, id, hub_n, n), one for each fragment shared, that of each id with the hub it shares most with."""
+    counted = pairs.groupBy("hub", "id", "hub_n", "n").agg(F.count(F.lit(1)).alias("m"))
+    best = counted.groupBy("id").agg(F.max_by(F.struct("hub", "hub_n", "n"), F.struct("m", -F.col("hub"))).alias("best"))
+    return best.select("best.hub", "id", "best.hub_n", "best.n")
 
 
 def _proposed(proposals: DataFrame, names: DataFrame, percent: int) -> DataFrame:
@@ -286,32 +361,38 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """
     if not 50 <= percent < 100:
         raise ValueError(f"links take 50 to 99 hundredths in common, not {percent}")
-    own = stored(signatures(docs, shingle, percent, text))
+    texts = _texts(docs, text)
+    own = stored(described(texts, shingle))
     total = own.count()
-    classes = stored(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")))
-    nodes = stored(own.where(F.size("keys") > 0).select("node", "n", "keys", "bits").dropDuplicates(["node"]))
-    offers = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = stored(offers.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"))
-    met = stored(_with(offers, shared, "key", shared.agg(F.sum("n_rows")).first()[0] or 0).select("key", "node", "n"))
-    names = stored(renumbered(met.select("node").distinct(), "node", "id").join(classes.select("node", F.col("least").alias("doc_id")), "node"))
-    rows = stored(met.join(names.select("node", "id"), "node").select("key", "id", "n", F.col("id").alias("label")))
-    grams = stored(sets(docs, names, shingle, percent, text))
+    # The largest, as nulls come first: a document with a number where there is one.
+    classes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.max(F.struct("doc_id", "text_hash")).alias("one"))
+    classes = stored(classes)
+    able = classes.where(F.col("n") >= int(levels(percent)[0][0])).select("node", "n", "least", "one.doc_id", "one.text_hash")
+    numbered = stored(renumbered(able, "node", "id"))
+    every = offers(texts, numbered, shingle, percent)
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "n_rows")
+    shared = stored(shared)
+    met = _dealt(every, shared, "key", "id", shared.agg(F.sum("n_rows")).first()[0] or 0).dropDuplicates(["key", "salt", "id"])
+    rows = stored(met.select("key", "id", "n", F.col("id").alias("label")))
+    names = stored(numbered.join(rows.select("id").distinct(), "id", "left_semi"))
+    bits = stored(set_parities(texts, names, shingle))
     links = None
     if proposals is not None:
-        named = stored(names.join(nodes.select("node", "n"), "node").select("doc_id", "id", "n"))
-        links = stored(linked(_proposed(proposals, named, percent), grams, percent))
+        proposed = _proposed(proposals, names.select(F.col("least").alias("doc_id"), "id", "n"), percent)
+        links = stored(linked(close(proposed, bits, percent), texts, names, shingle, percent))
         roots = components(links)
         rows = _labelled(rows, roots)
-    for lowest in (True, False):
+    for hub in ("most shared", "first", "last"):
         if links is None or not rows.isEmpty():
-            found = stored(linked(_with_hub(rows, lowest, percent), grams, percent))
+            pairs = _with_hub(rows, hub != "last", percent)
+            pairs = _most_shared(pairs) if hub == "most shared" else pairs
+            found = stored(linked(close(pairs, bits, percent), texts, names, shingle, percent))
             links = found if links is None else links.unionByName(found)
             roots = components(links)
             rows = _labelled(rows, roots)
     if not rows.isEmpty():
-        bits = nodes.join(names.select("node", "id"), "node").select("id", "bits")
-        roots = components(links.unionByName(stored(linked(_across(rows, bits, percent), grams, percent))))
-    rooted = stored(names.select("id", "node", "doc_id").join(roots.withColumnRenamed("node", "id"), "id"))
+        roots = components(links.unionByName(stored(linked(_across(rows, bits, percent), texts, names, shingle, percent))))
+    rooted = stored(names.select("id", "node", F.col("least").alias("doc_id")).join(roots.withColumnRenamed("node", "id"), "id"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
     named = _with(rooted.select("root", "node"), least, "root", total).select("node", "component_id")
     label = classes.join(named, "node", "left").select("node", "n_rows", F.coalesce("component_id", "least").alias("component_id"))
