@@ -12,8 +12,8 @@ larger ones of the next level takes part there, too.
 *Counting.* For a pair of sets the common n-grams are counted in each coarse fragment separately and summed up. Pairs whose
 parities of n-grams in 512 cells, which differ in no more cells than the sets in n-grams, rule a link out are not counted.
 
-*Groups of near copies.* Equal sets are one class. Each set is first compared with one other, that with which it shares
-most fragments among the first ones of its groups; then all of a group that shares a fragment with its first one, then
+*Groups of near copies.* Equal sets are one class. Each set is first compared with what was proposed for it, or else with one other, that
+with which it shares most fragments among the first ones of its groups; then all of a group that shares a fragment with its first one, then
 with its last one; a group whose members are all in one component asks for nothing more. In what is left members of
 different components are paired, in blocks. So no link between components is lost.
 
@@ -382,11 +382,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         links = stored(linked(close(proposed, bits, percent), texts, names, shingle, percent))
         roots = components(links)
         rows = _labelled(rows, roots)
-    for hub in ("most shared", "first", "last"):
+    for hub in ("first", "last") if proposals is not None else ("most shared", "first", "last"):
         if links is None or not rows.isEmpty():
             pairs = _with_hub(rows, hub != "last", percent)
             pairs = _most_shared(pairs) if hub == "most shared" else pairs
             found = stored(linked(close(pairs, bits, percent), texts, names, shingle, percent))
+            if links is not None and found.isEmpty():
+                continue
             links = found if links is None else links.unionByName(found)
             roots = components(links)
             rows = _labelled(rows, roots)
