@@ -613,3 +613,37 @@ def test_calls_are_never_broadcast(spark, sf_dir):
     calls, _ = tools.exchanges(registry.table(spark, sf_dir, "conversations"))
     plan = tools.validated(calls, tools.schema_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and "BuildRight" in plan
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_fuzzy_passages_are_found_whoever_else_has_their_seeds(spark, partitions):
+    """Four smaller documents hold parts of 20 words; the passage has no run of 50 equal words, nor its seeds a common partner."""
+    rng = random.Random(51)
+    unique = lambda n: [f"q{rng.getrandbits(60)}" for _ in range(n)]
+    passage = unique(80)
+    fuzzy = [w if i % 20 != 19 else unique(1)[0] for i, w in enumerate(passage)]
+    parts = [unique(9) + passage[a : a + 20] + unique(9) for a in range(0, 80, 20)]
+    # Two documents of a class whose second passage is with neither's first partner.
+    one, two = unique(60), unique(80)
+    other = [w if i % 20 != 19 else unique(1)[0] for i, w in enumerate(two)]
+    parts += [unique(9) + two[a : a + 20] + unique(9) for a in range(0, 80, 20)]
+    rows = [*parts, unique(15) + passage + unique(25), unique(40) + fuzzy + unique(5), unique(3) + one + unique(30) + two, one + unique(40) + other + unique(9)]
+    frame = docs(spark, [" ".join(r) for r in rows]).select("doc_id", "text").coalesce(1)
+    found = passages.repeated_passages(frame if partitions == 1 else frame.repartition(partitions)).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.n_links, r.class_id) for r in found) == [(8, 15, 94, 1, 8), (9, 40, 119, 1, 8), (10, 3, 63, 1, 10), (10, 93, 172, 1, 10), (11, 0, 60, 1, 10), (11, 100, 179, 1, 10)]
+
+
+def test_what_is_around_a_seed_bounds_what_is_common():
+    rng, rule, seen = random.Random(52), passages.Rule(), 0
+    for n in range(300):
+        seed = rng.randint(0, 44)
+        a = [rng.randrange(40) for _ in range(50)]
+        edits, b, at = set(rng.sample([i for i in range(50) if not seed <= i < seed + 6], 10)), [], 0
+        for i, w in enumerate(a):
+            at = len(b) if i == seed else at
+            b += [w] if i not in edits else [[], [1000 + i]][rng.randrange(2)]
+        assert passages.common(a, b) >= 40
+        rows = [[rng.randrange(2000, 9000) for _ in range(70 * side)] + t + [rng.randrange(2000, 9000) for _ in range(n % 3 * 30)] for side, t in ((1, a), (0, b))]
+        counts = np.array([len(r) for r in rows])
+        near = passages.around(np.array(sum(rows, []), np.int16), np.cumsum(counts) - counts, counts, np.arange(2), np.array([70 + seed, at]), rule)
+        assert passages.may_link(passages.bit_sets(near, rule), np.array([0]), np.array([1]), rule).all()
