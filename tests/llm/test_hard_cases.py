@@ -348,3 +348,18 @@ def test_texts_that_repeat_themselves_are_one_chain(spark):
     assert all(c.a == 0 and c.a_start == c.b_start and c.a_end - c.a_start > 700 for c in chained)
     got = passages.repeated_passages(docs(spark, rows)).collect()
     assert sorted((r.doc_id, r.start, r.end, r.n_links, r.class_id) for r in got) == [(n, 1, 751, 2, 0) for n in range(3)]
+
+
+def test_small_rounds_of_components_have_few_tasks(spark):
+    """Few rows stay in few files, however many partitions a shuffle has."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long")
+        found = components.components(edges)
+        assert len(found.inputFiles()) <= 2
+        assert {r.node: r.root for r in found.collect()} == {i: i // 20 * 20 for i in range(60)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
