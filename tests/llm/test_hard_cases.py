@@ -363,3 +363,31 @@ def test_small_rounds_of_components_have_few_tasks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """What a query shuffled to write a table goes with the query, and a table that is released goes, too."""
+    import time
+
+    from pinweave.llm.shared import stored
+    from pinweave.store import CLEANUP, release
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {n.rsplit("/", 1)[-1] for n in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+
+    before, conf = shuffled(), spark.conf.get(CLEANUP)
+    rows = stored(spark.range(10_000).selectExpr("id % 1000 as k", "id").groupBy("k").count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(CLEANUP) == conf
+    assert rows.count() == 1000
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rows.inputFiles()[0])
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    release(rows)
+    assert not files.exists(path.getParent())
