@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pinweave.cli import main
 from pinweave.operators import graph, place
+from pinweave.plans import registry
 from pinweave.sources import readers, writers
 from pinweave.streaming import placement
 
@@ -169,3 +170,11 @@ def test_text_of_many_files_keeps_its_order(spark, tmp_path):
     assert len(list((tmp_path / "p").glob("part-*"))) > 1
     rows = readers.numbered_lines(spark, str(tmp_path / "p")).collect()
     assert sorted((r.line, r.value) for r in rows) == [(i, str(i % 11)) for i in range(n)]
+
+
+def test_numbers_are_merged_whatever_the_size_of_their_file(spark, sf_dir, monkeypatch):
+    """Numbers in a row make a small file of very many rows, which the driver would hold to broadcast them."""
+    monkeypatch.setattr(registry, "settled", lambda hg: hg)
+    pins = registry._numbered(spark, sf_dir).pins
+    assert pins.count() > 0 and "rightHint=(strategy=merge)" in pins._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortMergeJoin" in pins._jdf.queryExecution().executedPlan().toString()
