@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pinweave.functions.expressions import capacity, improvement, running_total
-from pinweave.model import Hypergraph, header, transpose, validate
+from pinweave.model import Hypergraph, header, settled, transpose, validate
 from pinweave.operators import components, graph, metrics, place, refine
 from pinweave.plans import derive
 from pinweave.store import settle
@@ -290,3 +290,22 @@ def test_exact_placement_holds_a_few_bytes_a_net():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 20e6
+
+
+@pytest.mark.parametrize("objective", ["tm", "msm"])
+def test_no_pin_is_laid_out_where_no_message_can_be_saved(spark, monkeypatch, objective):
+    """Every message is sent for two nets, so that no move of one vertex takes one away."""
+    hg = settled(small(spark, [[v, (v + 3) % 8] for v in range(8)] * 2))
+    parts = settle(partition(spark, [v % 2 for v in range(8)]))
+    laid, real = [], refine.settle_by
+    monkeypatch.setattr(refine, "settle_by", lambda df, by: laid.append(sorted(df.columns)) or real(df, by))
+    assert in_order(refine.sweep_batches(hg, parts, 2, objective, 3)) == [v % 2 for v in range(8)]
+    assert laid == [["b", "part", "v"]]
+
+
+def test_volume_changes_read_their_joins_once(spark):
+    hg = settled(small(spark))
+    at = refine.Frozen(hg, settle(partition(spark, [0, 0, 0, 1, 1, 1, 0, 1])), 2)
+    found = settle(spark.createDataFrame([(v, p, 1 - p) for v, p in enumerate([0, 0, 0, 1, 1, 1, 0, 1])], "v long, p int, q int"))
+    changes = refine.volume_changes(at, found, True)
+    assert "Union" not in changes._jdf.queryExecution().optimizedPlan().toString() and changes.count() > 0
